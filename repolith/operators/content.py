@@ -26,7 +26,7 @@ def scan_todos(
         F.transform(lines_of("text"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))),
         lambda x: x["line"].rlike(pattern),
     )
-    rows = read.select("repo_id", "path", F.explode(hits).alias("h"))
+    rows = read.select("repo_id", "path", F.explode_outer(hits).alias("h")).filter("h IS NOT NULL")
     text = C.strip(F.regexp_extract(F.col("h.line"), pattern, 2))
     return rows.select(
         "repo_id",
@@ -80,43 +80,46 @@ def rule_counts(hits: DataFrame) -> DataFrame:
     )
 
 
-def _paragraph(text: Column) -> Column:
-    """First paragraph after a title line, joined to one line, at most 500 characters."""
-    lines = lines_of(text)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("no"), x.alias("line")))
-    title = F.try_element_at(
-        F.filter(numbered, lambda x: x["line"].startswith("# ") | x["line"].startswith("===")), F.lit(1)
-    )["no"]
-    after = F.filter(numbered, lambda x: x["no"] > title)
-    first = F.try_element_at(F.filter(after, lambda x: C.strip(x["line"]) != ""), F.lit(1))["no"]
-    body = F.filter(after, lambda x: x["no"] >= first)
-    stop = F.try_element_at(
-        F.filter(
-            body,
-            lambda x: (C.strip(x["line"]) == "") | x["line"].startswith("#") | x["line"].startswith("---"),
-        ),
-        F.lit(1),
-    )["no"]
-    kept = F.filter(body, lambda x: stop.isNull() | (x["no"] < stop))
-    joined = F.array_join(F.transform(kept, lambda x: C.strip(x["line"])), " ")
-    return F.nullif(F.left(joined, F.lit(500)), F.lit(""))
+def _first(lines: Column, test) -> Column:
+    """1-based position of the first line that passes, 0 when none does."""
+    return F.coalesce(F.array_position(F.transform(lines, test), F.lit(True)), F.lit(0))
+
+
+def _with_paragraph(df: DataFrame) -> DataFrame:
+    """Adds ``lead``: the first paragraph after a title line, joined to one line, at most 500 characters."""
+    rest = lambda lines, at: F.slice(lines, at, F.greatest(F.size(lines), F.lit(1)))
+    blank = lambda x: C.strip(x) == ""
+    df = df.withColumn("_lines", lines_of("text"))
+    df = df.withColumn("_at", _first(F.col("_lines"), lambda x: x.startswith("# ") | x.startswith("===")))
+    df = df.withColumn("_rest", F.when(F.col("_at") > 0, rest(F.col("_lines"), F.col("_at") + 1)))
+    df = df.withColumn("_from", _first(F.col("_rest"), lambda x: ~blank(x)))
+    df = df.withColumn("_body", F.when(F.col("_from") > 0, rest(F.col("_rest"), F.col("_from"))))
+    df = df.withColumn(
+        "_stop", _first(F.col("_body"), lambda x: blank(x) | x.startswith("#") | x.startswith("---"))
+    )
+    kept = F.when(F.col("_stop") > 0, F.slice("_body", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_body"))
+    joined = F.array_join(F.transform(kept, lambda x: C.strip(x)), " ")
+    lead = F.nullif(F.left(joined, F.lit(500)), F.lit(""))
+    # the generator keeps later filters from being pushed into, and so repeating, the steps above
+    kept_columns = [c for c in df.columns if not c.startswith("_")]
+    return df.select(*kept_columns, F.explode_outer(F.array(lead)).alias("lead"))
 
 
 def lead_paragraph(contents: DataFrame) -> DataFrame:
     """First paragraph after the title, per file; files without one are dropped (PRJ-23)."""
-    return contents.select("repo_id", "path", _paragraph(F.col("text")).alias("lead")).filter("lead IS NOT NULL")
+    return _with_paragraph(contents).filter("lead IS NOT NULL").select("repo_id", "path", "lead")
 
 
 def project_description(contents: DataFrame) -> DataFrame:
     """Best description per repository: README, then pom description or name, then package description (PRJ-23)."""
-    path, text = F.col("path"), F.col("text")
+    path, text, lead = F.col("path"), F.col("text"), F.col("lead")
     pom_text = C.strip(F.regexp_extract(text, r"(?s)<description>(.*?)</description>", 1))
     pom_name = C.strip(F.regexp_extract(text, r"<name>(.*?)</name>", 1))
     package = F.nullif(F.get_json_object(text, "$.description"), F.lit(""))
     sources = [
-        ("README.md", _paragraph(text)),
-        ("readme.md", _paragraph(text)),
-        ("README.rst", _paragraph(text)),
+        ("README.md", lead),
+        ("readme.md", lead),
+        ("README.rst", lead),
         ("pom.xml", F.when(F.length(pom_text) > 5, pom_text).when(F.length(pom_name) > 3, pom_name)),
         ("package.json", package),
     ]
@@ -125,7 +128,7 @@ def project_description(contents: DataFrame) -> DataFrame:
         found = F.when(path == name, value) if found is None else found.when(path == name, value)
         order = F.when(path == name, i) if order is None else order.when(path == name, i)
     return (
-        contents.filter(path.isin(*[n for n, _ in sources]))
+        _with_paragraph(contents.filter(path.isin(*[n for n, _ in sources])))
         .select("repo_id", found.alias("description"), order.alias("pos"))
         .filter("description IS NOT NULL")
         .groupBy("repo_id")

@@ -15,7 +15,10 @@ from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
 from repolith.functions.ranking import collect_ranked, top_k
 
-_EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
 _JAVA_DECL = (
     r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?(class|interface|enum)\s+(\w+)"
     r"(?:\s+extends\s+(\w+))?(?:\s+implements\s+(.+?))?(?:\s*\{|$)"
@@ -65,121 +68,123 @@ def _split_names(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda s: C.strip(s)), lambda s: s != "")
 
 
-def _type_struct(line_no: Column, name: Column, kind: Column, supers: Column, annotations: Column, doc: Column) -> Column:
-    return F.struct(
-        line_no.cast("bigint").alias("line_no"),
-        name.alias("name"),
-        kind.alias("kind"),
-        supers.alias("super_types"),
-        annotations.alias("annotations"),
-        doc.alias("doc"),
+def _declares(line: Column) -> Column:
+    """The line declares a type in the language of the column ``ext``."""
+    ext, stripped = F.col("ext"), C.strip(line)
+    return (
+        F.when(ext == ".java", stripped.rlike(_JAVA_DECL))
+        .when(ext == ".py", line.rlike(_PYTHON_DECL))
+        .when(ext == ".go", line.rlike(_GO_DECL))
+        .when(ext == ".rs", line.rlike(_RUST_DECL))
+        .otherwise(stripped.rlike(_SCRIPT_DECL))
     )
 
 
-def _java_types(lines: Column) -> Column:
-    """The first declaration of a Java file, with the annotations and doc comment above it."""
-    trimmed = F.transform(lines, lambda x: C.strip(x))
-    numbered = F.transform(trimmed, lambda x, i: F.struct((i + 1).alias("no"), x.alias("text")))
-    decl = F.try_element_at(F.filter(numbered, lambda x: x["text"].rlike(_JAVA_DECL)), F.lit(1))
-    above = F.filter(numbered, lambda x: x["no"] <= decl["no"])
-    annotations = F.filter(
-        F.transform(
-            F.filter(above, lambda x: x["text"].startswith("@")),
-            lambda x: F.regexp_extract(x["text"], r"@\w+", 0),
-        ),
-        lambda a: a != "",
-    )
-    opened = F.try_element_at(F.filter(above, lambda x: x["text"].startswith("/**")), F.lit(-1))["no"]
-    block = F.filter(numbered, lambda x: (x["no"] >= opened) & (x["no"] < opened + 10))
-    closed = F.try_element_at(F.filter(block, lambda x: F.contains(x["text"], F.lit("*/"))), F.lit(1))["no"]
-    words = F.transform(
-        F.filter(block, lambda x: closed.isNull() | (x["no"] < closed)),
-        lambda x: C.strip(F.regexp_replace(x["text"], r"^[\s/*]+", "")),
-    )
-    doc = F.array_join(F.filter(words, lambda w: (w != "") & ~w.startswith("@")), " ")
-    text = decl["text"]
-    extends = F.regexp_extract(text, _JAVA_DECL, 3)
-    implements = F.transform(
-        _split_names(F.regexp_extract(text, _JAVA_DECL, 4)), lambda s: C.strip(F.element_at(F.split(s, "<"), 1))
-    )
-    supers = F.concat(F.when(extends != "", F.array(extends)).otherwise(_EMPTY), implements)
-    found = _type_struct(
-        decl["no"],
-        F.regexp_extract(text, _JAVA_DECL, 2),
-        F.regexp_extract(text, _JAVA_DECL, 1),
-        supers,
-        annotations,
-        F.coalesce(doc, F.lit("")),
-    )
-    return F.when(decl.isNotNull(), F.array(found))
+def _java_context(df: DataFrame) -> DataFrame:
+    """Annotations and doc comment above the first declaration of a Java file.
 
-
-def _line_types(lines: Column, pattern: str, name: int, kind: Column | int, supers: int | None, trim: bool) -> Column:
-    def one(line: Column, i: Column) -> Column:
-        text = C.strip(line) if trim else line
-        bases = _EMPTY if supers is None else _split_names(F.regexp_extract(text, pattern, supers))
-        kind_col = F.regexp_extract(text, pattern, kind) if isinstance(kind, int) else kind
-        return F.when(
-            text.rlike(pattern),
-            _type_struct(i + 1, F.regexp_extract(text, pattern, name), kind_col, bases, _EMPTY, F.lit("")),
-        )
-
-    return F.array_compact(F.transform(lines, one))
-
-
-def _python_types(lines: Column) -> Column:
-    """Python classes; a ``@dataclass`` within the hundred characters above is an annotation."""
-
-    def one(line: Column, i: Column) -> Column:
-        before = F.concat(F.array_join(F.slice(lines, F.lit(1), i), "\n"), F.lit("\n"))
-        marked = F.contains(F.right(before, F.lit(100)), F.lit("@dataclass"))
-        return F.when(
-            line.rlike(_PYTHON_DECL),
-            _type_struct(
-                i + 1,
-                F.regexp_extract(line, _PYTHON_DECL, 1),
-                F.lit("class"),
-                _split_names(F.regexp_extract(line, _PYTHON_DECL, 2)),
-                F.when(marked, F.array(F.lit("@dataclass"))).otherwise(_EMPTY),
-                F.lit(""),
-            ),
-        )
-
-    return F.array_compact(F.transform(lines, one))
+    Each step is a column of its own, so no step is worked out again inside another's loop.
+    """
+    first = F.try_element_at(F.col("hits"), F.lit(1))["no"]
+    above = F.transform(F.slice("ls", F.lit(1), first), lambda x: C.strip(x))
+    df = df.withColumn("above", F.when(F.col("ext") == ".java", above))
+    opened = F.array_compact(F.transform("above", lambda x, i: F.when(x.startswith("/**"), i + 1)))
+    df = df.withColumn("opened", F.try_element_at(opened, F.lit(-1)))
+    df = df.withColumn("block", F.transform(F.slice("ls", F.col("opened"), 10), lambda x: C.strip(x)))
+    closed = F.array_position(F.transform("block", lambda x: F.contains(x, F.lit("*/"))), F.lit(True))
+    df = df.withColumn("closed", closed)
+    inside = F.when(F.col("closed") > 0, F.slice("block", F.lit(1), F.col("closed") - 1)).otherwise(F.col("block"))
+    words = F.transform(inside, lambda x: C.strip(F.regexp_replace(x, r"^[\s/*]+", "")))
+    marks = F.transform(F.filter("above", lambda x: x.startswith("@")), lambda x: F.regexp_extract(x, r"@\w+", 0))
+    return df.withColumns(
+        {
+            "doc": F.array_join(F.filter(words, lambda w: (w != "") & ~w.startswith("@")), " "),
+            "above_annotations": F.filter(marks, lambda m: m != ""),
+        }
+    )
 
 
 def extract_types(contents: DataFrame, head_lines: int | None = None) -> DataFrame:
     """Type declarations: Java (first of a file), TypeScript, Python, Go, Rust (PRJ-20).
 
-    ``loc`` is the number of lines for Java and TypeScript and 0 for the other languages.
+    ``loc`` is the number of lines for Java and TypeScript and 0 for the other languages. A file
+    is searched in place; what leaves the row are its few declaring lines.
     """
-    ext = C.extension("path")
     script = (".ts", ".tsx")
-    known = contents.filter(ext.isin(".java", *script, ".py", ".go", ".rs"))
-    ready = known.select("repo_id", "path", ext.alias("ext"), lines_of("text", head_lines).alias("ls"), "text")
-    ls = F.col("ls")
-    found = (
-        F.when(F.col("ext") == ".java", _java_types(ls))
-        .when(F.col("ext").isin(*script), _line_types(ls, _SCRIPT_DECL, 2, 1, None, True))
-        .when(F.col("ext") == ".py", _python_types(ls))
-        .when(F.col("ext") == ".go", _line_types(ls, _GO_DECL, 1, 2, None, False))
-        .when(F.col("ext") == ".rs", _line_types(ls, _RUST_DECL, 2, 1, None, False))
+    ext = F.col("ext")
+    known = (
+        contents.withColumn("ext", C.extension("path"))
+        .filter(ext.isin(".java", *script, ".py", ".go", ".rs"))
+        .select("repo_id", "path", "ext", lines_of("text", head_lines).alias("ls"))
+    )
+    hits = F.array_compact(
+        F.transform("ls", lambda x, i: F.when(_declares(x), F.struct((i + 1).alias("no"), x.alias("line"))))
+    )
+    found = known.withColumn("hits", hits)
+
+    # the hundred characters above a Python class lie within the hundred lines above it
+    def dataclass(no: Column) -> Column:
+        start = F.greatest(F.lit(1), no - 100)
+        before = F.concat(F.array_join(F.slice("ls", start, no - start), "\n"), F.lit("\n"))
+        return (ext == ".py") & F.contains(F.right(before, F.lit(100)), F.lit("@dataclass"))
+
+    kept = F.when(ext == ".java", F.slice("hits", 1, 1)).otherwise(F.col("hits"))
+    rows = (
+        _java_context(found)
+        .select(
+            "repo_id",
+            "path",
+            "ext",
+            "doc",
+            "above_annotations",
+            F.when(ext.isin(".java", *script), F.size("ls")).otherwise(0).cast("bigint").alias("loc"),
+            # outer: no filter on the array is inferred, which would search the lines twice
+            F.explode_outer(
+                F.transform(kept, lambda h: F.struct(h["no"].alias("no"), h["line"].alias("line"), dataclass(h["no"]).alias("dc")))
+            ).alias("h"),
+        )
+        .filter("h IS NOT NULL")
+        .select("*", F.col("h.no").cast("bigint").alias("line_no"), F.col("h.line").alias("line"), C.strip("h.line").alias("trimmed"))
+    )
+
+    def part(java: int, python: int | None, go: int, rust: int, other: int) -> Column:
+        trimmed, line = F.col("trimmed"), F.col("line")
+        return (
+            F.when(ext == ".java", F.regexp_extract(trimmed, _JAVA_DECL, java))
+            .when(ext == ".py", F.lit("class") if python is None else F.regexp_extract(line, _PYTHON_DECL, python))
+            .when(ext == ".go", F.regexp_extract(line, _GO_DECL, go))
+            .when(ext == ".rs", F.regexp_extract(line, _RUST_DECL, rust))
+            .otherwise(F.regexp_extract(trimmed, _SCRIPT_DECL, other))
+        )
+
+    extends = F.regexp_extract("trimmed", _JAVA_DECL, 3)
+    implements = F.transform(
+        _split_names(F.regexp_extract("trimmed", _JAVA_DECL, 4)), lambda s: C.strip(F.element_at(F.split(s, "<"), 1))
     )
-    loc = F.when(F.col("ext").isin(".java", *script), F.size(F.split("text", "\n"))).otherwise(0)
-    rows = ready.select("repo_id", F.col("path").alias("file"), "ext", loc.cast("bigint").alias("loc"), F.explode(found).alias("t"))
-    doc = F.nullif(F.col("t.doc"), F.lit(""))
-    by_annotation = F.when(F.col("ext") == ".java", C.annotation_role(F.col("t.annotations")))
-    return rows.select(
+    supers = (
+        F.when(ext == ".java", F.concat(F.when(extends != "", F.array(extends)).otherwise(_empty()), implements))
+        .when(ext == ".py", _split_names(F.regexp_extract("line", _PYTHON_DECL, 2)))
+        .otherwise(_empty())
+    )
+    annotations = (
+        F.when(ext == ".java", F.col("above_annotations"))
+        .when(F.col("h.dc"), F.array(F.lit("@dataclass")))
+        .otherwise(_empty())
+    )
+    typed = rows.select(
         "repo_id",
-        "file",
-        F.col("t.line_no").alias("line_no"),
-        F.col("t.name").alias("name"),
-        F.col("t.kind").alias("kind"),
-        F.col("t.super_types").alias("super_types"),
-        F.col("t.annotations").alias("annotations"),
+        F.col("path").alias("file"),
+        "line_no",
+        part(2, 1, 1, 2, 2).alias("name"),
+        part(1, None, 2, 1, 1).alias("kind"),
+        supers.alias("super_types"),
+        annotations.alias("annotations"),
         "loc",
-        F.coalesce(doc, by_annotation, C.type_role("t.name")).alias("description"),
+        F.when(ext == ".java", F.nullif(F.col("doc"), F.lit(""))).alias("doc"),
+        (ext == ".java").alias("java"),
     )
+    by_annotation = F.when(F.col("java"), C.annotation_role("annotations"))
+    return typed.withColumn("description", F.coalesce("doc", by_annotation, C.type_role("name"))).drop("doc", "java")
 
 
 def hottest(freq: DataFrame, k: int) -> DataFrame:

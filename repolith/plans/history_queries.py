@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
-from repolith.operators import cochange, history, imports, incremental, review
+from repolith.operators import cochange, history, incremental, review
 from repolith.plans.registry import Inputs, query, stamp, text
 from repolith.sources.exports import parse_numstat
 
@@ -251,16 +251,6 @@ def critical_touches(i: Inputs):
     return review.critical_touches(i.v_changeset, history.hot_files(i.v_changes)).select("repo_id", "change_id", "path")
 
 
-def _edges(i: Inputs):
-    return imports.import_edges(imports.resolve_imports(imports.extract_imports(i.v_contents), i.v_files))
-
-
-@query("change_risk")
-def change_risk(i: Inputs):
-    fan = imports.fan_in(_edges(i), k=None)
-    return review.change_risk(i.v_changeset, history.hot_files(i.v_changes), fan, _missing(i))
-
-
 @query("numstat_lines", ("v_parts",), """lines AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS q, l_linenumber AS d, l_returnflag AS f,
     CASE WHEN l_linenumber = 7 THEN 'x/' || p.w1 || '/' || p.w2 || '.bin' WHEN l_linenumber = 6 THEN 'a//' || p.path ELSE p.path END AS raw
     FROM lineitem l JOIN v_parts p ON p.p_partkey = l.l_partkey)
