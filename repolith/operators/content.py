@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
-from repolith.functions.ranking import top_k
+from repolith.functions.ranking import collect_ranked, top_k
 from repolith.operators.types import hottest, lines_of, numbered_lines
 
 
@@ -234,6 +234,20 @@ def service_map(contents: DataFrame) -> DataFrame:
     )
 
 
+def first_services(services: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Services of the first chosen compose file that has any, and their count and names per repository."""
+    ranked = services.join(chosen.select("repo_id", "path", "rank"), ["repo_id", "path"])
+    best = ranked.groupBy("repo_id").agg(F.min("rank").alias("rank"))
+    kept = ranked.join(best, ["repo_id", "rank"])
+    counts = kept.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_services"))
+    named = (
+        top_k(kept.drop("rank"), 5, ["repo_id"], [F.asc("line_no"), F.asc("service")])
+        .groupBy("repo_id")
+        .agg(F.array_join(collect_ranked("rank", "service"), ", ").alias("names"))
+    )
+    return counts.join(named, "repo_id")
+
+
 # --- build commands -------------------------------------------------------------------------
 
 

@@ -16,9 +16,21 @@ from repolith.operators.cochange import explode_pairs
 from repolith.operators.history import file_frequency
 
 
+def read_commit_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Commits with their file lists from a landing folder, with the time each file landed."""
+    schema = "repo_id STRING, commit_id BIGINT, committed_at TIMESTAMP_NTZ, files ARRAY<STRING>"
+    return spark.readStream.schema(schema).parquet(path).select(
+        "*", F.col("_metadata.file_modification_time").alias("landed_at")
+    )
+
+
 def once_per_commit(stream: DataFrame, delay: str) -> DataFrame:
-    """Drop commits delivered twice within the watermark. Stream rows are commits with ``files``."""
-    return stream.withWatermark("committed_ts", delay).dropDuplicatesWithinWatermark(["repo_id", "commit_id"])
+    """Drop commits delivered again within ``delay``.
+
+    The watermark follows the landing time, not the commit date: an old commit that arrives late
+    is counted, only a second delivery is dropped.
+    """
+    return stream.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["repo_id", "commit_id"])
 
 
 def _delta_sink(stream: DataFrame, reduce, path: str, checkpoint: str) -> DataStreamWriter:
@@ -39,12 +51,12 @@ def pair_delta(commits: DataFrame, max_files: int = fv.PAIR_MAX_FILES) -> DataFr
     return pairs.groupBy("repo_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_frequency(stream: DataFrame, path: str, checkpoint: str, delay: str = "30 days") -> DataStreamWriter:
+def stream_frequency(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> DataStreamWriter:
     """Change counts per path as commits arrive (STR-01)."""
     return _delta_sink(once_per_commit(stream, delay), frequency_delta, path, checkpoint)
 
 
-def stream_pairs(stream: DataFrame, path: str, checkpoint: str, delay: str = "30 days") -> DataStreamWriter:
+def stream_pairs(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> DataStreamWriter:
     """Pair counts as commits arrive (STR-02). Pairs come from the commit row itself: no stream-stream join."""
     return _delta_sink(once_per_commit(stream, delay), pair_delta, path, checkpoint)
 
@@ -67,27 +79,36 @@ def route_triggers(events: DataFrame, mode: str) -> DataFrame:
     return events.filter(F.col("mode") == mode)
 
 
-def stale_alerts(
-    commits: DataFrame, marks: DataFrame, n_commits: int = fv.STALE_COMMITS, n_files: int = fv.ALERT_FILES
-) -> DataFrame:
-    """Repositories with many commits or touched files since their mark (STR-05). Batch or stream.
-
-    The file count is approximate in a stream (exact distinct counts need unbounded state); the
-    batch form counts exactly.
-    """
+def newer_than_marks(commits: DataFrame, marks: DataFrame) -> DataFrame:
+    """Per path one row, and per repository one row with its commit count, after the marks."""
     newer = commits.join(marks.select("repo_id", "last_updated"), "repo_id").filter(
         F.col("committed_at") > F.col("last_updated")
     )
-    if commits.isStreaming:
-        counted = newer.groupBy("repo_id").agg(
-            F.count(F.lit(1)).alias("n_commits"),
-            F.size(F.array_distinct(F.flatten(F.collect_set("files")))).cast("bigint").alias("n_files"),
-        )
-    else:
-        per_file = (
-            newer.select("repo_id", F.explode("files").alias("path")).distinct().groupBy("repo_id").agg(
-                F.count(F.lit(1)).alias("n_files")
-            )
-        )
-        counted = newer.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_commits")).join(per_file, "repo_id", "left")
+    counted = newer.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_commits"))
+    paths = newer.select("repo_id", F.explode("files").alias("path")).distinct()
+    return counted.select("repo_id", F.lit(None).cast("string").alias("path"), "n_commits").unionByName(
+        paths.select("repo_id", "path", F.lit(0).cast("bigint").alias("n_commits"))
+    )
+
+
+def alerts_of(deltas: DataFrame, n_commits: int = fv.STALE_COMMITS, n_files: int = fv.ALERT_FILES) -> DataFrame:
+    """Repositories with many commits or distinct files since their mark, over all deltas."""
+    per_path = deltas.groupBy("repo_id", "path").agg(F.sum("n_commits").alias("n"))
+    counted = per_path.groupBy("repo_id").agg(F.sum("n").alias("n_commits"), F.count("path").alias("n_files"))
     return counted.filter((F.col("n_commits") > n_commits) | (F.col("n_files") >= n_files))
+
+
+def stale_alerts(commits: DataFrame, marks: DataFrame) -> DataFrame:
+    """Batch form of the alert (STR-05)."""
+    return alerts_of(newer_than_marks(commits, marks))
+
+
+def stream_alerts(
+    stream: DataFrame, marks: DataFrame, path: str, checkpoint: str, delay: str = "7 days"
+) -> DataStreamWriter:
+    """Staleness per repository as commits arrive (STR-05); read with ``read_alerts``."""
+    return _delta_sink(once_per_commit(stream, delay), lambda batch: newer_than_marks(batch, marks), path, checkpoint)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return alerts_of(spark.read.parquet(path))
