@@ -52,7 +52,9 @@ def scan_rules(contents: DataFrame, rules: Sequence[tuple] = fv.RISK_RULES) -> D
     """
     if "language" not in contents.columns:
         contents = contents.withColumn("language", C.language("path"))
-    lines = numbered_lines(contents)
+    # one cheap pattern of all rules first: most lines match none of them
+    any_rule = "|".join(f"(?:{pattern})" for _, _, pattern in rules)
+    lines = numbered_lines(contents).filter(F.col("line").rlike(any_rule))
     language = F.col("language")
     hits = F.array_compact(
         F.array(
@@ -67,7 +69,8 @@ def scan_rules(contents: DataFrame, rules: Sequence[tuple] = fv.RISK_RULES) -> D
         )
     )
     return (
-        lines.withColumn("h", F.explode(hits))
+        lines.withColumn("h", F.explode_outer(hits))
+        .filter("h IS NOT NULL")
         .select("repo_id", "path", "line_no", F.col("h.category").alias("category"), F.col("h.rule").alias("rule"))
     )
 

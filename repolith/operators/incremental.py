@@ -149,27 +149,36 @@ def _block_steps(seconds: np.ndarray, block: int, size: int, wait: int) -> list[
     return steps
 
 
-def throttle(events: DataFrame, key: str, ts: str, order: str, seconds: int = fv.THROTTLE_SECONDS) -> DataFrame:
-    """Events accepted at least ``seconds`` after the last accepted one of their key (STR-03).
+def _throttle_sparse(marks: DataFrame, key: str, wait: int) -> DataFrame:
+    """Accepted seconds of keys that have few of them: one fold over a short sorted array per key."""
+    start = F.struct(
+        F.lit(-(2**62)).cast("bigint").alias("ready"), F.array().cast("array<bigint>").alias("taken")
+    )
+
+    def step(state: Column, second: Column) -> Column:
+        accepted = F.struct(
+            (second + wait).alias("ready"), F.concat(state["taken"], F.array(second)).alias("taken")
+        )
+        return F.when(second >= state["ready"], accepted).otherwise(state)
+
+    seconds = marks.groupBy(key).agg(F.array_sort(F.collect_list("_s")).alias("_all"))
+    return seconds.select(key, F.explode(F.aggregate("_all", start, step)["taken"]).alias("_s"))
 
-    The clock has whole seconds, so events are first reduced to one per (key, second). Days are
-    then worked on independently, each giving its outcome for every time the key might be ready
-    again; those short step functions are chained per key; and each day is replayed with its real
-    start. No task ever holds more than one day of seconds, however many events a key has.
+
+def _throttle_dense(marks: DataFrame, key: str, key_type: str, wait: int) -> DataFrame:
+    """Accepted seconds of busy keys, a day at a time.
+
+    Days are worked on independently, each giving its outcome for every time the key might be
+    ready again; those short step functions are chained per key; each day is then replayed with
+    its real start. No task holds more than one day of seconds.
     """
-    wait, size = int(seconds), max(_DAY, int(seconds))
-    second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    first = (
-        events.withColumn("_s", second)
-        .groupBy(key, "_s")
-        .agg(F.min_by(F.struct(*events.columns), F.struct(ts, order)).alias("_e"))
-    )
-    marks = first.select(key, "_s", F.floor(F.col("_s") / F.lit(size)).cast("bigint").alias("_block"))
-    key_type = events.schema[key].dataType.simpleString()
+    size = max(_DAY, wait)
+    days = marks.withColumn("_block", F.floor(F.col("_s") / F.lit(size)).cast("bigint"))
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         steps = _block_steps(np.sort(pdf["_s"].to_numpy()), group[1], size, wait)
-        return pd.DataFrame({key: [group[0]], "_block": [group[1]], "upto": [[s[0] for s in steps]], "left": [[s[1] for s in steps]]})
+        upto, left = [s[0] for s in steps], [s[1] for s in steps]
+        return pd.DataFrame({key: [group[0]], "_block": [group[1]], "upto": [upto], "left": [left]})
 
     def chain(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ready, starts = -(2**62), []
@@ -185,14 +194,42 @@ def throttle(events: DataFrame, key: str, ts: str, order: str, seconds: int = fv
         taken = _accept(np.sort(left["_s"].to_numpy()), int(right["ready"].iloc[0]), wait)
         return pd.DataFrame({key: [group[0]] * len(taken), "_s": taken})
 
-    steps = marks.groupBy(key, "_block").applyInPandas(
+    steps = days.groupBy(key, "_block").applyInPandas(
         summarise, f"`{key}` {key_type}, _block BIGINT, upto ARRAY<BIGINT>, left ARRAY<BIGINT>"
     )
     starts = steps.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, _block BIGINT, ready BIGINT")
-    accepted = (
-        marks.groupBy(key, "_block")
+    return (
+        days.groupBy(key, "_block")
         .cogroup(starts.groupBy(key, "_block"))
         .applyInPandas(replay, f"`{key}` {key_type}, _s BIGINT")
     )
-    return first.join(accepted, [key, "_s"]).select("_e.*")
 
+
+def throttle(
+    events: DataFrame,
+    key: str,
+    ts: str,
+    order: str,
+    seconds: int = fv.THROTTLE_SECONDS,
+    sparse: int = 4_096,
+) -> DataFrame:
+    """Events accepted at least ``seconds`` after the last accepted one of their key (STR-03).
+
+    The clock has whole seconds, so events are first reduced to one per (key, second), map-side.
+    Keys with up to ``sparse`` such seconds are folded in the JVM; only busier keys go through
+    Python, in blocks of one day. Both give the same answer.
+    """
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    first = (
+        events.withColumn("_s", second)
+        .groupBy(key, "_s")
+        .agg(F.min_by(F.struct(*events.columns), F.struct(ts, order)).alias("_e"))
+    )
+    marks = events.select(key, second.alias("_s")).distinct()
+    busy = marks.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > sparse).select(key)
+    accepted = _throttle_sparse(marks.join(busy, key, "left_anti"), key, int(seconds)).unionByName(
+        _throttle_dense(
+            marks.join(busy, key, "left_semi"), key, events.schema[key].dataType.simpleString(), int(seconds)
+        )
+    )
+    return first.join(accepted, [key, "_s"]).select("_e.*")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import fixed_values as fv
-from repolith.operators import cochange, history, imports, incremental, questions, score, structure, summary
+from repolith.operators import cochange, deps, history, imports, incremental, questions, score, structure, summary
 from repolith.plans import facts as fleet
 from repolith.plans.content_queries import (
     COMMANDS_SQL, DEPS_SQL, DESCRIPTION_SQL, DETECT_SQL, FWQ_SQL, RULE_TEXT_SQL, SERVICES_SQL, TODO50_SQL,
-    framework_question_rows,
 )
 from repolith.plans.history_queries import (
     COUNTS_SQL, FREQ_SQL, HOT_SQL, KEY_SQL, PATTERNS_SQL, RANKED_PAIRS_SQL, SINCE_SQL,
@@ -19,7 +18,7 @@ from repolith.plans.registry import Inputs, query, stamp
 from repolith.plans.structure_queries import (
     ARCH_SQL, CODE_SQL, FACTS_SQL, KEY_TYPES_SQL, LANGS_SQL, LAYOUT_SQL, LINES, RESOLVE_SQL, ROOT_SQL, TYPES_SQL,
 )
-from repolith.session import ensure_checkpoint_dir
+from repolith.session import ensure_checkpoint_dir, stage
 from repolith.sources import sinks
 from repolith.streaming import increments
 
@@ -36,7 +35,9 @@ def _join(*fragments: str) -> str:
 
 
 def _tables(i: Inputs) -> fleet.Tables:
-    return fleet.Tables(i.v_commits, i.v_changes, i.v_files, i.v_contents, i.v_rule_files)
+    """The fleet's tables. The views that many branches read are written once, as tables are."""
+    changes, contents = stage(i.v_changes, "changes"), stage(i.v_contents, "contents")
+    return fleet.Tables(i.v_commits, changes, contents.select("repo_id", "path"), contents, i.v_rule_files)
 
 
 ALL_VIEWS = ("v_commits", "v_changes", "v_files", "v_contents", "v_rule_files", "v_special", "v_answered", "v_marks")
@@ -195,9 +196,9 @@ QUESTION_SQL = f"""{SCORE_SQL}, {GAP_SQL}, {HOT_SQL.replace(FREQ_SQL + ',', '')}
     WHERE NOT (k.question = {_q(fv.TRIBAL_QUESTIONS[0])} AND k.repo_id IN (SELECT repo_id FROM v_answered WHERE high > 20))) x WHERE pos <= 12)"""
 
 
-def _questions(i: Inputs) -> DataFrame:
-    t = _tables(i)
+def _questions(i: Inputs, t: fleet.Tables, wide: DataFrame) -> DataFrame:
     freq = t.freq
+    names = deps.read_manifests(t.contents)
     edges = imports.import_edges(imports.resolve_imports(imports.extract_imports(t.contents), t.files))
     return questions.smart_questions(
         t.files,
@@ -206,8 +207,8 @@ def _questions(i: Inputs) -> DataFrame:
         fleet.services(t),
         cochange.co_change_pairs(cochange.co_change_counts(t.changes), freq),
         imports.fan_in(edges),
-        framework_question_rows(i),
-        score.gaps(fleet.facts(t)),
+        deps.framework_questions(fleet.detected(t), names),
+        score.gaps(wide),
         _answers(i),
     )
 
@@ -215,14 +216,16 @@ def _questions(i: Inputs) -> DataFrame:
 @query("smart_questions", ALL_VIEWS, f"{QUESTION_SQL} SELECT repo_id, pos, category, dimension, question, CASE WHEN category <> 'gap' THEN context END AS context FROM smart")
 def smart_questions(i: Inputs):
     # the text of gap contexts is checked in the unit tests
-    return _questions(i).withColumn("context", F.when(F.col("category") != "gap", F.col("context")))
+    t = _tables(i)
+    return _questions(i, t, fleet.facts(t)).withColumn("context", F.when(F.col("category") != "gap", F.col("context")))
 
 
 @query("report_json")
 def report_json(i: Inputs):
-    wide = fleet.facts(_tables(i))
+    t = _tables(i)
+    wide = stage(fleet.facts(t), "facts")
     scores = score.confidence_score(wide)
-    return sinks.to_report_json(scores, score.score_total(scores), score.gaps(wide), _questions(i))
+    return sinks.to_report_json(scores, score.score_total(scores), score.gaps(wide), _questions(i, t, wide))
 
 
 def _summary(i: Inputs) -> DataFrame:
@@ -330,8 +333,9 @@ def throttle_user(i: Inputs):
 
 @query("throttle_type", (), _throttle_sql("event_type"))
 def throttle_type(i: Inputs):
-    """A handful of keys hold all rows."""
-    return incremental.throttle(i.events.select("event_id", "ts", "event_type"), "event_type", "ts", "event_id").drop("ts")
+    """A handful of keys hold all rows, so they take the way of busy keys."""
+    events = i.events.select("event_id", "ts", "event_type")
+    return incremental.throttle(events, "event_type", "ts", "event_id", sparse=100).drop("ts")
 
 
 @query("trigger_routing", (), "SELECT event_id, user_id FROM events WHERE CASE WHEN event_type = 'purchase' THEN 'merge' WHEN event_type = 'error' THEN 'manual' ELSE 'commit' END = 'commit'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches of a job read to the shared folder, and read it back.
+
+    Unlike a cache it survives lost executors, and unlike a checkpoint it keeps column pruning.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def rule_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """DataFrame over driver-held rule rows; hinted for broadcast only while its size is small."""
     rows = [tuple(r) for r in rows]
