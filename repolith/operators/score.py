@@ -68,18 +68,25 @@ def command_facts(commands: DataFrame) -> DataFrame:
 def confidence_facts(repos: DataFrame, *frames: DataFrame) -> DataFrame:
     """One wide fact row per repository from per-repository frames; absent facts get their default.
 
-    Every frame is already grouped by ``repo_id``, so the joins reuse that partitioning.
+    The frames are stacked and folded by one grouping, instead of a chain of joins on ``repo_id``.
     """
-    out = repos.select("repo_id").distinct()
+    stacked = repos.select("repo_id", F.lit(True).alias("_known"))
+    present = set()
     for frame in frames:
-        keep = [c for c in frame.columns if c == "repo_id" or c in FACT_DEFAULTS]
-        out = out.join(frame.select(*keep), "repo_id", "left")
+        keep = [c for c in frame.columns if c in FACT_DEFAULTS]
+        present.update(keep)
+        stacked = stacked.unionByName(frame.select("repo_id", *keep), allowMissingColumns=True)
+    folded = (
+        stacked.groupBy("repo_id")
+        .agg(F.max("_known").alias("_known"), *[F.max(c).alias(c) for c in sorted(present)])
+        .filter("_known")
+    )
     columns = []
     for name, default in FACT_DEFAULTS.items():
         kind = {bool: "boolean", int: "bigint"}.get(type(default), "string")
         value = F.lit(default).cast(kind)
-        columns.append((F.coalesce(F.col(name), value) if name in out.columns else value).alias(name))
-    return out.select("repo_id", *columns)
+        columns.append((F.coalesce(F.col(name), value) if name in present else value).alias(name))
+    return folded.select("repo_id", *columns)
 
 
 def _points(condition: Column, points: int, otherwise: int = 0) -> Column:
