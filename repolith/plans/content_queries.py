@@ -46,7 +46,7 @@ def todo_topk(i: Inputs):
 def _rule_sql(source: str, language: str, rules) -> str:
     lines = f"rl AS (SELECT repo_id, path, {language} AS language, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {source})"
     hits = " UNION ALL ".join(
-        f"SELECT repo_id, path, line_no, '{c}' AS category, {n} AS rule FROM rl WHERE {'true' if lang == '*' else f'''language = '{lang}' '''} AND regexp_matches(line, '{p}')"
+        f"SELECT repo_id, path, line_no, '{c}' AS category, CAST({n} AS BIGINT) AS rule FROM rl WHERE {'true' if lang == '*' else f'''language = '{lang}' '''} AND regexp_matches(line, '{p}')"
         for n, (lang, c, p) in enumerate(rules)
     )
     return f"{lines}, hits AS ({hits})"
@@ -117,7 +117,7 @@ def team_rules(i: Inputs):
 
 # the views' compose file has a fixed shape, so the oracle states the services directly
 SERVICES_SQL = """composed AS (SELECT repo_id, path, s_nationkey AS k FROM v_special WHERE path = 'docker-compose.yml'),
-  svc AS (SELECT repo_id, path, 'web' AS service, 2 AS line_no, '8080' AS port, concat('db', k, '|cache') AS depends_on FROM composed
+  svc AS (SELECT repo_id, path, 'web' AS service, CAST(2 AS BIGINT) AS line_no, '8080' AS port, concat('db', k, '|cache') AS depends_on FROM composed
     UNION ALL SELECT repo_id, path, concat('db', k), 9, '5432', '' FROM composed UNION ALL SELECT repo_id, path, 'cache', 13, NULL, '' FROM composed)"""
 
 
@@ -130,7 +130,7 @@ def service_map(i: Inputs):
 
 COMMANDS_SQL = """has AS (SELECT repo_id, bool_or(path = 'pom.xml') AS pom, bool_or(path = 'package.json') AS pkg, bool_or(path = 'Makefile') AS mk, bool_or(path = 'Dockerfile') AS dk FROM v_files GROUP BY repo_id),
   pk AS (SELECT repo_id, json_valid(text) AS good FROM v_contents WHERE path = 'package.json'),
-  cmds AS (SELECT repo_id, 1 AS pos, 'build' AS name, 'mvn clean package -DskipTests' AS command, 'pom.xml' AS source FROM has WHERE pom
+  cmds AS (SELECT repo_id, CAST(1 AS BIGINT) AS pos, 'build' AS name, 'mvn clean package -DskipTests' AS command, 'pom.xml' AS source FROM has WHERE pom
     UNION ALL SELECT repo_id, 2, 'test', 'mvn test', 'pom.xml' FROM has WHERE pom UNION ALL SELECT repo_id, 3, 'run', 'mvn spring-boot:run', 'pom.xml' FROM has WHERE pom
     UNION ALL SELECT repo_id, 20, 'build', 'npm run build', 'package.json (tsc)' FROM pk WHERE good UNION ALL SELECT repo_id, 20, 'test', 'npm run test', 'package.json (vitest)' FROM pk WHERE good
     UNION ALL SELECT repo_id, 30, n, 'make ' || n, 'Makefile' FROM has CROSS JOIN (VALUES ('build'), ('lint'), ('run-dev')) v(n) WHERE mk
@@ -198,7 +198,7 @@ def _lit(value) -> str:
 
 
 _FWQ = ", ".join(f"({n}, {_lit(a)}, {_lit(b)}, {_lit(c)}, {_lit(d)})" for n, (a, b, c, d) in enumerate(fv.FRAMEWORK_QUESTIONS))
-FWQ_SQL = f"""{DETECT_SQL}, fwq AS (SELECT d.repo_id, q.name AS framework, q.question, q.context, q.pos FROM detected d JOIN (VALUES {_FWQ}) q(pos, name, question, context, blocked) ON q.name = d.name
+FWQ_SQL = f"""{DETECT_SQL}, fwq AS (SELECT d.repo_id, q.name AS framework, q.question, q.context, CAST(q.pos AS BIGINT) AS pos FROM detected d JOIN (VALUES {_FWQ}) q(pos, name, question, context, blocked) ON q.name = d.name
     WHERE d.kind IN ('framework', 'orm') AND (q.blocked IS NULL OR NOT EXISTS (SELECT 1 FROM mdeps m WHERE m.repo_id = d.repo_id AND m.dep = q.blocked)))"""
 
 
@@ -224,7 +224,7 @@ _TEST = fv.TEST_FILE_PATTERNS["pull_request"]
 PRS_SQL = f"""prs AS (SELECT repo_id, number, subject AS title, CASE WHEN is_merge THEN '' ELSE author END AS author,
     CASE WHEN number % 4 = 0 THEN NULL ELSE '2024-01-02 03:04:05' END AS merged_at, CASE WHEN number % 6 = 0 THEN 'Security' ELSE '' END AS labels,
     CASE WHEN number % 11 = 0 THEN '' ELSE concat(p1, '|', p2) END AS files, added AS lines_added, removed AS lines_removed,
-    CASE WHEN email = '' THEN 'lead' ELSE concat(email, '|lead') END AS reviewers, 1 AS comment_count,
+    CASE WHEN email = '' THEN 'lead' ELSE concat(email, '|lead') END AS reviewers, CAST(1 AS BIGINT) AS comment_count,
     number % 11 <> 0 AND (regexp_matches(p1, '{_TEST}') OR regexp_matches(p2, '{_TEST}')) AS has_tests,
     array_to_string(list_filter([CASE WHEN contains(lower(subject), 'breaking') THEN 'breaking-change' END, CASE WHEN contains(lower(subject), 'security') OR number % 6 = 0 THEN 'security' END,
       CASE WHEN contains(lower(subject), 'perf') THEN 'perf' END, CASE WHEN contains(lower(subject), 'fix') OR contains(lower(subject), 'bug') THEN 'bugfix' END,
@@ -245,7 +245,7 @@ def pr_tags(i: Inputs):
 
 
 _SUMS = """COUNT(*) AS n_prs, CAST(SUM(CASE WHEN files = '' THEN 0 ELSE 2 END) AS BIGINT) AS files, CAST(SUM(lines_added) AS BIGINT) AS added,
-  CAST(SUM(lines_removed) AS BIGINT) AS removed, count_if(has_tests) AS with_tests"""
+  CAST(SUM(lines_removed) AS BIGINT) AS removed, CAST(count_if(has_tests) AS BIGINT) AS with_tests"""
 
 
 @query("pr_summary", ("v_pr_source",), f"{PRS_SQL} SELECT repo_id, author, {_SUMS} FROM prs GROUP BY repo_id, author")

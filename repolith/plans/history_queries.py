@@ -256,7 +256,7 @@ def critical_touches(i: Inputs):
     FROM lineitem l JOIN v_parts p ON p.p_partkey = l.l_partkey)
   SELECT CASE WHEN d = 6 THEN 'a/' || substr(raw, 4) WHEN d = 7 THEN raw ELSE raw END AS path,
     COUNT(*) AS n, CAST(SUM(CASE WHEN d = 7 THEN 0 ELSE q END) AS BIGINT) AS insertions,
-    CAST(SUM(CASE WHEN d = 7 THEN 0 ELSE d END) AS BIGINT) AS deletions, count_if(d = 7) AS binaries FROM lines GROUP BY 1""")
+    CAST(SUM(CASE WHEN d = 7 THEN 0 ELSE d END) AS BIGINT) AS deletions, CAST(count_if(d = 7) AS BIGINT) AS binaries FROM lines GROUP BY 1""")
 def numstat_lines(i: Inputs):
     """Numstat text made from every order line, with binaries (-) and both rename forms, parsed back."""
     parts = i.v_parts

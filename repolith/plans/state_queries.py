@@ -70,7 +70,7 @@ SCORE_SQL = f"""{FACT_SQL}, sw AS (SELECT *, CASE WHEN description IS NOT NULL T
     least(15, least(9, n_patterns * 3) + least(6, CAST(floor(n_types / 5.0 + 0.5) AS BIGINT))) AS s4,
     least(15, least(5, n_rules * 2) + least(4, n_conventions * 2) + 2 * CAST(commit_style <> 'unknown' AS INT) + 2 * CAST(branch_pattern <> '' AS INT) + 2 * CAST(n_todos > 0 AS INT)) AS s5,
     3 * CAST(n_test_frameworks > 0 AS INT) + 3 * CAST(layout <> 'none' AS INT) + CASE WHEN has_test THEN 4 ELSE 1 END AS s6 FROM fr),
-  scores AS ({' UNION ALL '.join(f"SELECT repo_id, {n} AS pos, '{d}' AS dimension, CAST(s{n + 1} AS BIGINT) AS score, {m} AS max FROM sw" for n, (d, m) in enumerate(fv.DIMENSION_MAX))})"""
+  scores AS ({' UNION ALL '.join(f"SELECT repo_id, CAST({n} AS BIGINT) AS pos, '{d}' AS dimension, CAST(s{n + 1} AS BIGINT) AS score, CAST({m} AS BIGINT) AS max FROM sw" for n, (d, m) in enumerate(fv.DIMENSION_MAX))})"""
 _GRADE = "CASE WHEN {0} >= 80 THEN 'A' WHEN {0} >= 65 THEN 'B' WHEN {0} >= 50 THEN 'C' WHEN {0} >= 35 THEN 'D' ELSE 'F' END"
 TOTAL_SQL = f"totals AS (SELECT repo_id, CAST(SUM(score) AS BIGINT) AS total, {_GRADE.format('SUM(score)')} AS grade FROM scores GROUP BY repo_id)"
 
@@ -147,7 +147,7 @@ HEALTH_SQL = f"""{SINCE_SQL}, ex AS (SELECT repo_id, count_if(path IN ({_DOCS}))
   hw AS (SELECT x.repo_id, x.e, CASE WHEN s.stale THEN x.e ELSE 0 END AS st, coalesce(s.n_commits, 0) AS n_commits FROM ex x LEFT JOIN since s ON s.repo_id = x.repo_id),
   hs AS (SELECT *, CAST(greatest(0, least(100, floor((e * 20 - st * 5) / 80.0 * 100 + 0.5))) AS BIGINT) AS score FROM hw),
   health AS (SELECT repo_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade,
-    4 - e AS n_missing, st AS n_stale, n_commits FROM hs)"""
+    CAST(4 - e AS BIGINT) AS n_missing, CAST(st AS BIGINT) AS n_stale, n_commits FROM hs)"""
 
 
 def _health(i: Inputs) -> DataFrame:
@@ -166,7 +166,7 @@ def doc_issues(i: Inputs):
     return score.doc_issues(i.v_files, _health(i), EXPECTED_DOCS)
 
 
-@query("rubric_score", ("v_commits",), """SELECT c.repo_id, l.l_suppkey AS run_id, SUM(l.l_linenumber - 1) * 2.5 AS total, count_if(l.l_linenumber - 1 < 5) AS n_gaps
+@query("rubric_score", ("v_commits",), """SELECT c.repo_id, l.l_suppkey AS run_id, CAST(SUM(l.l_linenumber - 1) * 2.5 AS DOUBLE) AS total, CAST(count_if(l.l_linenumber - 1 < 5) AS BIGINT) AS n_gaps
   FROM lineitem l JOIN v_commits c ON c.commit_id = l.l_orderkey GROUP BY ALL""")
 def rubric_score(i: Inputs):
     rubric = i.lineitem.join(i.v_commits, F.col("l_orderkey") == F.col("commit_id")).select(

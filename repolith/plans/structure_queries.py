@@ -85,7 +85,7 @@ def language_share(i: Inputs):
 def _layout_sql(source: str, variant: str) -> str:
     sep = " OR ".join(f"starts_with(path, '{d}')" for d in fv.TEST_DIRS)
     hit = f"regexp_matches(path, '{fv.TEST_FILE_PATTERNS[variant]}')"
-    return f"""tl AS (SELECT repo_id, count_if({hit} AND NOT ({sep})) AS colocated, count_if({hit} AND ({sep})) AS separate FROM {source} GROUP BY repo_id),
+    return f"""tl AS (SELECT repo_id, CAST(count_if({hit} AND NOT ({sep})) AS BIGINT) AS colocated, CAST(count_if({hit} AND ({sep})) AS BIGINT) AS separate FROM {source} GROUP BY repo_id),
   layouts AS (SELECT *, CASE WHEN colocated = 0 AND separate = 0 THEN 'none' WHEN colocated > 0 AND separate > 0 THEN 'mixed'
     WHEN colocated > separate THEN 'colocated' ELSE 'separate-dir' END AS layout FROM tl)"""
 
@@ -393,7 +393,7 @@ def annotation_usage(i: Inputs):
 
 def _literal_sql(source: str, patterns) -> str:
     parts = [
-        f"SELECT repo_id, '{name}' AS pattern, count_if({' OR '.join(f'''contains(text, '{x}')''' for x in lits)}) AS n_files, count_if({' OR '.join(f'''contains(text, '{x}')''' for x in lits)}) > {limit} AS present FROM {source} GROUP BY repo_id"
+        f"SELECT repo_id, '{name}' AS pattern, CAST(count_if({' OR '.join(f'''contains(text, '{x}')''' for x in lits)}) AS BIGINT) AS n_files, count_if({' OR '.join(f'''contains(text, '{x}')''' for x in lits)}) > {limit} AS present FROM {source} GROUP BY repo_id"
         for name, lits, limit in patterns
     ]
     return " UNION ALL ".join(parts)
