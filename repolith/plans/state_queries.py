@@ -354,11 +354,11 @@ def _commit_rows(i: Inputs) -> DataFrame:
 
 
 def _landing(i: Inputs) -> tuple[DataFrame, str]:
-    """Commits delivered as files in the shared folder, one part of them twice, read as a stream."""
+    """Commits delivered as files in the shared folder, the larger ones twice, read as a stream."""
     base = f"{ensure_checkpoint_dir(i.spark)}/stream-{uuid.uuid4().hex}"
     commits = _commit_rows(i)
     commits.write.mode("overwrite").parquet(f"{base}/landing/first")
-    i.spark.read.parquet(f"{base}/landing/first").filter("commit_id % 3 = 0").write.parquet(f"{base}/landing/again")
+    i.spark.read.parquet(f"{base}/landing/first").filter("size(files) > 3").write.parquet(f"{base}/landing/again")
     schema_path = f"{base}/landing/*"
     return increments.read_commit_stream(i.spark, schema_path), base
 

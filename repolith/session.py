@@ -6,8 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rule tables held by the driver may be broadcast up to this many rows; larger ones shuffle.
 MAX_BROADCAST_ROWS = 10_000
@@ -56,6 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer pieces than there are cores; leave a larger one alone.
+
+    A small file is one row group and so one task, however costly the work on each row. Tables
+    with at least a piece per core, as any large table has, get no extra exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several branches of a job read to the shared folder, and read it back.
 
@@ -67,7 +80,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def rule_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """DataFrame over driver-held rule rows; hinted for broadcast only while its size is small."""
+    """DataFrame over driver-held rule rows; hinted for broadcast only while its size is small.
+
+    The rows travel as an Arrow table and so become part of the plan, without a Python job.
+    """
     rows = [tuple(r) for r in rows]
-    df = spark.createDataFrame(rows, schema)
+    fields = T.StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow_schema)]
+    df = spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow_schema), fields)
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
