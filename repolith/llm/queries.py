@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import base, line_chunks, mixing, token_codes
+from repolith.llm import base, line_chunks, mixing, pii, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,11 @@ def _line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without multi-line chunks that occur before."""
     found = line_chunks.remove_repeated_chunks(base.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "chunks_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_pii")
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find_personal_data(base.table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
