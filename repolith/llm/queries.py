@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import base, line_chunks, mixing, pii, token_codes
+from repolith.llm import base, line_chunks, mixing, pii, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,10 @@ def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(base.table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query("op7_suffix_dedup")
+def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without 400-byte strings that start elsewhere too."""
+    found = suffix_dedup.remove_repeated_bytes(base.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
