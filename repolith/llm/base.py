@@ -46,6 +46,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut, lost executors do no harm."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    # shuffle files are dropped once the driver's garbage collector has found the plans that made them
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

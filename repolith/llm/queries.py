@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import base, line_chunks, mixing, pii, suffix_dedup, token_codes
+from repolith.llm import base, line_chunks, mixing, phrase_dedup, pii, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,10 @@ def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without 400-byte strings that start elsewhere too."""
     found = suffix_dedup.remove_repeated_bytes(base.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op10_phrase_dedup")
+def _phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without 35-word windows that start elsewhere too."""
+    found = phrase_dedup.remove_repeated_phrases(base.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -19,6 +19,7 @@ row per anchor, so Spark may split the rows of a very common one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -174,32 +175,46 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, values: Callable[[], Values
     return texts.mapInArrow(scan, "anchor long, span long, offset int, hash long")
 
 
-def repeated_windows(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> DataFrame:
-    """doc_id, h, begin, end: runs of tokens covered by windows that start anywhere else too.
-
-    ``docs (doc_id, h, text)``, with ``h`` a hash of the text. Runs of one document may touch or overlap,
-    and rows alike in doc_id and text give each run twice; :func:`merged` puts them in order.
+class Recurring(NamedTuple):
+    """``spans``: the spans whose anchor recurs (``SPANS`` and ``differ``). ``kinds``: each distinct (anchor, span)
+    with its count ``n`` and one place (doc_id, h, first, last). ``runs``: anchor, span, b, e, the first and last
+    offset of windows that recur, for the kinds of anchors whose spans differ.
     """
-    recurring = base.stage(recurring_spans(spans(docs, values, window, k)), "spans")
-    equal = recurring.filter("not differ").select("doc_id", "h", "first", "last")
 
-    differing = recurring.filter("differ")
-    kinds = differing.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "first", "last")).alias("at"))
-    kinds = base.stage(kinds.select("anchor", "span", "n", "at.*"), "kinds")
-    listed = window_hashes(docs, kinds, values, window)
+    spans: DataFrame
+    kinds: DataFrame
+    runs: DataFrame
+
+
+def recurring_windows(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> Recurring:
+    """All three passes over ``docs (doc_id, h, text)``, with ``h`` a hash of the text."""
+    recurring = base.stage(recurring_spans(spans(docs, values, window, k)), "spans")
+    kinds = recurring.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.max("differ").alias("differ"), F.min(F.struct("doc_id", "h", "first", "last")).alias("at"))
+    kinds = base.stage(kinds.select("anchor", "span", "n", "differ", "at.*"), "kinds")
     # windows found under two kinds of spans; equal windows have the same anchor
-    found = base.stage(listed, "windows")
-    groups = found.groupBy("anchor", "hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high")
-    again = found.join(groups.select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("anchor", "span", "offset")
+    listed = base.stage(window_hashes(docs, kinds.filter("differ"), values, window), "windows")
+    groups = listed.groupBy("anchor", "hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high")
+    again = listed.join(groups.select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("anchor", "span", "offset")
     runs = again.groupBy("anchor", "span").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
-    runs = runs.union(kinds.filter("n > 1").select("anchor", "span", F.sequence(F.lit(0), F.col("last") - F.col("first")).alias("offsets")))
-    # first and last offset of every run without a gap
+    # all windows of a kind that stands in two places
+    whole = kinds.filter("differ and n > 1").select("anchor", "span", F.sequence(F.lit(0), F.col("last") - F.col("first")).alias("offsets"))
     begins = F.filter("offsets", lambda o, i: (i == 0) | (F.get("offsets", i - 1) != o - 1))
     ends = F.filter("offsets", lambda o, i: (i == F.size("offsets") - 1) | (F.get("offsets", i + 1) != o + 1))
-    runs = runs.select("anchor", "span", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("runs"))
-    hit = differing.select("anchor", "span", "doc_id", "h", "first").join(runs, ["anchor", "span"])
-    hit = hit.select("doc_id", "h", "first", F.explode("runs").alias("r"))
-    hit = hit.select("doc_id", "h", (F.col("first") + F.col("r.b")).alias("first"), (F.col("first") + F.col("r.e")).alias("last"))
+    runs = runs.union(whole).select("anchor", "span", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("r"))
+    runs = runs.select("anchor", "span", F.explode("r").alias("r")).select("anchor", "span", "r.b", "r.e").distinct()
+    return Recurring(recurring, kinds, base.stage(runs, "runs"))
+
+
+def repeated_windows(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> DataFrame:
+    """doc_id, h, begin, end: runs of tokens covered by windows that start anywhere else too.
+
+    Runs of one document may touch or overlap, and rows alike in doc_id and text give each run twice;
+    :func:`merged` puts them in order.
+    """
+    found = recurring_windows(docs, values, window, k)
+    equal = found.spans.filter("not differ").select("doc_id", "h", "first", "last")
+    hit = found.spans.filter("differ").select("anchor", "span", "doc_id", "h", "first").join(found.runs, ["anchor", "span"])
+    hit = hit.select("doc_id", "h", (F.col("first") + F.col("b")).alias("first"), (F.col("first") + F.col("e")).alias("last"))
     return equal.union(hit).select("doc_id", "h", F.col("first").alias("begin"), (F.col("last") + window).alias("end"))
 
 
