@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import base, line_chunks, mixing, phrase_dedup, pii, suffix_dedup, token_codes
+from repolith.llm import base, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,10 @@ def _phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without 35-word windows that start elsewhere too."""
     found = phrase_dedup.remove_repeated_phrases(base.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_ngram_join")
+def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 of 100 four-word shingles."""
+    found = ngram_join.similar_documents(base.table(spark, sf_dir, "documents"), percent=85, n=4)
+    return found.select("doc_id", "n_shingles", "component_id")
