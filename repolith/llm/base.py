@@ -48,16 +48,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     # shuffle files are dropped once the driver's garbage collector has found the plans that made them
     df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the files of staged frames that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

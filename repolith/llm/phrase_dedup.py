@@ -38,7 +38,7 @@ def _values() -> windows.Values:
 def passages(docs: DataFrame, found: windows.Recurring, window: int) -> DataFrame:
     """anchor, span, passage: the words of every recurring run, from the place that stands for its kind."""
     whole = found.kinds.filter("not differ").select("anchor", "span", "doc_id", "h", "first", "last")
-    parts = found.kinds.filter("differ").join(found.runs, ["anchor", "span"])
+    parts = found.kinds.filter("differ").join(found.runs, "span")
     parts = parts.select("anchor", "span", "doc_id", "h", (F.col("first") + F.col("b")).alias("first"), (F.col("first") + F.col("e")).alias("last"))
     asked = whole.union(parts).groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "span", "first", "last")).alias("asked"))
     texts = docs.alias("d").join(asked.alias("a"), windows.same_document("d", "a")).select("d.doc_id", "d.h", "text", "asked").dropDuplicates(["doc_id", "h"])

@@ -145,15 +145,17 @@ def recurring_spans(found: DataFrame) -> DataFrame:
     """Passes 1 and 2: spans whose anchor recurs, with ``differ``: whether not all its spans are equal."""
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
     groups = groups.filter("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+    # a table of its own, so that the join may split the rows of a very common anchor
+    groups = base.stage(groups, "anchors")
     return found.join(groups, "anchor")
 
 
 def window_hashes(docs: DataFrame, kinds: DataFrame, values: Callable[[], Values], window: int) -> DataFrame:
-    """anchor, span, offset, hash of every window of ``kinds (anchor, span, doc_id, h, first, last)``.
+    """span, offset, hash of every window of ``kinds (anchor, span, doc_id, h, first, last)``.
 
     The texts meet the list of spans they are asked for, never more than one document's.
     """
-    asked = kinds.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "span", "first", "last")).alias("asked"))
+    asked = kinds.groupBy("doc_id", "h").agg(F.collect_list(F.struct("span", "first", "last")).alias("asked"))
     # rows alike in doc_id and text would list the same windows twice
     texts = docs.alias("d").join(asked.alias("a"), same_document("d", "a")).select("d.doc_id", "d.h", "text", "asked").dropDuplicates(["doc_id", "h"])
 
@@ -162,22 +164,22 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, values: Callable[[], Values
         for batch in base.pieces(batches, 200):
             for text, wanted in zip(batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
                 rolling = Rolling(of(text))
-                first, last, anchor, span = (np.array([w[c] for w in wanted], np.int64) for c in ("first", "last", "anchor", "span"))
+                first, last, span = (np.array([w[c] for w in wanted], np.int64) for c in ("first", "last", "span"))
                 counts = last - first + 1
                 offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 start = np.repeat(first, counts) + offset
                 hashes = rolling.hash(start, start + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(anchor, counts)), pa.array(np.repeat(span, counts)), pa.array(offset.astype(np.int32)), base.signed(hashes)],
-                    names=["anchor", "span", "offset", "hash"],
+                    [pa.array(np.repeat(span, counts)), pa.array(offset.astype(np.int32)), base.signed(hashes)],
+                    names=["span", "offset", "hash"],
                 )
 
-    return texts.mapInArrow(scan, "anchor long, span long, offset int, hash long")
+    return texts.mapInArrow(scan, "span long, offset int, hash long")
 
 
 class Recurring(NamedTuple):
     """``spans``: the spans whose anchor recurs (``SPANS`` and ``differ``). ``kinds``: each distinct (anchor, span)
-    with its count ``n`` and one place (doc_id, h, first, last). ``runs``: anchor, span, b, e, the first and last
+    with its count ``n`` and one place (doc_id, h, first, last). ``runs``: span, b, e, the first and last
     offset of windows that recur, for the kinds of anchors whose spans differ.
     """
 
@@ -191,18 +193,21 @@ def recurring_windows(docs: DataFrame, values: Callable[[], Values], window: int
     recurring = base.stage(recurring_spans(spans(docs, values, window, k)), "spans")
     kinds = recurring.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.max("differ").alias("differ"), F.min(F.struct("doc_id", "h", "first", "last")).alias("at"))
     kinds = base.stage(kinds.select("anchor", "span", "n", "differ", "at.*"), "kinds")
-    # windows found under two kinds of spans; equal windows have the same anchor
+    # windows found under two kinds of spans
     listed = base.stage(window_hashes(docs, kinds.filter("differ"), values, window), "windows")
-    groups = listed.groupBy("anchor", "hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high")
-    again = listed.join(groups.select("anchor", "hash"), ["anchor", "hash"], "left_semi").select("anchor", "span", "offset")
-    runs = again.groupBy("anchor", "span").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    groups = listed.groupBy("hash").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low <> high")
+    groups = base.stage(groups.select("hash"), "hashes")
+    again = listed.join(groups, "hash", "left_semi").select("span", "offset")
+    runs = again.groupBy("span").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
     # all windows of a kind that stands in two places
-    whole = kinds.filter("differ and n > 1").select("anchor", "span", F.sequence(F.lit(0), F.col("last") - F.col("first")).alias("offsets"))
+    whole = kinds.filter("differ and n > 1").select("span", F.sequence(F.lit(0), F.col("last") - F.col("first")).alias("offsets"))
     begins = F.filter("offsets", lambda o, i: (i == 0) | (F.get("offsets", i - 1) != o - 1))
     ends = F.filter("offsets", lambda o, i: (i == F.size("offsets") - 1) | (F.get("offsets", i + 1) != o + 1))
-    runs = runs.union(whole).select("anchor", "span", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("r"))
-    runs = runs.select("anchor", "span", F.explode("r").alias("r")).select("anchor", "span", "r.b", "r.e").distinct()
-    return Recurring(recurring, kinds, base.stage(runs, "runs"))
+    runs = runs.union(whole).select("span", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("r"))
+    runs = runs.select("span", F.explode("r").alias("r")).select("span", "r.b", "r.e").distinct()
+    out = Recurring(recurring, kinds, base.stage(runs, "runs"))
+    base.drop_staged(listed, groups)
+    return out
 
 
 def repeated_windows(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> DataFrame:
@@ -213,7 +218,7 @@ def repeated_windows(docs: DataFrame, values: Callable[[], Values], window: int,
     """
     found = recurring_windows(docs, values, window, k)
     equal = found.spans.filter("not differ").select("doc_id", "h", "first", "last")
-    hit = found.spans.filter("differ").select("anchor", "span", "doc_id", "h", "first").join(found.runs, ["anchor", "span"])
+    hit = found.spans.filter("differ").select("span", "doc_id", "h", "first").join(found.runs, "span")
     hit = hit.select("doc_id", "h", (F.col("first") + F.col("b")).alias("first"), (F.col("first") + F.col("e")).alias("last"))
     return equal.union(hit).select("doc_id", "h", F.col("first").alias("begin"), (F.col("last") + window).alias("end"))
 
