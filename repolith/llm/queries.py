@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import base, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
+from repolith.llm import ann, base, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,9 @@ def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 of 100 four-word shingles."""
     found = ngram_join.similar_documents(base.table(spark, sf_dir, "documents"), percent=85, n=4)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_ann")
+def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth vector."""
+    return ann.search(base.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
