@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import ann, base, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
+from repolith.llm import ann, base, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,9 @@ def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty nearest of every twentieth vector."""
     return ann.search(base.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op8_decontamination")
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return decontaminate.contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
