@@ -145,6 +145,8 @@ class Items:
         slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         same = self.grams[slot] == grams[at]
         at, slot = at[same], slot[same]
+        if not len(at):
+            return
         counts = self.first[slot + 1] - self.first[slot]
         each = np.repeat(self.first[slot], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         item, diagonal = self.item[each], np.repeat(at, counts) - self.place[each]
