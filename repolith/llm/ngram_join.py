@@ -148,8 +148,11 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) ->
     rule = Similarity(percent)
     keys = nodes.select("node", F.explode("keys").alias("key"))
     groups = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key", "first")
+    # a table of its own: the join may split the rows of a very common key, and shuffle files go earlier
+    groups = base.stage(groups, "keys")
     near = keys.join(groups, "key").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     families = base.stage(components(near), "families")
+    base.drop_staged(groups)
 
     # members in parts of about the same number of shingles
     members = families.join(nodes.select("node", "doc_id", "h", "n_shingles"), "node")
@@ -190,10 +193,11 @@ def similar_documents(docs: DataFrame, percent: int, n: int, tile: int = TILE_SH
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = base.stage(sketched(rows, percent, n), "sketches")
-    each = found.select("doc_id", "h", "n_shingles", "node")
+    each = base.stage(found.select("doc_id", "h", "n_shingles", "node"), "documents")
     first = F.min(F.struct("doc_id", "h")).alias("at")
     nodes = found.filter("n_shingles > 0").groupBy("node").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     nodes = base.stage(nodes.select("node", "at.doc_id", "at.h", "n_shingles", "keys"), "nodes")
+    base.drop_staged(found)
     joined = components(links(rows, nodes, percent, n, tile))
 
     named = each.filter("n_shingles > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
