@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import ann, base, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, suffix_dedup, token_codes
+from repolith.llm import ann, base, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, quality, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,11 @@ def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents."""
     return decontaminate.contaminated(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity per character of all documents under trusted text, and which stay."""
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = quality.judge(docs, base.table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", F.exp("_entropy").alias("perplexity"), F.exp("_threshold").alias("threshold"), F.col("_keep").alias("keep"))
