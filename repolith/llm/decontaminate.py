@@ -185,6 +185,16 @@ class Items:
                 yield (i, *best)
 
 
+def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[list[tuple]]:
+    """Items (item_id, text) in blocks of about ``size``, which bounds what is broadcast."""
+    numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("hash", F.xxhash64("item_id", "text"))
+    blocks = max(1, -(-benchmark.count() // size))
+    for block in range(blocks):
+        rows = numbered.filter(F.pmod("hash", F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        if rows:
+            yield [(r["item_id"], r["text"]) for r in rows]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, item_words, distance, begin, end: items found in ``docs (doc_id, text)``.
 
@@ -198,21 +208,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     """
     spark = docs.sparkSession
     rows = base.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "text"])
-    numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)))
-    sizes = sorted((r["bucket"], r["count"]) for r in numbered.groupBy("bucket").count().collect())
-    blocks: list[list[int]] = []
-    room = 0
-    for bucket, n in sizes:
-        if not blocks or n > room:
-            blocks.append([])
-            room = ITEM_BLOCK
-        blocks[-1].append(bucket)
-        room -= n
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     names = ["doc_id", "item_id", "item_words", "distance", "begin", "end"]
     out = spark.createDataFrame([], "doc_id long, item_id long, item_words int, distance int, begin int, end int")
-    for block in blocks:
-        some = [(r["item_id"], r["text"]) for r in numbered.filter(F.col("bucket").isin(block)).orderBy("item_id", "text").collect()]
+    for some in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(some)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -226,3 +225,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
 
         out = out.union(rows.mapInArrow(scan, out.schema))
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """Rows of ``docs`` that hold no item, with all their columns."""
+    for some in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items, hashes = Items.build(shared.value, edits), base.WordHashes()
+            for batch in base.pieces(batches):
+                stays = [next(items.matches(hashes.array(normal_words(t or ""))), None) is None for t in batch["text"].to_pylist()]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

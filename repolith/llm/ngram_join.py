@@ -180,11 +180,11 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) ->
 
 
 def similar_documents(docs: DataFrame, percent: int, n: int, tile: int = TILE_SHINGLES) -> DataFrame:
-    """doc_id, h, n_shingles, component_id for each row of ``docs (doc_id, text)``; ``h`` is a hash of the text.
+    """doc_id, h, n_shingles, component, component_id for each row of ``docs (doc_id, text)``; ``h`` is a hash of the text.
 
     Texts in lower case (A-Z) are sets of runs of ``n`` words; two are linked when their intersection is at
     least ``percent`` hundredths of their union. ``component_id`` is the smallest doc_id that links
-    reach. A text of fewer words is one shingle, the whole of it; a null text or one without words
+    reach, ``component`` a number of its own, null where there is no shingle. A text of fewer words is one shingle, the whole of it; a null text or one without words
     has none and is linked with nothing. Rows of equal sets are linked; ids may be null or repeat, and a
     component without any id has a null one. Other columns are ignored. An empty table gives an
     empty result.
@@ -202,6 +202,20 @@ def similar_documents(docs: DataFrame, percent: int, n: int, tile: int = TILE_SH
 
     named = each.filter("n_shingles > 0").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "component").select("doc_id", "h", "n_shingles", "component_id")
-    alone = each.filter("n_shingles = 0").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(alone)
+    columns = ("doc_id", "h", "n_shingles", "component", "component_id")
+    out = named.join(smallest, "component").select(*columns)
+    alone = each.filter("n_shingles = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return out.union(alone.select(*columns))
+
+
+def one_of_each(docs: DataFrame, percent: int, n: int, tile: int = TILE_SHINGLES) -> DataFrame:
+    """Rows of ``docs`` without all but one of each group: that of the smallest (doc_id, text hash) stays.
+
+    Of rows alike in doc_id and text one stays; documents without words all stay.
+    """
+    found = similar_documents(docs, percent, n, tile)
+    stays = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("at")).select("at.doc_id", "at.h").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    wordless = ~F.coalesce("_row.text", F.lit("")).rlike(base.WORD)
+    first = keyed.filter(~wordless).join(stays, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left_semi").dropDuplicates(["_id", "_h"])
+    return first.unionByName(keyed.filter(wordless)).select("_row.*")
