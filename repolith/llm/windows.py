@@ -201,10 +201,12 @@ def recurring_windows(docs: DataFrame, values: Callable[[], Values], window: int
     runs = again.groupBy("span").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
     # all windows of a kind that stands in two places
     whole = kinds.filter("differ and n > 1").select("span", F.sequence(F.lit(0), F.col("last") - F.col("first")).alias("offsets"))
+    # written first, as a lambda would sort the array anew for each of its elements
+    runs = base.stage(runs.union(whole), "offsets")
     begins = F.filter("offsets", lambda o, i: (i == 0) | (F.get("offsets", i - 1) != o - 1))
     ends = F.filter("offsets", lambda o, i: (i == F.size("offsets") - 1) | (F.get("offsets", i + 1) != o + 1))
-    runs = runs.union(whole).select("span", F.arrays_zip(begins.alias("b"), ends.alias("e")).alias("r"))
-    runs = runs.select("span", F.explode("r").alias("r")).select("span", "r.b", "r.e").distinct()
+    runs = runs.select("span", F.explode_outer(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("r"))
+    runs = runs.select("span", "r.b", "r.e").distinct()
     out = Recurring(recurring, kinds, base.stage(runs, "runs"))
     base.drop_staged(listed, groups)
     return out
