@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.session import tune
+from repolith.session import ensure_checkpoint_dir, tune
 
 #: Words of all contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,12 +30,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset the operators fail; tests set a folder of their own.
+    Where it is unset, a local session gets one of its own and a cluster fails.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
