@@ -87,7 +87,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; remembers up to ``limit`` of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 600_000):
         super().__init__()
         self.limit = limit
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,12 @@ def _words(text: str) -> list[bytes]:
 
 def _values() -> windows.Values:
     hashes = base.WordHashes()
-    return lambda text: hashes.array(_words(text))
+
+    def values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [_words(t) for t in texts]
+        return hashes.array(list(chain.from_iterable(words))), np.array([len(w) for w in words], np.int64)
+
+    return values
 
 
 def passages(docs: DataFrame, found: windows.Recurring, window: int) -> DataFrame:
@@ -96,6 +102,8 @@ def remove_repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int =
     batches = max(4 * base.partitions(spark), -(-chars // batch_chars))
     batch = F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)).alias("batch")
     routed = found.spans.select("anchor", "span", batch).distinct().join(texts, ["anchor", "span"]).select("batch", "passage")
+    routed = base.stage(routed, "routed")
+    base.drop_staged(texts, found.spans, found.kinds, found.runs)
     dealt = rows.select(batch, "doc_id", "text")
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 

@@ -23,7 +23,11 @@ _BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
 
 
 def _values() -> windows.Values:
-    return lambda text: _BYTES[np.frombuffer(text.encode(), np.uint8)]
+    def values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode() for t in texts]
+        return _BYTES[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw], np.int64)
+
+    return values
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: float = 0.6) -> DataFrame:

@@ -81,57 +81,53 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(grams: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows: place of the anchor, first and last window start filed under it.
+def anchors(grams: np.ndarray, lengths: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows that lie inside one of the texts that follow each other with these lengths.
 
-    ``grams`` has the hash of every run of ``k`` tokens. Of equal hashes the leftmost counts, which
-    depends on the window alone.
+    Place of the anchor, first and last window start filed under it. ``grams`` has the hash of every run of
+    ``k`` tokens. Of equal hashes the leftmost counts, which depends on the window alone.
     """
-    width, n = window - k + 1, len(grams) - (window - k)
+    width, n = window - k + 1, int(lengths.sum()) - window + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3
-    places, firsts, lasts = [], [], []
+    ends = np.repeat(np.cumsum(lengths), lengths)[:n]
+    inside = np.arange(window, n + window) <= ends
+    place = np.empty(n, np.int64)
     low = np.uint64((1 << _POSITION) - 1)
     for at in range(0, n, _BLOCK):
         some = grams[at : at + min(_BLOCK, n - at) + width - 1]
         smallest = sliding_min((some & ~low) | np.arange(len(some), dtype=np.uint64), width)
-        place = (smallest & low).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        places.append(place[first] + at)
-        firsts.append(first + at)
-        lasts.append(np.concatenate([first[1:], [len(place)]]) - 1 + at)
-    return np.concatenate(places), np.concatenate(firsts), np.concatenate(lasts)
+        place[at : at + len(smallest)] = (smallest & low).astype(np.int64) + at
+    place[~inside] = -1
+    change = np.flatnonzero(np.diff(place)) + 1
+    first = np.concatenate([[0], change])
+    last = np.concatenate([change, [n]]) - 1
+    full = place[first] >= 0
+    first, last = first[full], last[full]
+    return place[first], first, last
 
 
 SPANS = "doc_id long, h long, place int, first int, last int, anchor long, span long"
-Values = Callable[[str], np.ndarray]
+#: Token values of some texts, one after the other, and the number of each text's tokens.
+Values = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 def spans(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> DataFrame:
-    """``SPANS`` of ``docs (doc_id, h, text)``; ``values()`` makes the function from text to token values."""
+    """``SPANS`` of ``docs (doc_id, h, text)``; ``values()`` makes the function from texts to token values."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = values()
         for batch in base.pieces(batches):
-            hs = batch["h"].to_numpy()
-            at, out = [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                tokens = of(text)
-                if len(tokens) < window:
-                    continue
-                rolling = Rolling(tokens)
-                grams = rolling.all(k)
-                place, first, last = anchors(grams, window, k)
-                # the span's hash also knows where the anchor stands in it
-                whole = rolling.hash(first, last + window) ^ base.mix((place - first).astype(np.uint64))
-                at.append(np.full(len(place), i))
-                out.append((place, first, last, grams[place], whole))
-            if not out:
-                continue
-            rows = np.concatenate(at)
-            place, first, last, gram, whole = (np.concatenate(x) for x in zip(*out, strict=True))
-            columns = [batch["doc_id"].take(pa.array(rows)), pa.array(hs[rows])]
-            columns += [pa.array(x.astype(np.int32)) for x in (place, first, last)] + [base.signed(gram), base.signed(whole)]
+            tokens, lengths = of(batch["text"].to_pylist())
+            rolling = Rolling(tokens)
+            grams = rolling.all(k)
+            place, first, last = anchors(grams, lengths, window, k)
+            # the span's hash also knows where the anchor stands in it
+            whole = rolling.hash(first, last + window) ^ base.mix((place - first).astype(np.uint64))
+            begins = np.cumsum(lengths) - lengths
+            row = np.searchsorted(begins + lengths, first, side="right")
+            columns = [batch["doc_id"].take(pa.array(row)), batch["h"].take(pa.array(row))]
+            columns += [pa.array((x - begins[row]).astype(np.int32)) for x in (place, first, last)] + [base.signed(grams[place]), base.signed(whole)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "place", "first", "last", "anchor", "span"])
 
     return docs.select("doc_id", "h", "text").mapInArrow(scan, SPANS)
@@ -162,17 +158,15 @@ def window_hashes(docs: DataFrame, kinds: DataFrame, values: Callable[[], Values
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = values()
         for batch in base.pieces(batches, 200):
-            for text, wanted in zip(batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
-                rolling = Rolling(of(text))
-                first, last, span = (np.array([w[c] for w in wanted], np.int64) for c in ("first", "last", "span"))
-                counts = last - first + 1
-                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = np.repeat(first, counts) + offset
-                hashes = rolling.hash(start, start + window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(span, counts)), pa.array(offset.astype(np.int32)), base.signed(hashes)],
-                    names=["span", "offset", "hash"],
-                )
+            tokens, lengths = of(batch["text"].to_pylist())
+            rolling, asked = Rolling(tokens), batch["asked"]
+            each = asked.flatten()
+            first, last, span = (np.array(each.field(c), np.int64) for c in ("first", "last", "span"))
+            begins = np.repeat(np.cumsum(lengths) - lengths, np.array(asked.value_lengths(), np.int64))
+            counts = last - first + 1
+            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = np.repeat(first + begins, counts) + offset
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(span, counts)), pa.array(offset.astype(np.int32)), base.signed(rolling.hash(start, start + window))], names=["span", "offset", "hash"])
 
     return texts.mapInArrow(scan, "span long, offset int, hash long")
 
