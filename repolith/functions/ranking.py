@@ -3,8 +3,8 @@
 ``row_number() <= k`` is planned with a group limit on both sides of the exchange, so a task
 sends at most ``k`` rows per key: one repository holding a third of the rows does not become
 one task holding a third of the rows. This holds for ``k`` below Spark's
-``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 unless set). Rank aggregates, not raw
-facts, wherever possible.
+``spark.sql.optimizer.windowGroupLimitThreshold``, which ``session.RUNTIME_CONF`` raises to a
+million. Rank aggregates, not raw facts, wherever possible.
 """
 
 from __future__ import annotations

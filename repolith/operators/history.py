@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions import columns as C
@@ -56,8 +56,8 @@ def _changes_of_newest(changes: DataFrame, newest: int | None) -> DataFrame:
     return changes.join(keep, ["repo_id", "commit_id"], "left_semi")
 
 
-def file_churn(changes: DataFrame, newest: int | None = 50) -> DataFrame:
-    """Lines added plus removed per path over the newest commits (AGG-25)."""
+def file_churn(changes: DataFrame, newest: int | None = None) -> DataFrame:
+    """Lines added plus removed per path, over the newest commits where ``newest`` says so (AGG-25)."""
     return (
         _changes_of_newest(changes, newest)
         .groupBy("repo_id", "path")
@@ -111,8 +111,8 @@ def owners(commits: DataFrame) -> DataFrame:
     return commits.filter(~F.col("is_merge")).groupBy("repo_id", "author").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recurring_subjects(commits: DataFrame, newest: int | None = 50) -> DataFrame:
-    """How often each subject occurs among the newest commits (AGG-24)."""
+def recurring_subjects(commits: DataFrame, newest: int | None = None) -> DataFrame:
+    """How often each subject occurs, among the newest commits where ``newest`` says so (AGG-24)."""
     return newest_commits(commits, newest).groupBy("repo_id", "subject").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,16 +122,30 @@ def flagged_commits(commits: DataFrame, regex: str = fv.FLAGGED_SUBJECT, k: int
     return top_k(hits, k, ["repo_id"], newest_first()).select("repo_id", "commit_id", "subject", "rank")
 
 
-def commit_batches(commits: DataFrame, size: int = 20, newest: int = 400) -> DataFrame:
-    """Review batches over the newest non-merge commits (WIN-07)."""
-    ranked = top_k(commits.filter(~F.col("is_merge")), newest, ["repo_id"], newest_first())
+def commit_batches(commits: DataFrame, size: int = 20, newest: int | None = None) -> DataFrame:
+    """Review batches of non-merge commits, newest first; of the ``newest`` only if given (WIN-07).
+
+    All commits of a repository are numbered without one window over them: commits are counted by the
+    hour, the counts are summed up, and only the commits of an hour are put in order.
+    """
+    plain = commits.filter(~F.col("is_merge"))
+    if newest is not None:
+        ranked = top_k(plain, newest, ["repo_id"], newest_first())
+    else:
+        hours = plain.withColumn("_hour", F.date_trunc("hour", "committed_at"))
+        later = Window.partitionBy("repo_id").orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        counts = hours.groupBy("repo_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.select(F.col("repo_id").alias("_repo"), F.col("_hour").alias("_at"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+        inside = F.row_number().over(Window.partitionBy("repo_id", "_hour").orderBy(*newest_first()))
+        ranked = hours.withColumn("_inside", inside).join(counts, (F.col("repo_id") == F.col("_repo")) & F.col("_hour").eqNullSafe(F.col("_at")))
+        ranked = ranked.withColumn("rank", F.col("_before") + F.col("_inside"))
     return ranked.select(
         "repo_id", "commit_id", F.floor((F.col("rank") - 1) / F.lit(size)).cast("bigint").alias("batch")
     )
 
 
-def added_deleted(changes: DataFrame, files: DataFrame, newest: int | None = 50) -> DataFrame:
-    """Paths whose first ('added') or last ('deleted') appearance is among the newest commits (AGG-27).
+def added_deleted(changes: DataFrame, files: DataFrame, newest: int | None = None) -> DataFrame:
+    """First ('added') and last ('deleted') appearance of paths, among the ``newest`` commits if given (AGG-27).
 
     A path counts as deleted when it is no longer tracked.
     """
@@ -222,7 +236,7 @@ def dominant_naming(changes: DataFrame, k: int = 3) -> DataFrame:
     return _dominant(counts, "style", [s for s, _ in fv.NAMING_STYLES], total, examples)
 
 
-def commit_patterns(commits: DataFrame, newest: int | None = 200, legacy: bool = False) -> DataFrame:
+def commit_patterns(commits: DataFrame, newest: int | None = None, legacy: bool = False) -> DataFrame:
     """Style, merge strategy, branch names, examples and commits per pull request (AGG-18).
 
     The branch is the text after the owner in "from owner/branch"; ``legacy`` keeps only the

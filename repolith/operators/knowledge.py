@@ -50,13 +50,14 @@ def maturity(decisions: DataFrame) -> DataFrame:
     )
 
 
-def active_decision(decisions: DataFrame, max_depth: int = 50) -> DataFrame:
+def active_decision(decisions: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Follow ``superseded_by`` to the record in force (JOIN-16).
 
     Pointer doubling: each round joins the pointers with themselves and so doubles the distance,
-    so a chain of 50 takes six joins, not fifty. The pointers are checkpointed after each round,
-    which keeps the plan flat and survives lost executors. Records on a cycle, or deeper than
-    ``max_depth`` rounded up to a power of two, get no active record.
+    so a chain of 1,000 takes ten joins. The pointers are checkpointed after each round, which keeps
+    the plan flat and survives lost executors. Every round resolves more records while any chain is
+    left, so the rounds end with the first that resolves none; ``max_depth`` ends them earlier.
+    Records on a cycle get no active record.
     """
     ensure_checkpoint_dir(decisions.sparkSession)
     known = decisions.select("repo_id", "id")
@@ -70,8 +71,13 @@ def active_decision(decisions: DataFrame, max_depth: int = 50) -> DataFrame:
         "repo_id", "id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("bigint").alias("hops")
     )
     ends = links.filter("next IS NULL").select("repo_id", F.col("id").alias("at"), F.lit(True).alias("_end"))
-    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
+    resolved, rounds = -1, 0
+    while max_depth is None or rounds < max(1, math.ceil(math.log2(max_depth))):
         state = state.checkpoint()
+        now = state.join(ends, ["repo_id", "at"], "left_semi").count()
+        if now == resolved:
+            break
+        resolved, rounds = now, rounds + 1
         hop = state.select("repo_id", F.col("id").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
         state = state.join(hop, ["repo_id", "at"]).select(
             "repo_id", "id", F.col("further").alias("at"), (F.col("hops") + F.col("more")).alias("hops")

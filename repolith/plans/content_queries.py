@@ -223,9 +223,9 @@ def _prs(i: Inputs):
 _TEST = fv.TEST_FILE_PATTERNS["pull_request"]
 PRS_SQL = f"""prs AS (SELECT repo_id, number, subject AS title, CASE WHEN is_merge THEN '' ELSE author END AS author,
     CASE WHEN number % 4 = 0 THEN NULL ELSE '2024-01-02 03:04:05' END AS merged_at, CASE WHEN number % 6 = 0 THEN 'Security' ELSE '' END AS labels,
-    CASE WHEN number % 11 = 0 THEN '' ELSE concat(p1, '|', p2) END AS files, added AS lines_added, removed AS lines_removed,
+    CASE WHEN number % 11 = 0 THEN '' ELSE array_to_string(list_sort(string_split(paths, '|')), '|') END AS files, added AS lines_added, removed AS lines_removed,
     CASE WHEN email = '' THEN 'lead' ELSE concat(email, '|lead') END AS reviewers, CAST(1 AS BIGINT) AS comment_count,
-    number % 11 <> 0 AND (regexp_matches(p1, '{_TEST}') OR regexp_matches(p2, '{_TEST}')) AS has_tests,
+    number % 11 <> 0 AND len(list_filter(string_split(paths, '|'), lambda p: regexp_matches(p, '{_TEST}'))) > 0 AS has_tests,
     array_to_string(list_filter([CASE WHEN contains(lower(subject), 'breaking') THEN 'breaking-change' END, CASE WHEN contains(lower(subject), 'security') OR number % 6 = 0 THEN 'security' END,
       CASE WHEN contains(lower(subject), 'perf') THEN 'perf' END, CASE WHEN contains(lower(subject), 'fix') OR contains(lower(subject), 'bug') THEN 'bugfix' END,
       CASE WHEN contains(lower(subject), 'feat') THEN 'feature' END, CASE WHEN contains(lower(subject), 'refactor') THEN 'refactor' END,
@@ -236,7 +236,7 @@ PRS_SQL = f"""prs AS (SELECT repo_id, number, subject AS title, CASE WHEN is_mer
 def pr_flatten(i: Inputs):
     lists = ("labels", "files", "reviewers", "topics")
     flat = _prs(i).drop("description", "base_branch").withColumn("merged_at", stamp("merged_at"))
-    return flat.withColumns({c: text(c) for c in lists})
+    return flat.withColumn("files", F.array_sort("files")).withColumns({c: text(c) for c in lists})
 
 
 @query("pr_tags", ("v_pr_source",), f"{PRS_SQL} SELECT repo_id, number, unnest(string_split(topics, '|')) AS topic FROM prs WHERE topics <> ''")
@@ -244,7 +244,7 @@ def pr_tags(i: Inputs):
     return prs.pr_tags(_prs(i))
 
 
-_SUMS = """COUNT(*) AS n_prs, CAST(SUM(CASE WHEN files = '' THEN 0 ELSE 2 END) AS BIGINT) AS files, CAST(SUM(lines_added) AS BIGINT) AS added,
+_SUMS = """COUNT(*) AS n_prs, CAST(SUM(CASE WHEN files = '' THEN 0 ELSE len(string_split(files, '|')) END) AS BIGINT) AS files, CAST(SUM(lines_added) AS BIGINT) AS added,
   CAST(SUM(lines_removed) AS BIGINT) AS removed, CAST(count_if(has_tests) AS BIGINT) AS with_tests"""
 
 

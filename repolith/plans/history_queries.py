@@ -66,14 +66,21 @@ def commit_projection(i: Inputs):
     return history.project_commits(i.v_commits).select("repo_id", "commit_id", "short_sha", "message", "is_merge")
 
 
-@query("file_churn", ("v_changes",), f"""{HEADS_SQL} SELECT c.repo_id, c.path, CAST(SUM(insertions + deletions) AS BIGINT) AS churn
+@query("file_churn_newest", ("v_changes",), f"""{HEADS_SQL} SELECT c.repo_id, c.path, CAST(SUM(insertions + deletions) AS BIGINT) AS churn
   FROM v_changes c JOIN heads h ON h.repo_id = c.repo_id AND h.commit_id = c.commit_id AND h.seq <= 50 GROUP BY c.repo_id, c.path""")
+def file_churn_newest(i: Inputs):
+    return history.file_churn(i.v_changes, newest=50)
+
+
+CHURN_SQL = "SELECT repo_id, path, CAST(SUM(insertions + deletions) AS BIGINT) AS churn FROM v_changes GROUP BY repo_id, path"
+
+
+@query("file_churn", ("v_changes",), CHURN_SQL)
 def file_churn(i: Inputs):
     return history.file_churn(i.v_changes)
 
 
-@query("file_churn_all", ("v_changes",), """SELECT repo_id, path, CAST(SUM(insertions + deletions) AS BIGINT) AS churn
-  FROM v_changes GROUP BY repo_id, path""")
+@query("file_churn_all", ("v_changes",), CHURN_SQL)
 def file_churn_all(i: Inputs):
     return history.file_churn(i.v_changes, newest=None)
 
@@ -99,12 +106,17 @@ def non_merge_owners(i: Inputs):
     return history.owners(i.v_commits)
 
 
-@query("recurring_subjects", ("v_commits",), """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS seq
-  FROM v_commits) SELECT repo_id, subject, COUNT(*) AS n FROM r WHERE seq <= 50 GROUP BY repo_id, subject""")
+@query("recurring_subjects", ("v_commits",), "SELECT repo_id, subject, COUNT(*) AS n FROM v_commits GROUP BY repo_id, subject")
 def recurring_subjects(i: Inputs):
     return history.recurring_subjects(i.v_commits)
 
 
+@query("recurring_subjects_newest", ("v_commits",), """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS seq
+  FROM v_commits) SELECT repo_id, subject, COUNT(*) AS n FROM r WHERE seq <= 50 GROUP BY repo_id, subject""")
+def recurring_subjects_newest(i: Inputs):
+    return history.recurring_subjects(i.v_commits, newest=50)
+
+
 @query("breaking_commits", ("v_commits",), """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS rank
   FROM v_commits WHERE regexp_matches(subject, 'breaking|migrate|deprecat')) SELECT repo_id, commit_id, subject, rank FROM r WHERE rank <= 20""")
 def breaking_commits(i: Inputs):
@@ -112,20 +124,34 @@ def breaking_commits(i: Inputs):
 
 
 @query("commit_batches", ("v_commits",), """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS k
-  FROM v_commits WHERE NOT is_merge) SELECT repo_id, commit_id, CAST(floor((k - 1) / 20.0) AS BIGINT) AS batch FROM r WHERE k <= 400""")
+  FROM v_commits WHERE NOT is_merge) SELECT repo_id, commit_id, CAST(floor((k - 1) / 20.0) AS BIGINT) AS batch FROM r""")
 def commit_batches(i: Inputs):
     return history.commit_batches(i.v_commits)
 
 
-@query("added_deleted", ("v_changes", "v_files"), f"""{HEADS_SQL}, spans AS (SELECT repo_id, path,
+@query("commit_batches_newest", ("v_commits",), """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS k
+  FROM v_commits WHERE NOT is_merge) SELECT repo_id, commit_id, CAST(floor((k - 1) / 20.0) AS BIGINT) AS batch FROM r WHERE k <= 400""")
+def commit_batches_newest(i: Inputs):
+    return history.commit_batches(i.v_commits, newest=400)
+
+
+EVENTS_SQL = """spans AS (SELECT repo_id, path,
     arg_min(commit_id, row(committed_at, commit_id)) AS f, arg_max(commit_id, row(committed_at, commit_id)) AS l FROM v_changes GROUP BY repo_id, path),
   ev AS (SELECT repo_id, path, 'added' AS event, f AS commit_id FROM spans
-    UNION ALL SELECT s.repo_id, s.path, 'deleted', s.l FROM spans s LEFT JOIN v_files t ON t.repo_id = s.repo_id AND t.path = s.path WHERE t.path IS NULL)
-  SELECT e.repo_id, e.path, e.event, e.commit_id FROM ev e JOIN heads h ON h.repo_id = e.repo_id AND h.commit_id = e.commit_id AND h.seq <= 50""")
+    UNION ALL SELECT s.repo_id, s.path, 'deleted', s.l FROM spans s LEFT JOIN v_files t ON t.repo_id = s.repo_id AND t.path = s.path WHERE t.path IS NULL)"""
+
+
+@query("added_deleted", ("v_changes", "v_files"), f"{EVENTS_SQL} SELECT repo_id, path, event, commit_id FROM ev")
 def added_deleted(i: Inputs):
     return history.added_deleted(i.v_changes, i.v_files).select("repo_id", "path", "event", "commit_id")
 
 
+@query("added_deleted_newest", ("v_changes", "v_files"), f"""{HEADS_SQL}, {EVENTS_SQL}
+  SELECT e.repo_id, e.path, e.event, e.commit_id FROM ev e JOIN heads h ON h.repo_id = e.repo_id AND h.commit_id = e.commit_id AND h.seq <= 50""")
+def added_deleted_newest(i: Inputs):
+    return history.added_deleted(i.v_changes, i.v_files, newest=50).select("repo_id", "path", "event", "commit_id")
+
+
 @query("file_evolution", ("v_changes",), """SELECT repo_id, path, arg_min(commit_id, row(committed_at, commit_id)) AS first_commit,
   arg_max(commit_id, row(committed_at, commit_id)) AS last_commit, CAST(SUM(insertions - deletions) AS BIGINT) AS net_lines FROM v_changes GROUP BY repo_id, path""")
 def file_evolution(i: Inputs):
@@ -158,7 +184,7 @@ def naming_style(i: Inputs):
 
 
 PATTERNS_SQL = """r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, commit_id DESC) AS seq FROM v_commits),
-  c AS (SELECT *, CASE WHEN is_merge THEN nullif(regexp_extract(subject, 'from [^\\s/]+/(\\S+)', 1), '') END AS branch FROM r WHERE seq <= 200),
+  c AS (SELECT *, CASE WHEN is_merge THEN nullif(regexp_extract(subject, 'from [^\\s/]+/(\\S+)', 1), '') END AS branch FROM r),
   f AS (SELECT repo_id, count_if(NOT is_merge) AS np, count_if(is_merge AND contains(subject, '(#') AND NOT starts_with(subject, 'Merge')) AS sq,
     count_if(is_merge AND starts_with(subject, 'Merge pull request')) AS mg,
     count_if(NOT is_merge AND regexp_matches(subject, '^(feat|fix|docs|refactor|test|chore)\\(')) AS cv,

@@ -350,7 +350,7 @@ def trigger_routing(i: Inputs):
 def _commit_rows(i: Inputs) -> DataFrame:
     """Commits with their file lists; the lists of this data hold at most a dozen paths."""
     lists = i.v_changes.groupBy("repo_id", "commit_id", "committed_at").agg(F.array_sort(F.collect_list("path")).alias("files"))
-    return lists.select("repo_id", "commit_id", "committed_at", "files")
+    return lists.select("repo_id", F.col("commit_id").cast("string").alias("commit_id"), "committed_at", "files")
 
 
 def _landing(i: Inputs) -> tuple[DataFrame, str]:
@@ -393,5 +393,5 @@ def stale_alerts(i: Inputs):
 @query("stream_alerts", ("v_changes", "v_marks"), f"{ALERT_SQL} SELECT * FROM al")
 def stream_alerts(i: Inputs):
     stream, base = _landing(i)
-    _run(increments.stream_alerts(stream, i.v_marks, f"{base}/alerts", f"{base}/ckpt"))
-    return increments.read_alerts(i.spark, f"{base}/alerts")
+    _run(increments.stream_alerts(stream, f"{base}/alerts", f"{base}/ckpt"))
+    return increments.read_alerts(i.spark, f"{base}/alerts", i.v_marks)

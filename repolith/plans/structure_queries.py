@@ -114,13 +114,16 @@ def path_facts(i: Inputs):
     return structure.path_facts(i.v_files).drop("pos")
 
 
-@query("coverage_levels", ("v_files",), f"""{FACTS_SQL}, k AS (SELECT repo_id, count_if(kind = 'doc') AS d, count_if(kind = 'ci') AS c FROM facts GROUP BY repo_id)
-  SELECT repo_id, CASE WHEN d >= 3 THEN 'high' WHEN d >= 2 THEN 'medium' WHEN d >= 1 THEN 'low' ELSE 'none' END AS docs,
-  CASE WHEN c >= 2 THEN 'full' WHEN c = 1 THEN 'partial' ELSE 'none' END AS ci FROM k""")
+@query("coverage_levels", ("v_files",), f"""{FACTS_SQL}, k AS (SELECT repo_id, count_if(kind = 'doc') AS d, count_if(kind = 'ci') AS c FROM facts GROUP BY repo_id),
+  r AS (SELECT DISTINCT repo_id FROM v_files)
+  SELECT r.repo_id, CASE WHEN d >= 3 THEN 'high' WHEN d >= 2 THEN 'medium' WHEN d >= 1 THEN 'low' ELSE 'none' END AS docs,
+  CASE WHEN c >= 2 THEN 'full' WHEN c = 1 THEN 'partial' ELSE 'none' END AS ci FROM r LEFT JOIN k ON k.repo_id = r.repo_id""")
 def coverage_levels(i: Inputs):
     kinds = structure.path_facts(i.v_files).groupBy("repo_id").agg(
         F.count_if(F.col("kind") == "doc").alias("d"), F.count_if(F.col("kind") == "ci").alias("c")
     )
+    # a repository without any such file is reported too
+    kinds = i.v_files.select("repo_id").distinct().join(kinds, "repo_id", "left")
     return kinds.select("repo_id", C.doc_coverage(F.col("d")).alias("docs"), C.ci_coverage(F.col("c")).alias("ci"))
 
 

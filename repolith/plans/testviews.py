@@ -214,8 +214,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # pull requests as JSON text, one per order
     "v_pr_source": (
         ("v_commits", "v_changes"),
-        """SELECT c.repo_id, c.commit_id AS number, c.author, c.subject, c.is_merge, c.email, f.p1, f.p2, f.added, f.removed
-        FROM v_commits c JOIN (SELECT repo_id, commit_id, MIN(path) AS p1, MAX(path) AS p2,
+        """SELECT c.repo_id, c.commit_id AS number, c.author, c.subject, c.is_merge, c.email, f.paths, f.added, f.removed
+        FROM v_commits c JOIN (SELECT repo_id, commit_id, string_agg(DISTINCT path, '|') AS paths,
             CAST(SUM(insertions) AS BIGINT) AS added, CAST(SUM(deletions) AS BIGINT) AS removed
           FROM v_changes GROUP BY repo_id, commit_id) f
         ON f.repo_id = c.repo_id AND f.commit_id = c.commit_id""",
@@ -226,7 +226,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             CASE WHEN is_merge THEN 'null' ELSE concat('{"login":"', author, '"}') END,
             ',"additions":', CAST(added AS STRING), ',"deletions":', CAST(removed AS STRING),
             ',"mergedAt":', CASE WHEN number % 4 = 0 THEN 'null' ELSE '"2024-01-02T03:04:05Z"' END,
-            ',"files":', CASE WHEN number % 11 = 0 THEN 'null' ELSE concat('[{"path":"', p1, '"},{"path":"', p2, '"}]') END,
+            ',"files":', CASE WHEN number % 11 = 0 THEN 'null' ELSE concat('[{"path":"', replace(paths, '|', '"},{"path":"'), '"}]') END,
             ',"labels":', CASE WHEN number % 6 = 0 THEN '[{"name":"Security"}]' ELSE '[]' END,
             ',"reviews":[{"author":{"login":"', email, '"}},{"author":null},{"author":{"login":"', email, '"}},{"author":{"login":"lead"}}]',
             ',"comments":[{"body":"ok"}]}') AS body

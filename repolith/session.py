@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a ranking is cut to its k before and after the exchange, however large the caller's k
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

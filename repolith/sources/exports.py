@@ -136,9 +136,11 @@ def read_contents(
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    below = F.regexp_replace(
-        F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^.*?{root.rstrip('/').split('/')[-1]}/", ""
-    )
+    # the root as Spark names it in paths, taken off as it stands
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    below = F.substr(decoded, F.lit(len(full.rstrip("/")) + 2))
     text = F.try_validate_utf8(F.col("content"))
     if head_lines is not None:
         text = F.array_join(F.slice(F.split(text, "\n"), 1, head_lines), "\n")

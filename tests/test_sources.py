@@ -78,6 +78,11 @@ def test_file_list_and_contents(spark, tmp_path, rows):
     got = rows(exports.read_contents(spark, str(root)))
     assert ("r1", "src/a.ts", "one\ntwo\nthree") in got and ("r1", "b.md", "# B") in got and len(got) == 2
     assert rows(exports.read_contents(spark, str(root), glob="*.ts", head_lines=2)) == [("r1", "src/a.ts", "one\ntwo")]
+    # a root whose last folder has the name of one above it, with characters that patterns know
+    odd = tmp_path / "re+pos" / "x" / "re+pos"
+    (odd / "r9" / "src").mkdir(parents=True)
+    (odd / "r9" / "src" / "a b.ts").write_text("x")
+    assert rows(exports.read_contents(spark, f"{odd}/")) == [("r9", "src/a b.ts", "x")]
 
 
 def test_pull_requests(spark, tmp_path, rows):

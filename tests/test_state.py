@@ -82,10 +82,10 @@ def test_doc_health(spark):
 
 
 def test_supersession(spark, rows):
-    chain = [(f"A-{n}", f"A-{n + 1}") for n in range(30)] + [("A-30", None), ("C-1", "C-2"), ("C-2", "C-1"), ("X", "gone")]
+    chain = [(f"A-{n}", f"A-{n + 1}") for n in range(200)] + [("A-200", None), ("C-1", "C-2"), ("C-2", "C-1"), ("X", "gone")]
     df = spark.createDataFrame([("r", i, "s", "1", None, n) for i, n in chain], schemas.DECISIONS)
     got = {r["id"]: (r["active_id"], r["hops"]) for r in knowledge.active_decision(df).collect()}
-    assert got["A-0"] == ("A-30", 30) and got["A-30"] == ("A-30", 0)
+    assert got["A-0"] == ("A-200", 200) and got["A-200"] == ("A-200", 0)
     assert got["C-1"] == (None, None) and got["X"] == ("X", 0) and len(got) == len(chain)
 
 
@@ -148,21 +148,21 @@ def test_document_upsert(spark, rows):
     assert forced == {"m": "updated", "u": "updated", "q": "updated", "n": "created"}
 
 
-COMMITS = "repo_id STRING, commit_id BIGINT, committed_at TIMESTAMP_NTZ, files ARRAY<STRING>"
+COMMITS = "repo_id STRING, commit_id STRING, committed_at TIMESTAMP_NTZ, files ARRAY<STRING>"
 
 
 def test_streams_equal_batch(spark, tmp_path, rows):
     """Three deliveries, one repeated and one with old commits, in several micro-batches."""
     rng = random.Random(3)
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
-    log = [("r", n, day(n), rng.sample("abcdef", rng.randrange(1, 5))) for n in range(60)]
+    log = [("r", f"{n:040x}", day(n), rng.sample("abcdef", rng.randrange(1, 5))) for n in range(60)]
     landing = str(tmp_path / "landing")
     marks = spark.createDataFrame([("r", None, day(40))], schemas.MARKS)
     for part in (log[40:], log[50:], log[:40]):
         spark.createDataFrame(part, COMMITS).coalesce(1).write.mode("append").parquet(landing)
         for name, start in (
             ("freq", increments.stream_frequency), ("pairs", increments.stream_pairs),
-            ("alerts", lambda s, p, c: increments.stream_alerts(s, marks, p, c)),
+            ("alerts", increments.stream_alerts),
         ):
             stream = increments.read_commit_stream(spark, landing)
             start(stream, str(tmp_path / name), str(tmp_path / f"ckpt-{name}")).trigger(availableNow=True).start().awaitTermination()
@@ -170,7 +170,11 @@ def test_streams_equal_batch(spark, tmp_path, rows):
     assert rows(increments.read_frequency(spark, str(tmp_path / "freq"))) == rows(increments.frequency_delta(batch))
     pairs = increments.pair_delta(batch).filter("n >= 3")
     assert rows(increments.read_pairs(spark, str(tmp_path / "pairs"))) == rows(pairs)
-    assert rows(increments.read_alerts(spark, str(tmp_path / "alerts"))) == rows(increments.stale_alerts(batch, marks)) == [("r", 19, 6)]
+    alerts = str(tmp_path / "alerts")
+    assert rows(increments.read_alerts(spark, alerts, marks)) == rows(increments.stale_alerts(batch, marks)) == [("r", 19, 6)]
+    # the mark moves on, and the alert clears
+    moved = spark.createDataFrame([("r", None, day(58))], schemas.MARKS)
+    assert rows(increments.read_alerts(spark, alerts, moved)) == rows(increments.stale_alerts(batch, moved)) == []
 
 
 def test_throttle_stream(spark, tmp_path, rows):
