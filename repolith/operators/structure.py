@@ -271,10 +271,8 @@ def types_in_dir(types: DataFrame, dirs: DataFrame, k: int = 10) -> DataFrame:
     """Largest types below each directory (JOIN-14)."""
     below = explode_ancestors(types.withColumnRenamed("file", "path")).drop("depth")
     hits = below.join(dirs.select("repo_id", "dir"), ["repo_id", "dir"], "left_semi")
-    order = [F.desc("loc"), F.asc("path"), F.asc("name")]
-    return top_k(hits.withColumnRenamed("path", "file"), k, ["repo_id", "dir"], [
-        o if i != 1 else F.asc("file") for i, o in enumerate(order)
-    ])
+    order = [F.desc("loc"), F.asc("file"), F.asc("name"), F.asc("line_no")]
+    return top_k(hits.withColumnRenamed("path", "file"), k, ["repo_id", "dir"], order)
 
 
 # --- architecture ---------------------------------------------------------------------------

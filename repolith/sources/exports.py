@@ -71,24 +71,43 @@ def _log_chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Exported ``git log --numstat`` text, one file per repository, to commits and changes (SRC-01, WIN-05).
-
-    A record is seven fields (sha, author, email, date, subject, body, parents) and the commit
-    mark; its numstat lines stand in front of the next record. Records with fewer fields are
-    dropped. ``seq`` is the log position, 0 for the newest commit.
-    """
+def _log_records(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks with the fields ``f`` of their record (null in front of the first one) and its numstat lines."""
     chunks = _log_chunks(spark, path)
     lines = F.split("value", "\n")
     # the header starts at the first line with a field mark; earlier lines belong to the commit above
     start = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(FIELD_MARK))), F.lit(True))
     header = F.when(start > 0, F.array_join(F.slice(lines, start, F.size(lines)), "\n"))
-    fields = F.split(C.strip(header), FIELD_MARK)
     tail = F.split("following", "\n")
     tail_start = F.array_position(F.transform(tail, lambda x: F.contains(x, F.lit(FIELD_MARK))), F.lit(True))
     stats = F.when(tail_start > 0, F.slice(tail, F.lit(1), tail_start - 1)).otherwise(tail)
+    return chunks.select("file", "seq", F.split(C.strip(header), FIELD_MARK).alias("f"), stats.alias("stats"))
+
+
+def _log_date(date: Column | str) -> Column:
+    return F.to_utc_timestamp(F.try_to_timestamp(date, F.lit("yyyy-MM-dd HH:mm:ss Z")), "UTC").cast("timestamp_ntz")
+
+
+def corrupt_log_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of exported logs that cannot be read whole: too few fields, or a date that is none.
+
+    ``read_commit_log`` drops the former and keeps the latter without a time.
+    """
+    few = F.size("f") < 7
+    bad = _log_records(spark, path).filter(F.col("f").isNotNull() & (few | _log_date(F.get("f", F.lit(3))).isNull()))
+    reason = F.when(few, "fields").otherwise("date")
+    return bad.select(_repo_from_file(F.col("file")).alias("repo_id"), "seq", reason.alias("reason"), F.array_join("f", FIELD_MARK).alias("record"))
+
+
+def read_commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Exported ``git log --numstat`` text, one file per repository, to commits and changes (SRC-01, WIN-05).
+
+    A record is seven fields (sha, author, email, date, subject, body, parents) and the commit
+    mark; its numstat lines stand in front of the next record. Records with fewer fields are
+    dropped, see ``corrupt_log_records``. ``seq`` is the log position, 0 for the newest commit.
+    """
     parsed = (
-        chunks.select("file", "seq", fields.alias("f"), stats.alias("stats"))
+        _log_records(spark, path)
         .filter(F.size("f") >= 7)
         .select(
             _repo_from_file(F.col("file")).alias("repo_id"),
@@ -102,10 +121,7 @@ def read_commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
             F.contains(F.col("f")[6], F.lit(" ")).alias("is_merge"),
             "stats",
         )
-        .withColumn(
-            "committed_at",
-            F.to_utc_timestamp(F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ss Z")), "UTC").cast("timestamp_ntz"),
-        )
+        .withColumn("committed_at", _log_date("date"))
     )
     commits = parsed.drop("stats")
     changes = (

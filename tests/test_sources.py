@@ -41,6 +41,16 @@ def test_commit_log(spark, tmp_path, rows):
     ]
 
 
+def test_corrupt_records_come_out_as_rows(spark, tmp_path, rows):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    good = header("abc") + "\n\n1\t0\ta.ts\n"
+    undated = SEP.join(["def", "a", "e", "some day", "s", "b", "p"]) + exports.COMMIT_MARK
+    (folder / "alpha.log").write_text(good + "bad" + SEP + "record" + exports.COMMIT_MARK + undated)
+    got = rows(exports.corrupt_log_records(spark, str(folder)), "repo_id", "seq", "reason")
+    assert got == [("alpha", 1, "fields"), ("alpha", 2, "date")]
+
+
 def test_commit_log_split_over_tasks(spark, tmp_path, rows):
     """A log cut into many splits gives the same rows as one read whole."""
     folder = tmp_path / "logs"
