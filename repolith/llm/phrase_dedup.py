@@ -10,8 +10,9 @@ occurrence of a passage is removed. Automata are bounded by the size of a batch,
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,8 @@ def automaton(patterns: list[list[bytes]], numbers: dict[bytes, int]):
 
     made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for words in patterns:
-        key = tuple(numbers.get(w, -1) for w in words)
-        if key and -1 not in key:
+        key = tuple(map(numbers.get, words))
+        if key and None not in key:
             made.add_word(key)
     if len(made):
         made.make_automaton()
@@ -108,10 +109,10 @@ def remove_repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int =
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
     def locate(own: pa.Table, patterns: pa.Table) -> pa.Table:
-        numbers: dict[bytes, int] = {}
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
         out: dict[str, list] = {name: [] for name in types}
         words = [_words(text) for text in own["text"].to_pylist()]
-        keys = [tuple(numbers.setdefault(w, len(numbers)) for w in ws) for ws in words]
+        keys = [tuple(map(numbers.__getitem__, ws)) for ws in words]
         made = automaton([p.encode().split(b" ") for p in set(patterns["passage"].to_pylist())], numbers)
         for doc_id, ws, key in zip(own["doc_id"].to_pylist(), words, keys, strict=True):
             gone = covered(made, key)

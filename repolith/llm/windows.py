@@ -184,7 +184,10 @@ class Recurring(NamedTuple):
 
 def recurring_windows(docs: DataFrame, values: Callable[[], Values], window: int, k: int) -> Recurring:
     """All three passes over ``docs (doc_id, h, text)``, with ``h`` a hash of the text."""
-    recurring = base.stage(recurring_spans(spans(docs, values, window, k)), "spans")
+    # both passes over the spans read this table, so the texts are scanned once
+    found = base.stage(spans(docs, values, window, k), "found")
+    recurring = base.stage(recurring_spans(found), "spans")
+    base.drop_staged(found)
     kinds = recurring.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.max("differ").alias("differ"), F.min(F.struct("doc_id", "h", "first", "last")).alias("at"))
     kinds = base.stage(kinds.select("anchor", "span", "n", "differ", "at.*"), "kinds")
     # windows found under two kinds of spans
