@@ -1,9 +1,9 @@
-"""Removal of byte strings that occur twice, by a radix sort of suffixes that stops at the threshold.
+"""Removal of byte strings that occur twice, by anchors in place of a radix sort of suffixes.
 
 Of the suffixes of all texts only the first ``length`` bytes matter: suffixes equal that far are a repeated
-window, whatever follows. :mod:`repolith.llm.windows` orders them by passes from the most significant
-digit, where a digit is a hash of many bytes; a group of one suffix leaves after each pass, and the groups
-that are left after the last one are the repeated windows.
+window, whatever follows. :mod:`repolith.llm.windows` files them under anchors and groups anchors, spans and
+window hashes; no suffix is ordered. Groups of one leave after each pass, and the groups that are left after
+the last one are the repeated windows, up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
