@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import ann, base, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, quality, suffix_dedup, token_codes
+from repolith.llm import ann, base, collocations, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, quality, suffix_dedup, token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,44 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = quality.judge(docs, base.table(spark, sf_dir, "labels"))
     return found.select("doc_id", "lang", F.exp("_entropy").alias("perplexity"), F.exp("_threshold").alias("threshold"), F.col("_keep").alias("keep"))
+
+
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), counts AS (
+  SELECT lang, k, w[i:i + k - 1] AS words, count(*) AS f
+  FROM places, (VALUES (1), (2), (3)) sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), longer AS (
+  SELECT lang, words[2:] AS part, f FROM counts WHERE k = 3 AND f >= 10
+  UNION ALL SELECT lang, words[:2], f FROM counts WHERE k = 3 AND f >= 10
+), held AS (
+  SELECT lang, part, max(f) AS most FROM longer GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM counts c LEFT JOIN held h ON c.lang = h.lang AND c.words = h.part
+  WHERE c.k >= 2 AND c.f >= 10 AND (h.most IS NULL OR 100 * h.most < 50 * c.f)
+), cuts AS (
+  SELECT c.lang, array_to_string(c.words, ' ') AS phrase, c.f AS a, j, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM kept c JOIN (VALUES (1), (2)) cut(j) ON j < c.k
+  JOIN counts l ON l.lang = c.lang AND l.words = c.words[1:j]
+  JOIN counts r ON r.lang = c.lang AND r.words = c.words[j + 1:]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of two and three words of every language."""
+    return collocations.collocations(base.table(spark, sf_dir, "documents"))
