@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import ann, base, collocations, decontaminate, line_chunks, mixing, ngram_join, phrase_dedup, pii, quality, suffix_dedup, token_codes
+from repolith.llm import ann, base, collocations, decontaminate, lexical, line_chunks, mixing, ngram_join, phrase_dedup, pii, quality, suffix_dedup, token_codes, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,68 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang)
 def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best phrases of two and three words of every language."""
     return collocations.collocations(base.table(spark, sf_dir, "documents"))
+
+
+COPIES_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), sized AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM good
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sized a JOIN sized b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least_id AS (
+  SELECT u, min(v) AS v FROM reach GROUP BY u
+), counts AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.v, vec_id)) AS component_id,
+       least(vec_id, coalesce(l.v, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN counts c ON c.u = vec_id LEFT JOIN least_id l ON l.u = vec_id
+"""
+
+
+@query("op12_vector_dedup", COPIES_SQL)
+def _vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors."""
+    return vector_dedup.near_copies(base.table(spark, sf_dir, "embeddings"))
+
+
+SEARCH_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM texts
+), sizes AS (
+  SELECT row, count(*) AS n FROM terms GROUP BY row
+), total AS (
+  SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes
+), held AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+), wanted AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term, big_n
+), shares AS (
+  SELECT item_id, doc_id, row, times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS share
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (row), total
+), scores AS (
+  SELECT item_id, doc_id, row, sum(share)::BIGINT AS score FROM shares GROUP BY ALL HAVING sum(share) > 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row)::INTEGER AS rank FROM scores
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_lexical", SEARCH_SQL)
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for every benchmark item."""
+    return lexical.rank_documents(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
