@@ -9,7 +9,8 @@ is ordered beyond it.
 
 Counts of all shards are summed. A frequent phrase has frequent parts, so after every step the places of a shard
 are renamed by the phrases that are frequent over all shards: two neighbouring names are then a phrase that is
-a word longer, and the next step is the same again. A shard learns the names of its own phrases by a join.
+a word longer, and the next step is the same again. The phrases of a shard travel in hash buckets, packed; a bucket sums
+the counts of all shards, names the frequent phrases and tells the shards that hold them.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from repolith.functions.ranking import top_k
 from repolith.llm import base
 
 #: Words of a shard, about; a longer text is a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Words of a row of a shard.
-CHUNK_WORDS = 1 << 16
+CHUNK_WORDS = 1 << 15
+#: Words whose phrases meet in one bucket, about.
+BUCKET_WORDS = 1 << 20
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -59,36 +62,55 @@ class Shard:
         self.size += len(found) + 1
 
 
-def build_shards(docs: DataFrame) -> DataFrame:
-    """lang, shard, seq, words, counts, text: word counts and text of shards, in rows of bounded size. No text is shuffled."""
+def build_shards(docs: DataFrame, shard_words: int, chunk_words: int) -> DataFrame:
+    """lang, shard, at, word, n, text: the counted words of shards, ``at`` their numbers, and texts in rows of bounded size, ``at`` a place.
+
+    No text is shuffled.
+    """
+    fields = {"lang": pa.string(), "shard": pa.int64(), "at": pa.int64(), "word": pa.string(), "n": pa.int64(), "text": pa.list_(pa.int64())}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, filling = TaskContext.get().partitionId(), 0, {}
-        fields = {"lang": pa.string(), "shard": pa.int64(), "seq": pa.int32(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64()), "text": pa.list_(pa.int64())}
 
         def close(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal made
             shard, number = filling.pop(lang), task << 32 | made
             made += 1
             text = np.concatenate(shard.parts)
-            counts = np.bincount(text, minlength=len(shard.ids))[1:]
+            counts = np.bincount(text, minlength=len(shard.ids))
             held = [w.decode() for w in list(shard.ids)[1:]]
-            for seq, at in enumerate(range(0, max(len(text), len(held)), CHUNK_WORDS)):
-                some = slice(at, at + CHUNK_WORDS)
-                row = ([lang], [number], [seq], [held[some]], [counts[some]], [text[some].astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, fields.values(), strict=True)], names=list(fields))
+            for at in range(0, len(held), chunk_words):
+                some = held[at : at + chunk_words]
+                numbers = np.arange(at + 1, at + 1 + len(some))
+                yield _rows(fields, len(some), lang=lang, shard=number, at=numbers, word=some, n=counts[numbers])
+            for at in range(0, len(text), chunk_words):
+                yield _rows(fields, 1, lang=lang, shard=number, at=[at], text=[text[at : at + chunk_words].astype(np.int64)])
 
         for batch in base.pieces(batches):
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 shard = filling.setdefault(lang, Shard())
                 shard.add(text)
-                if shard.size >= SHARD_WORDS:
+                if shard.size >= shard_words:
                     yield from close(lang)
         for lang in list(filling):
             yield from close(lang)
 
     rows = base.spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text")), ["lang", "text"])
-    return rows.mapInArrow(scan, "lang string, shard long, seq int, words array<string>, counts array<long>, text array<long>")
+    return rows.mapInArrow(scan, "lang string, shard long, at long, word string, n long, text array<long>")
+
+
+def _rows(fields: dict[str, pa.DataType], count: int, **values) -> pa.RecordBatch:
+    """A batch of ``count`` rows: single values are repeated, columns without any are null."""
+    arrays = []
+    for name, kind in fields.items():
+        value = values.get(name)
+        if value is None:
+            arrays.append(pa.nulls(count, kind))
+        elif isinstance(value, (str, int)):
+            arrays.append(pa.repeat(pa.scalar(value, kind), count))
+        else:
+            arrays.append(pa.array(value, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
 
 class Index:
@@ -133,31 +155,71 @@ def rename(text: np.ndarray, x: np.ndarray, y: np.ndarray, name: np.ndarray, pai
     return np.where(key[at] == own, name[at], 0)
 
 
-def _extend(texts: DataFrame, names: DataFrame, pairs: bool, keep_text: bool) -> DataFrame:
-    """shard, seq, text, x, y, n: texts with new names, and the counted pairs of neighbours in each shard."""
+def pack(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs and their counts by byte planes, which compress well: most high bytes are alike."""
+    return np.stack([x, y, n]).astype("<i8").view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(3, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+
+
+def _extend(texts: DataFrame, names: DataFrame, pairs: bool, keep_text: bool, chunk_words: int, buckets: int) -> DataFrame:
+    """shard, at, text, pairs: texts by their new names, ``at`` a place, and counted pairs of neighbours, ``at`` a bucket."""
+    fields = {"shard": pa.int64(), "at": pa.int64(), "text": pa.list_(pa.int64()), "pairs": pa.binary()}
 
     def step(texts: pa.Table, names: pa.Table) -> pa.Table:
-        fields = {"shard": pa.int64(), "seq": pa.int32(), "text": pa.list_(pa.int64()), **dict.fromkeys("xyn", pa.list_(pa.int64()))}
-        rows: list[tuple] = []
-        if texts.num_rows and names.num_rows:
-            texts = texts.sort_by("seq")
-            whole = pa.concat_arrays(texts["text"].chunks).flatten().to_numpy()
-            whole = rename(whole, *(names[c].to_numpy() for c in ("x", "y", "id")), pairs)
-            x, y, n = Index(whole).extensions()
-            shard = texts["shard"][0].as_py()
-            for seq, at in enumerate(range(0, max(len(whole) if keep_text else 0, len(x)), CHUNK_WORDS)):
-                some = slice(at, at + CHUNK_WORDS)
-                rows.append((shard, seq, whole[some] if keep_text else [], x[some], y[some], n[some]))
-        columns = zip(*rows, strict=True) if rows else [()] * len(fields)
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, fields.values(), strict=True)], names=list(fields))
+        if not texts.num_rows or not names.num_rows:
+            return pa.Table.from_batches([_rows(fields, 0)])
+        shard, texts = texts["shard"][0].as_py(), texts.sort_by("at")
+        whole = pa.concat_arrays(texts["text"].chunks).flatten().to_numpy()
+        whole = rename(whole, *(names[c].to_numpy() for c in ("old_x", "old_y", "id")), pairs)
+        x, y, n = Index(whole).extensions()
+        bucket = (base.mix(x.view(np.uint64) * np.uint64(3) ^ base.mix(y)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        filled, first = np.unique(bucket[order], return_index=True)
+        ends = np.append(first, len(x))[1:]
+        packed = [pack(x[some], y[some], n[some]) for some in (order[i:j] for i, j in zip(first, ends, strict=True))]
+        batches = [_rows(fields, len(filled), shard=shard, at=filled, pairs=packed)]
+        starts = range(0, len(whole) if keep_text else 0, chunk_words)
+        batches.append(_rows(fields, len(starts), shard=shard, at=list(starts), text=[whole[at : at + chunk_words] for at in starts]))
+        return pa.Table.from_batches(batches)
 
     parts = base.partitions(texts.sparkSession)
-    names = names.withColumnRenamed("shard", "of")
+    names = names.toDF("of", "old_x", "old_y", "id")
     left, right = texts.repartition(parts, "shard").groupBy("shard"), names.repartition(parts, "of").groupBy("of")
-    return left.cogroup(right).applyInArrow(step, "shard long, seq int, text array<long>, x array<long>, y array<long>, n array<long>")
+    return left.cogroup(right).applyInArrow(step, "shard long, at long, text array<long>, pairs binary")
 
 
-def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share: int = 50, k: int = 2000) -> DataFrame:
+def _frequent(stepped: DataFrame, min_count: int, tell_shards: bool) -> DataFrame:
+    """shard, x, y, id, f: the pairs with ``min_count`` occurrences in all shards, named; for each shard that holds them,
+    after one row without a shard.
+    """
+    fields = dict.fromkeys(("shard", "x", "y", "id", "f"), pa.int64())
+
+    def merge(table: pa.Table) -> pa.Table:
+        bucket = table["at"][0].as_py()
+        lists = [unpack(p) for p in table["pairs"].to_pylist()]
+        shard = np.repeat(table["shard"].to_numpy(), [p.shape[1] for p in lists])
+        x, y, n = np.concatenate(lists, axis=1)
+        order = np.lexsort((y, x))
+        x, y, n, shard = x[order], y[order], n[order], shard[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        size, total = np.diff(np.append(first, len(x))), np.add.reduceat(n, first)
+        keep = np.flatnonzero(total >= min_count)
+        number = bucket << 36 | np.arange(1, len(keep) + 1)
+        out = [_rows(fields, len(keep), x=x[first[keep]], y=y[first[keep]], id=number, f=total[keep])]
+        if tell_shards:
+            held = np.repeat(total >= min_count, size)
+            out.append(_rows(fields, int(held.sum()), shard=shard[held], x=x[held], y=y[held], id=np.repeat(number, size[keep])))
+        return pa.Table.from_batches(out)
+
+    packed = stepped.filter("pairs is not null").select("shard", "at", "pairs")
+    return packed.repartition(base.partitions(stepped.sparkSession), "at").groupBy("at").applyInArrow(merge, "shard long, x long, y long, id long, f long")
+
+
+def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share: int = 50, k: int = 2000, shard_words: int = SHARD_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``k`` best phrases of 2 to ``max_words`` words of every language.
 
     Texts in lower case (A-Z) are cut into pieces at ``.,;:!?`` and line breaks, pieces into words at spaces and tabs.
@@ -169,27 +231,28 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share
     A null text is empty, a null language is ``und``. Every row counts, repeated ones too; other columns are
     ignored. No phrase, no row. Counts above 10**15 are not supported.
     """
-    shards = base.stage(build_shards(docs), "shards")
-    held = shards.select("lang", "shard", "seq", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w"))
-    held = held.select("lang", "shard", (F.col("seq") * F.lit(CHUNK_WORDS).cast("long") + F.col("pos") + 1).alias("x"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    shards = base.stage(build_shards(docs, shard_words, chunk_words), "shards")
+    held = shards.filter("word is not null").select("lang", "shard", "at", "word", "n")
+    sizes = base.stage(held.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    buckets = max(base.partitions(docs.sparkSession), (sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
 
-    number = (F.monotonically_increasing_id() + 1).alias("id")
     counted = held.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
     none = F.array().cast("array<long>")
+    number = (F.monotonically_increasing_id() + 1).alias("id")
     grams = base.stage(counted.select("lang", F.col("word").alias("first"), F.col("word").alias("phrase"), "f", none.alias("heads"), none.alias("tails"), number), "words")
-    names = held.join(grams.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("shard", "x", F.lit(0).cast("long").alias("y"), "id")
-    texts, out = shards.filter(F.size("text") > 0).select("shard", "seq", "text"), None
+    names = held.join(grams.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("shard", "at", F.lit(0).cast("long").alias("y"), "id")
+    before, out = shards, None
     for size in range(2, max_words + 1):
-        stepped = base.stage(_extend(texts, names, size > 2, size < max_words), "phrases")
-        pairs = stepped.select("shard", F.inline(F.arrays_zip("x", "y", "n")))
-        frequent = pairs.groupBy("x", "y").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-        longer = _joined(frequent, grams).select("x", "y", "lang", "first", "phrase", "f", "heads", "tails", number)
-        longer = base.stage(longer, "frequent")
+        texts = before.filter("text is not null").select("shard", "at", "text")
+        stepped = base.stage(_extend(texts, names, size > 2, size < max_words, chunk_words, buckets), "phrases")
+        base.drop_staged(before)
+        frequent = base.stage(_frequent(stepped, min_count, size < max_words), "frequent")
+        longer = base.stage(_joined(frequent.filter("shard is null").select("x", "y", "id", "f"), grams), "grams")
         if size > 2:
             out = _outstanding(grams, longer, share, out)
-        grams, texts = longer, stepped.filter(F.size("text") > 0).select("shard", "seq", "text")
-        names = pairs.join(grams.select("x", "y", "id"), ["x", "y"]).select("shard", "x", "y", "id")
+        names = frequent.filter("shard is not null").select("shard", "x", "y", "id")
+        grams, before = longer, stepped
+    base.drop_staged(before)
     best = grams if out is None else out.unionByName(grams.select(*out.columns))
     best = _scored(best.join(sizes, "lang"))
     found = top_k(best, k, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")])
@@ -197,11 +260,11 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, share
 
 
 def _joined(frequent: DataFrame, grams: DataFrame) -> DataFrame:
-    """Phrases (x, y, f) with their words and the counts of their parts: ``x`` lacks the last word, ``y`` the first."""
+    """Phrases (x, y, id, f) with their words and the counts of their parts: ``x`` lacks the last word, ``y`` the first."""
     x = grams.select(F.col("id").alias("x"), "lang", "first", F.array_append("heads", F.col("f")).alias("heads"))
     y = grams.select(F.col("id").alias("y"), F.col("phrase").alias("rest"), F.array_prepend("tails", F.col("f")).alias("tails"))
     both = frequent.join(x, "x").join(y, "y")
-    return both.withColumn("phrase", F.concat_ws(" ", "first", "rest"))
+    return both.select("x", "y", "id", "lang", "first", F.concat_ws(" ", "first", "rest").alias("phrase"), "f", "heads", "tails")
 
 
 def _outstanding(grams: DataFrame, longer: DataFrame, share: int, before: DataFrame | None) -> DataFrame:
