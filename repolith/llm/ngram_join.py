@@ -9,11 +9,11 @@ are equal, and one of them holds two bits or more unless a set leaves over e blo
 sets send all their blocks, the others only those with two bits or more. Documents that share a block are
 candidates; no pair that reaches the similarity is lost.
 
-Candidates are not spelled out as pairs. Each block value links its documents to the smallest of them; the
-components of these links are families, outside of which no pair exists. A family's members meet in one
-task, or in tiles of two parts of it where it is large. Sizes, whole sketches and the components found so far
-rule out most pairs there; the rest is verified on the sets themselves. A task returns links that join
-its members, at most one for each of them.
+Candidates are not spelled out as pairs. The documents that share a block meet with their sizes and short sketches of the
+whole sets, in tiles of two parts where they are many; blocks that the same documents share are taken once. Of the pairs
+that sizes and sketches admit a task returns a forest, and the components of these are families, outside of which no
+pair exists. A family's members meet with their texts, again in tiles, and what is not joined yet and not ruled out by longer
+sketches is verified on the sets themselves. A task returns links that join its members, at most one for each of them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from repolith.llm.components import components
 
 #: Sketch bits of a block; whole sketches of a tile have this many too.
 BLOCK_BITS = 4096
+#: Bits of the short sketch that meets the others of a block.
+SHORT_BITS = 2048
+#: Documents of a block that meet in one cell, on a side; rows that a task handles together.
+BLOCK_PART, BUCKET_ROWS = 8192, 1 << 16
 #: Shingles of a family that one tile may hold on a side, about.
 TILE_SHINGLES = 1 << 19
 
@@ -50,6 +54,11 @@ class Similarity:
         """Size of the largest partner."""
         return 100 * size // self.percent
 
+    def admits(self, size: np.ndarray, other: np.ndarray, sketch: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+        """Which pairs their sizes and sketches leave open; the latter differ in at most as many bits as the sets in elements."""
+        alike = 100 * np.minimum(size, other) >= self.percent * np.maximum(size, other)
+        return alike & (np.bitwise_count(sketch ^ sketches).sum(-1, dtype=np.int64) <= self.difference(size + other))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
@@ -102,8 +111,14 @@ def block_keys(shingle_hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(shingle_hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Sketch of a whole set, packed."""
+    odd = np.bincount((shingle_hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """doc_id, h, n_shingles, node, keys. Equal sets have the same ``node``."""
+    """doc_id, h, n_shingles, node, keys, sketch. Equal sets have the same ``node``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = base.WordHashes()
@@ -112,10 +127,70 @@ def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             node = np.array([base.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0] for s in sets], np.uint64)
             keys = [block_keys(s, percent).view(np.int64) if len(s) else None for s in sets]
-            columns = [batch["doc_id"], batch["h"], pa.array(size), base.signed(node), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "keys"])
+            short = pa.array([parity(s, SHORT_BITS).tobytes() if len(s) else None for s in sets], pa.binary())
+            columns = [batch["doc_id"], batch["h"], pa.array(size), base.signed(node), pa.array(keys, pa.list_(pa.int64())), short]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "keys", "sketch"])
+
+    return docs.select("doc_id", "h", "text").mapInArrow(scan, "doc_id long, h long, n_shingles long, node long, keys array<long>, sketch binary")
 
-    return docs.select("doc_id", "h", "text").mapInArrow(scan, "doc_id long, h long, n_shingles long, node long, keys array<long>")
+
+def forest(rule: Similarity, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
+    """Links that join all members whose sizes and sketches admit a pair; between the two sides only if ``across``."""
+    root, everyone = np.arange(len(size)), np.arange(len(size))
+    for i in everyone.tolist():
+        others = everyone[:i]
+        others = others[(root[others] != root[i]) & ((side[others] != side[i]) | (not across))]
+        # most pairs go by their sizes alone
+        others = others[100 * np.minimum(size[i], size[others]) >= rule.percent * np.maximum(size[i], size[others])]
+        others = others[rule.admits(size[i], size[others], sketch[i], sketch[others])]
+        for r in np.unique(root[others]).tolist():
+            yield i, int(others[root[others] == r][0])
+            root[root == r] = root[i]
+
+
+def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> DataFrame:
+    """u, v: links between documents of ``nodes`` that share a block and whose sizes and short sketches admit a pair.
+
+    All such documents are joined by them.
+    """
+    rule, spark = Similarity(percent), nodes.sparkSession
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    # the documents of a family share many blocks, which are one group
+    groups = shared.filter("first <> last").groupBy("first", "n", "all").agg(F.min("key").alias("key"))
+    # a table of its own: the join may split the rows of a very common key, and shuffle files go earlier
+    groups = base.stage(groups.select("key", "n"), "keys")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    members = keys.join(groups, "key")
+    parts = F.ceil(F.col("n") / block_part).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("low"), F.greatest(p, own).alias("high")))
+    dealt = members.select("key", "node", own.alias("part"), F.inline(cells))
+    buckets = max(base.partitions(spark), total // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")
+    rows = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").select(bucket, "key", "low", "high", "part", "node", "n_shingles", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")]).combine_chunks()
+        key, low, high, part, node, size = (table[c].to_numpy() for c in ("key", "low", "high", "part", "node", "n_shingles"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        first = np.flatnonzero(new)
+        head = np.repeat(first, np.diff(np.append(first, len(node))))
+        with_head = rule.admits(size, size[head], sketch, sketch[head])
+        whole = np.logical_and.reduceat(with_head, first) & (low == high)[first]
+        simple = whole[np.cumsum(new) - 1] & ~new
+        u, v = [node[simple]], [node[head[simple]]]
+        for begin, end in zip(first[~whole], np.append(first, len(node))[1:][~whole], strict=True):
+            some = slice(begin, end)
+            pairs = list(forest(rule, size[some], sketch[some], part[some] == high[begin], bool(low[begin] < high[begin])))
+            if pairs:
+                i, j = np.array(pairs).T
+                u.append(node[some][i])
+                v.append(node[some][j])
+        return pa.table([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
+    return rows.repartition(base.partitions(spark), "bucket").groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
 
 
 class Tile:
@@ -144,15 +219,9 @@ class Tile:
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) -> DataFrame:
-    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys)`` that are linked."""
+    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, sketch)`` that are linked."""
     rule = Similarity(percent)
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key", "first")
-    # a table of its own: the join may split the rows of a very common key, and shuffle files go earlier
-    groups = base.stage(groups, "keys")
-    near = keys.join(groups, "key").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    families = base.stage(components(near), "families")
-    base.drop_staged(groups)
+    families = base.stage(components(admitted(nodes, percent)), "families")
 
     # members in parts of about the same number of shingles
     members = families.join(nodes.select("node", "doc_id", "h", "n_shingles"), "node")
@@ -195,8 +264,8 @@ def similar_documents(docs: DataFrame, percent: int, n: int, tile: int = TILE_SH
     found = base.stage(sketched(rows, percent, n), "sketches")
     each = base.stage(found.select("doc_id", "h", "n_shingles", "node"), "documents")
     first = F.min(F.struct("doc_id", "h")).alias("at")
-    nodes = found.filter("n_shingles > 0").groupBy("node").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    nodes = base.stage(nodes.select("node", "at.doc_id", "at.h", "n_shingles", "keys"), "nodes")
+    nodes = found.filter("n_shingles > 0").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")))
+    nodes = base.stage(nodes.select("node", "at.doc_id", "at.h", "n_shingles", "keys", "sketch"), "nodes")
     base.drop_staged(found)
     joined = components(links(rows, nodes, percent, n, tile))
 

@@ -52,6 +52,23 @@ def test_components(frame, seed, percent, n, tile):
     assert found == brute(rows, percent, n)
 
 
+@pytest.mark.parametrize("part", [2, 5, 1000])
+def test_sketches_of_shared_blocks_lose_no_link(frame, part):
+    """Whatever the size of a cell, the links of a block join all that are alike; a phrase alone joins nothing."""
+    rows = [t for t in texts(3) if t and len(t.split()) > 5]
+    phrase = " one two three four five six"
+    rows += [" ".join(f"{i}x{j}" for j in range(60)) + phrase for i in range(12)]
+    docs = ngram_join.base.stage(ngram_join.sketched(frame(rows).selectExpr("doc_id", "doc_id as h", "text"), 80, 5), "t")
+    nodes = docs.dropDuplicates(["node"])
+    number = {r.doc_id: r.node for r in docs.collect()}
+    joined = {r.node: r.component for r in components(ngram_join.admitted(nodes, 80, part)).collect()}
+    want = brute(rows, 80, 5)
+    for i, (_, root) in want.items():
+        a, b = number[i], number[root]
+        assert a == b or joined[a] == joined[b]
+    assert not any(number[i] in joined for i in range(len(rows) - 12, len(rows)))
+
+
 def test_one_of_each(frame):
     rows = ["a b c d e f g", "A b c d e f g", "x y z", None, None, "", "q r s"]
     docs = frame(rows, source=["s"] * len(rows))
