@@ -10,9 +10,8 @@ occurrence of a passage is removed. Automata are bounded by the size of a batch,
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,27 +61,34 @@ def passages(docs: DataFrame, found: windows.Recurring, window: int) -> DataFram
     return texts.mapInArrow(scan, "anchor long, span long, passage string")
 
 
-def automaton(patterns: list[list[bytes]], numbers: dict[bytes, int]):
-    """Automaton over word numbers; passages with a word that has none cannot occur."""
+def automaton(patterns: list[list[bytes]]):
+    """Automaton over word numbers, and the numbers of the words in passages, from 1."""
     import ahocorasick
 
     made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    numbers: dict[bytes, int] = {}
     for words in patterns:
-        key = tuple(map(numbers.get, words))
-        if key and None not in key:
-            made.add_word(key)
+        if words:
+            made.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words))
     if len(made):
         made.make_automaton()
-    return made
+    return made, numbers
 
 
-def covered(made, key: tuple[int, ...]) -> np.ndarray:
-    """Which words an occurrence covers."""
+def covered(made, key: np.ndarray, least: int) -> np.ndarray:
+    """Which words an occurrence covers; ``key`` has 0 for words of no passage.
+
+    An occurrence lies in a run of words that passages have, and is ``least`` words long at least. Shorter runs are
+    not fed to the automaton, whose root looks through a branch for every first word.
+    """
     change = np.zeros(len(key) + 1, np.int64)
     if len(made):
-        for end, length in made.iter(key):
-            change[end + 1 - length] += 1
-            change[end + 1] -= 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], key > 0, [0]])))
+        for begin, end in edges.reshape(-1, 2).tolist():
+            if end - begin >= least:
+                for last, length in made.iter(tuple(key[begin:end].tolist())):
+                    change[begin + last + 1 - length] += 1
+                    change[begin + last + 1] -= 1
     return np.cumsum(change)[:-1] > 0
 
 
@@ -109,13 +115,11 @@ def remove_repeated_phrases(docs: DataFrame, window: int = WINDOW, anchor: int =
     types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
     def locate(own: pa.Table, patterns: pa.Table) -> pa.Table:
-        numbers: dict[bytes, int] = defaultdict(count().__next__)
         out: dict[str, list] = {name: [] for name in types}
         words = [_words(text) for text in own["text"].to_pylist()]
-        keys = [tuple(map(numbers.__getitem__, ws)) for ws in words]
-        made = automaton([p.encode().split(b" ") for p in set(patterns["passage"].to_pylist())], numbers)
-        for doc_id, ws, key in zip(own["doc_id"].to_pylist(), words, keys, strict=True):
-            gone = covered(made, key)
+        made, numbers = automaton([p.encode().split(b" ") for p in set(patterns["passage"].to_pylist())])
+        for doc_id, ws in zip(own["doc_id"].to_pylist(), words, strict=True):
+            gone = covered(made, np.fromiter(map(numbers.get, ws, repeat(0)), np.int64, len(ws)), window)
             kept = b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if gone.any() else ws)
             for name, value in zip(types, (doc_id, len(ws), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                 out[name].append(value)
