@@ -5,6 +5,9 @@ centroids make K * K cells. A query sorts the centroids of each half by distance
 order of the summed distance with a heap, until the cells hold the wanted share of all points; these points are
 then ranked by their exact inner product.
 
+Distances order points as inner products do only where all vectors are equally long. So each point gets one
+component more, the square root of what its squared length lacks to the largest one: then all are. A query's is 0.
+
 Equal vectors are one point, which keeps the smallest ids that any answer can need, so a vector that
 a third of all rows hold costs as much as any other. Cells are packed into shards of bounded size and large
 cells are cut, so no task holds more than a shard and a block of queries.
@@ -79,6 +82,11 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(flat.flatten(), np.float64).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
 
 
+def lifted(points: np.ndarray, longest: float) -> np.ndarray:
+    """Points with the component that makes their squared length ``longest``."""
+    return np.concatenate([points, np.sqrt(np.maximum(0.0, longest - (points**2).sum(1)))[:, None]], axis=1)
+
+
 def shards(sizes: np.ndarray, points: int) -> list[tuple[int, int]]:
     """First shard of every cell and the shards it is cut into. Small cells share a shard."""
     out, shard, room = [], 0, points
@@ -102,24 +110,33 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
 
     Every row is a candidate for all queries but that of its own id. Nearest first, ties to the smaller
     id; all candidates where there are fewer than ``k``. Rows whose vector is null, zero or holds null or
-    non-finite components take no part, nor rows without an id or with another length than most have.
-    Repeated rows count once. Other columns are ignored; an empty table gives no rows.
+    non-finite components take no part, nor rows without an id. Vectors of different lengths are not compared: each length
+    is searched on its own. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).distinct()
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dims = lengths[0]["n"] if lengths else 2
-    rows = base.stage(rows.filter(F.size("v") == dims), "vectors")
-
+    rows = base.stage(rows, "vectors")
+    # lengths are those of a few models
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()] or [2]
+    found = None
+    for dims in lengths:
+        part = _search(rows.filter(F.size("v") == dims), dims, k, centroids, visit, fit_points)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _search(rows: DataFrame, dims: int, k: int, centroids: int, visit: float, fit_points: int) -> DataFrame:
+    """The search among vectors of ``dims`` components."""
+    spark = rows.sparkSession
     # one point per vector, with the ids that any answer may need
     kept = top_k(rows.select("v", "vec_id").distinct(), k + 1, ["v"], [F.col("vec_id")])
     points = kept.groupBy("v").agg(F.min("vec_id").alias("point"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     points = base.stage(points, "points")
-    n = points.count()
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    n, longest = points.agg(F.count(F.lit(1)), F.coalesce(F.max(length), F.lit(0.0))).first()
     half = max(1, dims // 2)
     sample = points.select("point", "v").orderBy(F.xxhash64("point"), "point").limit(fit_points).toArrow()
-    flat = matrix(sample["v"]) if n else np.zeros((1, dims))
+    flat = lifted(matrix(sample["v"]) if n else np.zeros((1, dims)), longest)
     count = max(1, min(centroids, len(flat) // 4))
     books = [fit(flat[:, :half], count), fit(flat[:, half:], count)]
     width = len(books[1])
@@ -127,7 +144,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = matrix(batch["v"])
+                v = lifted(matrix(batch["v"]), longest)
                 cell = assign(v[:, :half], books[0]) * width + assign(v[:, half:], books[1])
                 yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
@@ -146,7 +163,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = [(b**2).sum(1) for b in books]
         for batch in batches:
-            v = matrix(batch["v"]) if batch.num_rows else np.empty((0, dims))
+            v = np.pad(matrix(batch["v"]), ((0, 0), (0, 1))) if batch.num_rows else np.empty((0, dims + 1))
             out: list[tuple] = []
             for i, (query, q) in enumerate(zip(batch["query"].to_pylist(), v, strict=True)):
                 by_shard: dict[int, list[int]] = {}
