@@ -26,7 +26,7 @@ from repolith.llm import base
 
 #: Edits allowed for an item of n words: this share of n, rounded down.
 EDITS = 0.2
-#: Shorter items are left out: a few common words match anywhere.
+#: Items of fewer words allow no edit: with few words an edit makes another text.
 MIN_WORDS = 8
 GRAM = 3
 WALKS, TABLES, SAMPLE = 4, 24, 3
@@ -111,6 +111,8 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    #: items shorter than a run, by their first word
+    short: dict[int, list[int]]
 
     @classmethod
     def build(cls, rows: list, share: float) -> Items:
@@ -118,7 +120,7 @@ class Items:
         ids, words = [], []
         for item_id, text in rows:
             own = hashes.array(normal_words(text or ""))
-            if len(own) >= MIN_WORDS:
+            if len(own):
                 ids.append(item_id)
                 words.append(own)
         grams = [gram_codes(w) for w in words]
@@ -129,8 +131,12 @@ class Items:
         unique, first = np.unique(flat[order], return_index=True)
         likely = np.zeros(1 << _FILTER_BITS, bool)
         likely[unique >> np.uint64(64 - _FILTER_BITS)] = True
-        edits = np.array([int(share * len(w)) for w in words])
-        return cls(ids, words, edits, unique, likely, np.append(first, len(flat)), item[order], place[order])
+        edits = np.array([int(share * len(w)) if len(w) >= MIN_WORDS else 0 for w in words])
+        short: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) < GRAM:
+                short.setdefault(int(w[0]), []).append(i)
+        return cls(ids, words, edits, unique, likely, np.append(first, len(flat)), item[order], place[order], short)
 
     def shared(self, item: int) -> int:
         """Runs that a window within the allowed edits has in common with the item."""
@@ -138,6 +144,10 @@ class Items:
 
     def starts(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Items and places at which a window may match."""
+        for word, some in self.short.items():
+            at = np.flatnonzero(words == np.uint64(word))
+            for i in some if len(at) else ():
+                yield i, at
         grams = gram_codes(words)
         at = np.flatnonzero(self.likely[grams >> np.uint64(64 - _FILTER_BITS)])
         if not len(at):
@@ -171,6 +181,11 @@ class Items:
             item, edits = self.words[i], int(self.edits[i])
             n = len(item)
             padded = np.concatenate([words, np.zeros(n, np.uint64)])
+            if not edits:
+                same = starts[(padded[starts[:, None] + np.arange(n)] == item).all(1)]
+                if len(same):
+                    yield i, 0, int(same[0]), int(same[0]) + n
+                continue
             starts = starts[collides(padded[starts[:, None] + np.arange(n)], item)]
             best = None
             for group in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
@@ -201,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     ``benchmark (item_id, text)``. Words are in lower case, parted by ASCII characters that are neither letter nor digit. A document holds an
     item of n words if some stretch of its words is within ``edits`` * n (rounded down) edits of it; of
     several stretches the closest, then the first counts, as words [begin, end). Items under ``MIN_WORDS``
-    words, null and empty texts match nothing. Ids may be null or repeat: rows are answered each. Other
+    words are found without edits only. Null and empty texts and items match nothing. Ids may be null or repeat: rows are answered each. Other
     columns are ignored; an empty table on either side gives no rows.
 
     Items are taken in blocks of ``ITEM_BLOCK``, each a pass over the documents without any exchange.

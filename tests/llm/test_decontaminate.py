@@ -6,7 +6,7 @@ from repolith.llm import base, decontaminate
 
 RNG = random.Random(8)
 VOCABULARY = [f"w{i}" for i in range(400)]
-ITEMS = [" ".join(RNG.choice(VOCABULARY) for _ in range(n)) for n in (8, 9, 15, 15, 40, 60, 7)]
+ITEMS = [" ".join(RNG.choice(VOCABULARY) for _ in range(n)) for n in (8, 9, 15, 15, 40, 60, 7, 5, 3, 2, 1)]
 
 
 def edited(words, edits, rng):
@@ -48,10 +48,8 @@ def test_against_brute_force(llm, frame):
         words = decontaminate.normal_words(text or "")
         for i, item in enumerate(ITEMS):
             own = decontaminate.normal_words(item)
-            distance = closest(own, words) if len(own) >= decontaminate.MIN_WORDS and len(words) < 1000 else None
-            if len(words) >= 1000:
-                distance = 0 if i == 5 else None
-            near = distance is not None and distance <= int(0.2 * len(own))
+            distance = closest(own, words) if len(words) < 1000 else 0 if i == 5 or set(own) <= set(ITEMS[5].split()) and item in ITEMS[5] else None
+            near = distance is not None and distance <= (int(0.2 * len(own)) if len(own) >= 8 else 0)
             assert ((d, i) in found) == near, (d, i, distance)
             if near:
                 r = found[d, i]
