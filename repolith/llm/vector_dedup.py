@@ -28,11 +28,11 @@ from repolith.llm.components import components
 #: Dimensions of a block, about.
 BLOCK_DIMS = 16
 #: Points of a cell aimed at, members of a part of a tile.
-CELL_POINTS = 1 << 14
+CELL_POINTS = 1 << 16
 #: Pivots at most; beyond that cells grow, and with them the number of their tiles.
 MAX_PIVOTS = 1024
-#: Candidates verified at a time.
-PAIRS = 1 << 16
+#: Candidates verified at a time, and pairs looked at.
+PAIRS, LOOKED_AT = 1 << 16, 1 << 20
 
 
 class Subspaces:
@@ -85,17 +85,27 @@ class Tile:
         self.space, self.b, self.cosine, self.vectors, self.weight = space, block, cosine, vectors, weight
         self.norm = np.sqrt((vectors**2).sum(1))
         self.placed = space.place(vectors)
-        self.near = space.block(self.placed, block)
+        # the product of a row of ``one`` and a row of ``two`` is minus their squared distance in the block
+        near = space.block(self.placed, block)
+        length = (near**2).sum(1, keepdims=True)
+        each = np.ones_like(length)
+        self.one = np.concatenate([2 * near, -length, -each], axis=1).astype(np.float32)
+        self.two = np.concatenate([near, each, length], axis=1).astype(np.float32)
         self.links = np.zeros(len(vectors), np.int64)
         self.root = np.arange(len(vectors))
 
     def compare(self, left: np.ndarray, right: np.ndarray, same: bool = False) -> None:
-        """Verify the pairs of two lists of members, or within one list."""
-        rows = max(1, (1 << 22) // max(1, len(right)))
+        """Verify the pairs of two lists of members, or within one list.
+
+        Single precision is enough to look: the room left for its rounding only adds candidates.
+        """
+        rows, least = max(1, LOOKED_AT // max(1, len(right))), np.float32(-self.space.budget[self.b] - 1e-5)
+        one, two = self.one[left], np.ascontiguousarray(self.two[right].T)
         for at in range(0, len(left), rows):
-            some = left[at : at + rows]
-            i, j = np.nonzero(squares(self.near[some], self.near[right]) <= self.space.budget[self.b] + 1e-9)
-            i += at
+            from_ = at if same else 0
+            near = np.flatnonzero(one[at : at + rows] @ two[:, from_:] >= least)
+            i, j = np.divmod(near, two.shape[1] - from_)
+            i, j = i + at, j + from_
             if same:
                 i, j = i[i < j], j[i < j]
             for part in range(0, len(i), PAIRS):
