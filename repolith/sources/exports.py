@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolith import schemas
 from repolith.functions import columns as C
 from repolith.operators.prs import flatten_prs
-
-COMMIT_MARK = "---COMMIT---"
-FIELD_MARK = "\x1e"
-
+from repolith.sources import contentsource
+from repolith.sources.logsource import COMMIT_MARK, FIELD_MARK, FIELDS, register
 
 def _repo_from_file(path: Column) -> Column:
-    """Repository id of an export: the file's base name without its extension."""
-    return C.stem(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+    """Repository id of an export: the folder ``repo_id=...`` it lies in, else its base name without its extension."""
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # a folder's name is escaped once more by the path it stands in
+    folder = F.regexp_extract(decoded(path), "/repo_id=([^/]+)/", 1)
+    return F.when(folder != "", decoded(folder)).otherwise(C.stem(decoded(path)))
 
 
 def parse_numstat(line: Column) -> Column:
@@ -71,61 +73,81 @@ def _log_chunks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _log_records(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks with the fields ``f`` of their record (null in front of the first one) and its numstat lines."""
+def _text_log(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of the data source by the text reader, for stores that only Spark can open."""
     chunks = _log_chunks(spark, path)
     lines = F.split("value", "\n")
     # the header starts at the first line with a field mark; earlier lines belong to the commit above
     start = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit(FIELD_MARK))), F.lit(True))
-    header = F.when(start > 0, F.array_join(F.slice(lines, start, F.size(lines)), "\n"))
+    header = C.strip(F.when(start > 0, F.array_join(F.slice(lines, start, F.size(lines)), "\n")))
     tail = F.split("following", "\n")
     tail_start = F.array_position(F.transform(tail, lambda x: F.contains(x, F.lit(FIELD_MARK))), F.lit(True))
     stats = F.when(tail_start > 0, F.slice(tail, F.lit(1), tail_start - 1)).otherwise(tail)
-    return chunks.select("file", "seq", F.split(C.strip(header), FIELD_MARK).alias("f"), stats.alias("stats"))
-
+    raw = chunks.select("file", "seq", header.alias("header"), F.split(header, FIELD_MARK).alias("f"), stats.alias("stats"))
+    whole = F.size("f") >= FIELDS
+    field = lambda i: F.when(whole, F.get("f", F.lit(i)))
+    when = F.to_utc_timestamp(F.try_to_timestamp(field(3), F.lit("yyyy-MM-dd HH:mm:ss Z")), "UTC").cast("timestamp_ntz")
+    return raw.filter("f IS NOT NULL").select(
+        _repo_from_file(F.col("file")).alias("repo_id"),
+        F.col("seq").alias("position"),
+        *(field(i).alias(c) for i, c in enumerate(("commit_id", "author", "email", "date"))),
+        when.alias("committed_at"),
+        field(4).alias("subject"),
+        C.strip(field(5)).alias("body"),
+        F.contains(field(6), F.lit(" ")).alias("is_merge"),
+        "stats",
+        F.when(~whole | when.isNull(), F.col("header")).alias("_corrupt"),
+    )
 
-def _log_date(date: Column | str) -> Column:
-    return F.to_utc_timestamp(F.try_to_timestamp(date, F.lit("yyyy-MM-dd HH:mm:ss Z")), "UTC").cast("timestamp_ntz")
 
+def commit_log(
+    spark: SparkSession, path: str, columns: str | None = None, via: str = "source", split_bytes: int | None = None
+) -> DataFrame:
+    """Records of exported ``git log --numstat`` text, one repository to a file or folder (SRC-01, WIN-05).
 
-def corrupt_log_records(spark: SparkSession, path: str) -> DataFrame:
+    A record is seven fields (sha, author, email, date, subject, body, parents) and the commit mark; its numstat lines
+    stand in front of the next record. ``columns`` is a schema of those wanted. ``via="text"`` reads by Spark's text reader in place of
+    the data source, for stores that Arrow cannot open; there ``position`` counts records, and the text is shuffled.
+    """
+    if via == "text":
+        found = _text_log(spark, path)
+        return found if columns is None else found.select(*T.StructType.fromDDL(columns).fieldNames())
+    reader = register(spark).read.format("commit_log")
+    if columns is not None:
+        reader = reader.schema(columns)
+    if split_bytes is not None:
+        reader = reader.option("splitBytes", split_bytes)
+    return reader.load(path)
+
+
+def corrupt_log_records(spark: SparkSession, path: str, via: str = "source") -> DataFrame:
     """Records of exported logs that cannot be read whole: too few fields, or a date that is none.
 
-    ``read_commit_log`` drops the former and keeps the latter without a time.
+    ``read_commit_log`` drops the former and keeps the latter without a time, marked in ``_corrupt``.
     """
-    few = F.size("f") < 7
-    bad = _log_records(spark, path).filter(F.col("f").isNotNull() & (few | _log_date(F.get("f", F.lit(3))).isNull()))
-    reason = F.when(few, "fields").otherwise("date")
-    return bad.select(_repo_from_file(F.col("file")).alias("repo_id"), "seq", reason.alias("reason"), F.array_join("f", FIELD_MARK).alias("record"))
+    found = commit_log(spark, path, "repo_id STRING, position BIGINT, commit_id STRING, _corrupt STRING", via)
+    reason = F.when(F.col("commit_id").isNull(), "fields").otherwise("date").alias("reason")
+    return found.filter("_corrupt IS NOT NULL").select("repo_id", F.col("position").alias("seq"), reason, F.col("_corrupt").alias("record"))
 
 
-def read_commit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Exported ``git log --numstat`` text, one file per repository, to commits and changes (SRC-01, WIN-05).
+def read_commit_log(
+    spark: SparkSession, path: str, via: str = "source", split_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Commits and changes of exported logs, see ``commit_log``.
 
-    A record is seven fields (sha, author, email, date, subject, body, parents) and the commit
-    mark; its numstat lines stand in front of the next record. Records with fewer fields are
-    dropped, see ``corrupt_log_records``. ``seq`` is the log position, 0 for the newest commit.
+    Records with fewer fields are dropped, see ``corrupt_log_records``. ``seq`` is the log position: it grows
+    with every record of a file, from the newest.
     """
-    parsed = (
-        _log_records(spark, path)
-        .filter(F.size("f") >= 7)
-        .select(
-            _repo_from_file(F.col("file")).alias("repo_id"),
-            "seq",
-            F.col("f")[0].alias("commit_id"),
-            F.col("f")[1].alias("author"),
-            F.col("f")[2].alias("email"),
-            F.col("f")[3].alias("date"),
-            F.col("f")[4].alias("subject"),
-            C.strip(F.col("f")[5]).alias("body"),
-            F.contains(F.col("f")[6], F.lit(" ")).alias("is_merge"),
-            "stats",
-        )
-        .withColumn("committed_at", _log_date("date"))
+    columns = (
+        "repo_id STRING, position BIGINT, commit_id STRING, author STRING, email STRING, date STRING, subject STRING, "
+        "body STRING, is_merge BOOLEAN, committed_at TIMESTAMP_NTZ, _corrupt STRING"
     )
-    commits = parsed.drop("stats")
+    commits = commit_log(spark, path, columns, via, split_bytes).filter("commit_id IS NOT NULL").withColumnRenamed("position", "seq")
+    columns = "repo_id STRING, position BIGINT, commit_id STRING, committed_at TIMESTAMP_NTZ, stats ARRAY<STRING>"
     changes = (
-        parsed.select("repo_id", "seq", "commit_id", "committed_at", F.explode("stats").alias("line"))
+        commit_log(spark, path, columns, via, split_bytes)
+        .filter("commit_id IS NOT NULL")
+        .select("repo_id", F.col("position").alias("seq"), "commit_id", "committed_at", F.explode("stats").alias("line"))
         .withColumn("s", parse_numstat(F.col("line")))
         .filter("s IS NOT NULL")
         .select("repo_id", "commit_id", "seq", "committed_at", "s.*")
@@ -149,22 +171,13 @@ def read_contents(
 
     ``glob`` prunes files by name before any content is read; unreadable files are skipped.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    reader = contentsource.register(spark).read.format("repo_files").schema("repo_id STRING, path STRING, text STRING")
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    # the root as Spark names it in paths, taken off as it stands
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    decoded = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    below = F.substr(decoded, F.lit(len(full.rstrip("/")) + 2))
-    text = F.try_validate_utf8(F.col("content"))
+        reader = reader.option("glob", glob)
+    text = F.col("text")
     if head_lines is not None:
         text = F.array_join(F.slice(F.split(text, "\n"), 1, head_lines), "\n")
-    return reader.load(root).select(
-        F.substring_index(below, "/", 1).alias("repo_id"),
-        F.regexp_replace(below, r"^[^/]*/", "").alias("path"),
-        text.alias("text"),
-    ).filter("text IS NOT NULL")
+    return reader.load(root).filter("text IS NOT NULL").select("repo_id", "path", text.alias("text"))
 
 
 def read_prs(spark: SparkSession, path: str) -> DataFrame:

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolith.sources.versions import Versions
 
-def write_snapshot(frames: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """State tables of one run, each in its own folder; a rerun of the same run replaces them (SNK-01)."""
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
 
+def write_snapshot(frames: dict[str, DataFrame], path: str, run_id: str) -> int:
+    """State tables of one run as a new version, visible together or not at all (SNK-01).
 
-def read_snapshot(spark: SparkSession, path: str, name: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}/run_id={run_id}")
+    A later run of the same id is the one that reads find; a run that fails leaves what was there.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    return Versions(spark, path).commit(frames, run_id=run_id)
+
+
+def read_snapshot(spark: SparkSession, path: str, name: str, run_id: str | None = None) -> DataFrame:
+    """A table of the newest version, or of the newest of one run."""
+    return Versions(spark, path).read(name, **({} if run_id is None else {"run_id": run_id}))
 
 
 def run_metadata(summary: DataFrame, version: str, now: Column) -> DataFrame:
@@ -28,8 +34,13 @@ def run_metadata(summary: DataFrame, version: str, now: Column) -> DataFrame:
     )
 
 
-def write_meta(summary: DataFrame, path: str, version: str, now: Column) -> None:
-    run_metadata(summary, version, now).write.mode("overwrite").json(path)
+def write_meta(summary: DataFrame, path: str, version: str, now: Column) -> int:
+    return Versions(summary.sparkSession, path).commit({"meta": run_metadata(summary, version, now)})
+
+
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata of the last run that ended well."""
+    return Versions(spark, path).read("meta")
 
 
 def to_report_json(scores: DataFrame, totals: DataFrame, gaps: DataFrame, questions: DataFrame) -> DataFrame:
@@ -51,5 +62,16 @@ def to_report_json(scores: DataFrame, totals: DataFrame, gaps: DataFrame, questi
     )
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+REPORT = """total BIGINT, grade STRING, breakdown ARRAY<STRUCT<pos: BIGINT, dimension: STRING, score: BIGINT, max: BIGINT>>,
+  gaps ARRAY<STRUCT<pos: BIGINT, dimension: STRING, impact: STRING, question: STRING>>,
+  questions ARRAY<STRUCT<pos: BIGINT, category: STRING, question: STRING>>"""
+
+
+def write_report(report: DataFrame, path: str) -> int:
+    return Versions(report.sparkSession, path).commit({"report": report})
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Reports of the last run that ended well, their JSON taken apart."""
+    parsed = F.from_json("report", REPORT)
+    return Versions(spark, path).read("report").select("repo_id", parsed.alias("r")).select("repo_id", "r.*")
