@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
 from repolith.functions.ranking import top_k
+from repolith.operators.reach import reachable
 
 _SCRIPT = (".ts", ".tsx", ".js", ".jsx", ".mjs")
 
@@ -53,10 +54,13 @@ def extract_imports(contents: DataFrame, head_lines: int | None = None) -> DataF
     """One row per import statement: src, pos, spec (PRJ-22). Whole texts unless ``head_lines`` is given."""
     source = contents.filter(C.is_source_file("path"))
     ext = F.lower(C.extension("path"))
-    specs = import_specs(head(F.col("text"), head_lines), ext)
-    return source.select(
-        "repo_id", F.col("path").alias("src"), F.posexplode(specs).alias("pos", "spec")
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+    return spec_rows(source.withColumn("specs", import_specs(head(F.col("text"), head_lines), ext)))
+
+
+def spec_rows(files: DataFrame) -> DataFrame:
+    """One row per import statement of files with their ``specs``."""
+    rows = files.select("repo_id", F.col("path").alias("src"), F.posexplode("specs").alias("pos", "spec"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _candidates(kind: Column, base: Column) -> Column:
@@ -129,18 +133,9 @@ def fan_in(edges: DataFrame, k: int | None = 30) -> DataFrame:
     return top_k(counts, k, ["repo_id"], [F.desc("n_imports"), F.asc("file")])
 
 
-def blast_radius(changeset: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
-    """Importers of changed files, up to ``hops`` steps away, at their smallest distance (JOIN-10)."""
-    steps = edges.select("repo_id", F.col("dst").alias("reached"), F.col("src").alias("importer"))
-    frontier = changeset.select("repo_id", F.col("path").alias("changed"), F.col("path").alias("reached")).distinct()
-    out = None
-    for hop in range(1, hops + 1):
-        frontier = (
-            frontier.join(steps, ["repo_id", "reached"])
-            .select("repo_id", "changed", F.col("importer").alias("reached"))
-            .filter("reached <> changed")
-            .distinct()
-        )
-        level = frontier.select("repo_id", "changed", F.col("reached").alias("importer"), F.lit(hop).alias("hop"))
-        out = level if out is None else out.unionByName(level)
-    return out.groupBy("repo_id", "changed", "importer").agg(F.min("hop").cast("bigint").alias("hop"))
+def blast_radius(changeset: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """Importers of changed files at their smallest distance, to the end or up to ``hops`` steps away (JOIN-10)."""
+    start = changeset.select("repo_id", F.col("path").alias("origin"))
+    steps = edges.select("repo_id", F.col("dst").alias("a"), F.col("src").alias("b"))
+    found = reachable(start, steps, hops)
+    return found.select("repo_id", F.col("origin").alias("changed"), F.col("node").alias("importer"), "hop")
