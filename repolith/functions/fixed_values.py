@@ -402,7 +402,6 @@ TEST_LIBRARY_PATTERNS = (
     ("display_name", ("ReplaceUnderscores", "@DisplayNameGeneration"), 2),
 )
 TODO_PATTERN = r"\b(TODO|FIXME|HACK|XXX)\b[:\s]*(.*)"
-TODO_TEXT_CHARS = 120
 # (language or "*", category, pattern)
 RISK_RULES = (
     ("*", "secret", r"(?i)password"),
@@ -422,7 +421,6 @@ RISK_RULES = (
     ("JavaScript", "command", r"child_process"),
 )
 SCRIPT_NAMES = ("build", "test", "dev", "start", "lint", "typecheck", "format")
-MAKE_TARGETS = 10
 
 # --- Fixed values: scores -------------------------------------------------------------------
 CONFIDENCE_CUTS = ((80, "A"), (65, "B"), (50, "C"), (35, "D"))
@@ -439,7 +437,6 @@ RUBRIC_DIMENSIONS = 8
 RUBRIC_FACTOR = 2.5
 
 # --- Fixed values: limits -------------------------------------------------------------------
-PAIR_MAX_FILES = 50
 PAIR_MIN_COUNT = 3
 THROTTLE_SECONDS = 300
 STALE_COMMITS = 10

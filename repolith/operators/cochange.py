@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import fixed_values as fv
 from repolith.functions.ranking import top_k
 
 
-def commit_files(changes: DataFrame, max_files: int = fv.PAIR_MAX_FILES) -> DataFrame:
-    """Sorted file list of every commit with 2 to ``max_files`` files.
+#: Files of a commit whose pairs come from one row; wider commits are dealt as a grid of such parts.
+PAIR_PART = 256
+
+
+def up_to_width(changes: DataFrame, max_files: int) -> DataFrame:
+    """Changes of the commits with at most ``max_files`` files."""
+    widths = changes.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("width"))
+    return changes.join(widths.filter(F.col("width") <= max_files), ["repo_id", "commit_id"], "left_semi")
 
-    A commit wider than the limit makes no pairs. Each map task keeps at most ``max_files + 1``
-    paths per commit before the exchange, which is enough to tell that a commit is too wide;
-    so a bulk import of millions of paths never reaches one task, and the list stays small.
-    """
-    head = top_k(
-        changes.select("repo_id", "commit_id", "path"), max_files + 1, ["repo_id", "commit_id"], [F.asc("path")]
-    )
-    return (
-        head.groupBy("repo_id", "commit_id")
-        .agg(F.array_sort(F.collect_list("path")).alias("files"))
-        .filter(F.size("files").between(2, max_files))
-    )
+
+def often_changed(changes: DataFrame, min_count: int) -> DataFrame:
+    """Changes of files that change often enough to be part of a pair that is counted ``min_count`` times."""
+    if min_count <= 1:
+        return changes
+    counts = changes.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("n"))
+    return changes.join(counts.filter(F.col("n") >= min_count), ["repo_id", "path"], "left_semi")
 
 
 def explode_pairs(commits: DataFrame) -> DataFrame:
@@ -39,13 +40,73 @@ def explode_pairs(commits: DataFrame) -> DataFrame:
     )
 
 
+def _cells(parts: Column, own: Column) -> Column:
+    """Cells (low, high) of the grid in which part ``own`` meets the others and itself."""
+    cell = lambda p: F.struct(F.least(p, own).alias("low"), F.greatest(p, own).alias("high"))
+    return F.transform(F.sequence(F.lit(0), parts - 1), cell)
+
+
+def grid_pairs(wide: DataFrame, part: int = PAIR_PART) -> DataFrame:
+    """Pairs of the files of wide commits, of rows (repo_id, commit_id, path, width).
+
+    A commit's files fall into parts of about ``part``; every two parts meet in one row, and each part meets
+    itself. The rows of one commit are dealt over all tasks, so none holds more than two parts of it.
+    """
+    parts = F.ceil(F.col("width") / part).cast("int")
+    own = F.pmod(F.xxhash64("path"), parts).cast("int")
+    dealt = (
+        wide.select("repo_id", "commit_id", "path", own.alias("own"), F.inline(_cells(parts, own)))
+        .repartition("repo_id", "commit_id", "low", "high")
+    )
+    met = dealt.groupBy("repo_id", "commit_id", "low", "high").agg(
+        F.array_sort(F.collect_set(F.when(F.col("own") == F.col("low"), F.col("path")))).alias("files"),
+        F.collect_set(F.when((F.col("own") == F.col("high")) & (F.col("low") < F.col("high")), F.col("path"))).alias("across"),
+    )
+    later = F.slice("files", F.col("pos") + 2, F.size("files"))
+    others = F.when(F.col("low") == F.col("high"), later).otherwise(F.col("across"))
+    pairs = met.select("*", F.posexplode("files").alias("pos", "x")).select("repo_id", "x", F.explode(others).alias("y"))
+    return pairs.select("repo_id", F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b"))
+
+
+def _count(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("repo_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def co_change_counts(
-    changes: DataFrame, max_files: int = fv.PAIR_MAX_FILES, min_count: int = fv.PAIR_MIN_COUNT
+    changes: DataFrame, max_files: int | None = None, min_count: int = fv.PAIR_MIN_COUNT, part: int = PAIR_PART
 ) -> DataFrame:
-    """How often two files change in one commit (JOIN-01, AGG-03)."""
-    pairs = explode_pairs(commit_files(changes, max_files))
-    counts = pairs.groupBy("repo_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= min_count)
+    """How often two files change in one commit, of any width (JOIN-01, AGG-03).
+
+    A pair counted ``min_count`` times needs two files changed that often: all other changes go before pairs
+    are made. The pairs of a commit of up to ``part`` files come from its own row. Where a repository has fewer wider commits than
+    ``min_count``, a pair needs the rest of its count from narrow ones: only those pairs are looked up in
+    the wide commits, and none is made there. The wide commits of other repositories are dealt as a grid.
+    A path counts once per commit. ``max_files`` leaves wider commits out, for callers that want it.
+    """
+    rows = changes.select("repo_id", "commit_id", "path")
+    if max_files is not None:
+        rows = up_to_width(rows, max_files)
+    rows = often_changed(rows, min_count)
+    widths = rows.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("width")).filter("width > 1")
+    files = rows.join(widths, ["repo_id", "commit_id"])
+    narrow = files.filter(F.col("width") <= part).groupBy("repo_id", "commit_id")
+    counts = _count(explode_pairs(narrow.agg(F.array_sort(F.collect_set("path")).alias("files"))))
+    if max_files is not None and max_files <= part:
+        return counts.filter(F.col("n") >= min_count)
+
+    n_wide = widths.filter(F.col("width") > part).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_wide"))
+    wide = files.filter(F.col("width") > part).join(n_wide, "repo_id")
+    many = _count(grid_pairs(wide.filter(F.col("n_wide") >= min_count), part))
+    # few wide commits: their pairs are known from narrow ones
+    few = wide.filter(F.col("n_wide") < min_count).select("repo_id", "commit_id", "path").distinct()
+    likely = counts.join(n_wide.filter(F.col("n_wide") < min_count), "repo_id").filter(F.col("n") >= min_count - F.col("n_wide"))
+    seen = (
+        likely.select("repo_id", "file_a", "file_b")
+        .join(few.withColumnRenamed("path", "file_a"), ["repo_id", "file_a"])
+        .join(few.withColumnRenamed("path", "file_b"), ["repo_id", "commit_id", "file_b"], "left_semi")
+    )
+    total = counts.unionByName(many).unionByName(_count(seen))
+    return total.groupBy("repo_id", "file_a", "file_b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def pair_strength(counts: DataFrame, freq: DataFrame) -> DataFrame:
@@ -70,13 +131,21 @@ def co_change_pairs(counts: DataFrame, freq: DataFrame, top_n: int | None = 20)
     return top_k(pairs, top_n, ["repo_id"], order)
 
 
-def missing_partners(changeset: DataFrame, pairs: DataFrame, min_strength: float = 0.0) -> DataFrame:
-    """Usual partners that a change set leaves out (JOIN-09). Change sets are (repo_id, change_id, path)."""
+def missing_partners(
+    changeset: DataFrame, pairs: DataFrame, min_strength: float = 0.0, per_file: int | None = None
+) -> DataFrame:
+    """Usual partners that a change set leaves out (JOIN-09). Change sets are (repo_id, change_id, path).
+
+    ``per_file`` keeps the strongest partners of each file only, chosen before any change set is met, so a
+    file that changes with everything meets a change set that often at most.
+    """
     strong = pairs.filter(F.col("strength") >= min_strength)
     both = strong.select("repo_id", F.col("file_a").alias("path"), F.col("file_b").alias("missing"), "n", "strength")
     both = both.unionByName(
         strong.select("repo_id", F.col("file_b").alias("path"), F.col("file_a").alias("missing"), "n", "strength")
     )
+    if per_file is not None:
+        both = top_k(both, per_file, ["repo_id", "path"], [F.desc("strength"), F.desc("n"), F.asc("missing")])
     present = changeset.select("repo_id", "change_id", F.col("path").alias("missing"))
     return (
         changeset.select("repo_id", "change_id", "path")

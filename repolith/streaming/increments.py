@@ -1,8 +1,8 @@
 """Incremental counts on Structured Streaming, equal to the batch results.
 
-A micro-batch is reduced to a delta and written to its own folder, ``batch_id=N``, in overwrite
-mode: a replayed batch replaces itself, so counts are exact after any failure. Readers add the
-deltas up. No state grows inside the stream apart from the commit ids within the watermark.
+A micro-batch is reduced to a delta and written to its own folder in overwrite mode: a replayed batch
+replaces itself, so counts are exact after any failure. Deltas are folded into a base from time to time;
+readers add up one base and a short tail. No state grows inside the stream apart from the commit ids within the watermark.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from repolith.functions import fixed_values as fv
-from repolith.operators.cochange import explode_pairs
+from repolith.operators.cochange import PAIR_PART, explode_pairs
 from repolith.operators.history import file_frequency
+from repolith.streaming.deltas import COMPACT_EVERY, DeltaTable
 
 
 def read_commit_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +34,39 @@ def once_per_commit(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withWatermark("landed_at", delay).dropDuplicatesWithinWatermark(["repo_id", "commit_id"])
 
 
-def _delta_sink(stream: DataFrame, reduce, path: str, checkpoint: str) -> DataStreamWriter:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+FREQUENCY = "repo_id STRING, path STRING, change_count BIGINT, last_changed TIMESTAMP_NTZ"
+PAIRS = "repo_id STRING, file_a STRING, file_b STRING, n BIGINT"
+ALERTS = "repo_id STRING, path STRING, at TIMESTAMP_NTZ, n_commits BIGINT"
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def _delta_sink(stream: DataFrame, reduce, table: DeltaTable, checkpoint: str) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: table.write(reduce(batch), batch_id)).option(
+        "checkpointLocation", checkpoint
+    )
+
+
+def frequency_table(spark: SparkSession, path: str, every: int = COMPACT_EVERY) -> DeltaTable:
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("repo_id", "path").agg(
+            F.sum("change_count").alias("change_count"), F.max("last_changed").alias("last_changed")
+        )
+
+    return DeltaTable(spark, path, FREQUENCY, fold, every)
+
+
+def pair_table(spark: SparkSession, path: str, every: int = COMPACT_EVERY) -> DeltaTable:
+    fold = lambda rows: rows.groupBy("repo_id", "file_a", "file_b").agg(F.sum("n").alias("n"))
+    return DeltaTable(spark, path, PAIRS, fold, every)
+
+
+def alert_table(spark: SparkSession, path: str, every: int = COMPACT_EVERY) -> DeltaTable:
+    def fold(rows: DataFrame) -> DataFrame:
+        """A row per path with its newest change, and a row per moment with its commits."""
+        moment = F.when(F.col("path").isNull(), F.col("at")).alias("moment")
+        folded = rows.groupBy("repo_id", "path", moment).agg(F.max("at").alias("at"), F.sum("n_commits").alias("n_commits"))
+        return folded.drop("moment")
+
+    return DeltaTable(spark, path, ALERTS, fold, every)
 
 
 def frequency_delta(commits: DataFrame) -> DataFrame:
@@ -45,33 +74,50 @@ def frequency_delta(commits: DataFrame) -> DataFrame:
     return file_frequency(touched)
 
 
-def pair_delta(commits: DataFrame, max_files: int = fv.PAIR_MAX_FILES) -> DataFrame:
-    narrow = commits.filter(F.size("files").between(2, max_files))
-    pairs = explode_pairs(narrow.select("repo_id", F.array_sort("files").alias("files")))
+def pair_delta(commits: DataFrame, part: int = PAIR_PART) -> DataFrame:
+    """Pair counts of commits of any width.
+
+    The list of a wide commit is cut into parts by position; every two parts become a row of their own,
+    dealt over all tasks before pairs are made of it.
+    """
+    lists = commits.select("repo_id", F.array_sort(F.array_distinct("files")).alias("files"))
+    narrow = explode_pairs(lists.filter(F.size("files") <= part))
+    last = F.ceil(F.size("files") / part).cast("int") - 1
+    cut = lambda at: F.slice("files", F.col(at) * part + 1, F.lit(part))
+    cells = lists.filter(F.size("files") > part).select("repo_id", "files", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("low"))
+    cells = cells.select("repo_id", "files", "low", F.explode(F.sequence(F.col("low"), F.col("last"))).alias("high"))
+    cells = cells.select("repo_id", "low", "high", cut("low").alias("files"), cut("high").alias("across"))
+    cells = cells.repartition("repo_id", "low", "high")
+    within = explode_pairs(cells.filter("low = high"))
+    across = cells.filter("low < high").select("repo_id", F.explode("files").alias("file_a"), "across")
+    across = across.select("repo_id", "file_a", F.explode("across").alias("file_b"))
+    pairs = narrow.unionByName(within).unionByName(across)
     return pairs.groupBy("repo_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_frequency(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> DataStreamWriter:
+def stream_frequency(
+    stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days", every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """Change counts per path as commits arrive (STR-01)."""
-    return _delta_sink(once_per_commit(stream, delay), frequency_delta, path, checkpoint)
+    table = frequency_table(stream.sparkSession, path, every)
+    return _delta_sink(once_per_commit(stream, delay), frequency_delta, table, checkpoint)
 
 
-def stream_pairs(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> DataStreamWriter:
+def stream_pairs(
+    stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days", every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """Pair counts as commits arrive (STR-02). Pairs come from the commit row itself: no stream-stream join."""
-    return _delta_sink(once_per_commit(stream, delay), pair_delta, path, checkpoint)
+    table = pair_table(stream.sparkSession, path, every)
+    return _delta_sink(once_per_commit(stream, delay), pair_delta, table, checkpoint)
 
 
 def read_frequency(spark: SparkSession, path: str) -> DataFrame:
     """Counts over all deltas so far."""
-    deltas = spark.read.parquet(path)
-    return deltas.groupBy("repo_id", "path").agg(
-        F.sum("change_count").alias("change_count"), F.max("last_changed").alias("last_changed")
-    )
+    return frequency_table(spark, path).read()
 
 
 def read_pairs(spark: SparkSession, path: str, min_count: int = fv.PAIR_MIN_COUNT) -> DataFrame:
-    counts = spark.read.parquet(path).groupBy("repo_id", "file_a", "file_b").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") >= min_count)
+    return pair_table(spark, path).read().filter(F.col("n") >= min_count)
 
 
 def route_triggers(events: DataFrame, mode: str) -> DataFrame:
@@ -97,6 +143,10 @@ def alerts_of(
     folded = deltas.groupBy("repo_id", "path", F.when(F.col("path").isNull(), F.col("at")).alias("moment")).agg(
         F.max("at").alias("at"), F.sum("n_commits").alias("n")
     )
+    return folded_alerts(folded, marks, n_commits, n_files)
+
+
+def folded_alerts(folded: DataFrame, marks: DataFrame, n_commits: int, n_files: int) -> DataFrame:
     newer = folded.join(marks.select("repo_id", "last_updated"), "repo_id").filter(F.col("at") > F.col("last_updated"))
     counted = newer.groupBy("repo_id").agg(F.sum("n").alias("n_commits"), F.count("path").alias("n_files"))
     return counted.filter((F.col("n_commits") > n_commits) | (F.col("n_files") >= n_files))
@@ -107,10 +157,14 @@ def stale_alerts(commits: DataFrame, marks: DataFrame) -> DataFrame:
     return alerts_of(alert_delta(commits), marks)
 
 
-def stream_alerts(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> DataStreamWriter:
+def stream_alerts(
+    stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days", every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """What alerts need, as commits arrive (STR-05); ``read_alerts`` judges it by the marks of the day."""
-    return _delta_sink(once_per_commit(stream, delay), alert_delta, path, checkpoint)
+    table = alert_table(stream.sparkSession, path, every)
+    return _delta_sink(once_per_commit(stream, delay), alert_delta, table, checkpoint)
 
 
 def read_alerts(spark: SparkSession, path: str, marks: DataFrame) -> DataFrame:
-    return alerts_of(spark.read.parquet(path), marks)
+    folded = alert_table(spark, path).read().withColumnRenamed("n_commits", "n")
+    return folded_alerts(folded, marks, fv.STALE_COMMITS, fv.ALERT_FILES)

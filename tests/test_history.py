@@ -64,10 +64,41 @@ def test_merge_of_prefix_and_suffix_equals_batch(spark, rows, log, cut):
     assert rows(pairs) == rows(cochange.co_change_counts(whole, 5, 2))
 
 
-def test_wide_commit_makes_no_pairs_but_counts(spark, rows):
+@quick
+@given(logs, st.integers(1, 4), st.integers(2, 9))
+def test_commits_of_any_width(spark, rows, log, min_count, part):
+    """Few and many wide commits, by parts of a few files."""
+    commits = [(r, n, sorted(p)) for n, (r, p) in enumerate(log)]
+    got = rows(cochange.co_change_counts(changes_of(spark, commits), min_count=min_count, part=part))
+    assert got == brute_pairs(commits, 99, min_count)
+
+
+def test_a_commit_of_5000_files(spark):
+    """Pairs of three such commits are counted, of one such commit only those that others make likely."""
+    files = [f"f{k:04d}" for k in range(5000)]
+    three = [("r", c, files[c:]) for c in range(3)]
+    one = [("s", 0, files), ("s", 1, ["f0001", "f0002"]), ("s", 2, ["f0002", "f0001", "f0009"]), ("s", 3, ["f0009", "x"])]
+    counts = cochange.co_change_counts(changes_of(spark, three + one)).groupBy("repo_id", "n").count().collect()
+    # files 2..4999 are in all of the three
+    assert sorted((r["repo_id"], r["n"], r["count"]) for r in counts) == [("r", 3, 4998 * 4997 // 2), ("s", 3, 1)]
+
+
+def test_no_task_holds_more_than_two_parts(spark):
+    wide = changes_of(spark, [("r", 1, [f"f{k}" for k in range(3000)])]).withColumn("width", F.lit(3000))
+    cells = 12 * 13 // 2
+    sizes = cochange.grid_pairs(wide, 256).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 3000 * 2999 // 2
+    plan = cochange.grid_pairs(wide, 256)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repo_id" in plan and "low" in plan and "high" in plan and cells == 78
+
+
+def test_a_path_counts_once_a_commit_and_width_can_be_limited(spark, rows):
+    df = changes_of(spark, [("r", c, ["a", "b", "a"]) for c in range(3)])
+    assert rows(cochange.co_change_counts(df)) == [("r", "a", "b", 3)]
+    assert rows(cochange.co_change_counts(df, max_files=2)) == []
     wide = [f"f{k:03d}" for k in range(51)]
     df = changes_of(spark, [("r", c, wide) for c in range(3)] + [("r", 10 + c, wide[:50]) for c in range(3)])
-    counts = cochange.co_change_counts(df)
+    counts = cochange.co_change_counts(df, max_files=50)
     assert counts.count() == 50 * 49 // 2 and {r["n"] for r in counts.collect()} == {3}
     freq = history.file_frequency(df)
     strengths = {r["strength"] for r in cochange.co_change_pairs(counts, freq, top_n=None).collect()}
@@ -81,6 +112,8 @@ def test_strength_and_missing_partner(spark, rows):
     changeset = spark.createDataFrame([("r", 9, "a"), ("r", 8, "a"), ("r", 8, "b")], "repo_id STRING, change_id BIGINT, path STRING")
     assert rows(cochange.missing_partners(changeset, pairs)) == [("r", 9, "a", "b", 3, 1.0)]
     assert rows(cochange.missing_partners(changeset, pairs, min_strength=1.1)) == []
+    assert rows(cochange.missing_partners(changeset, pairs, per_file=1)) == [("r", 9, "a", "b", 3, 1.0)]
+    assert rows(cochange.missing_partners(changeset, pairs, per_file=0)) == []
 
 
 def commits_of(spark, subjects, merges=()):
