@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
 from repolith.functions.ranking import collect_ranked, top_k
+from repolith.operators.rules import literal_hits
 from repolith.session import rule_frame
 
 _PACKAGE = "dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>"
@@ -96,26 +97,37 @@ def deps_by_group(deps: DataFrame, k: int = 5, hidden: Sequence[str] = fv.HIDDEN
     )
 
 
-def detect_signatures(deps: DataFrame, files: DataFrame, signatures: Sequence[tuple] = fv.SIGNATURES) -> DataFrame:
+def detect_signatures(deps: DataFrame, files: DataFrame, signatures: Sequence[tuple] | DataFrame = fv.SIGNATURES) -> DataFrame:
     """Frameworks, test frameworks, build tools and ORMs with enough evidence (JOIN-04).
 
-    A dependency counts when it contains the signature's name. That test runs as expressions on
-    each distinct dependency, files by an equi-join; only hits are shuffled.
+    A dependency counts when it contains the signature's name. For a list of signatures that test runs as
+    expressions on each distinct dependency; a table of them, (sig, kind, name, paths, deps, min_score), may have any
+    size and is looked up by trigrams. Files are found by an equi-join; only hits are shuffled.
     """
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(F.contains("dep", F.lit(d)), F.struct(F.lit(i).alias("sig"), F.lit(f"dep {d}").alias("evidence")))
-                for i, (_, _, _, names, _) in enumerate(signatures)
-                for d in names
-            ]
+    known = deps.select("repo_id", "dep").distinct()
+    if isinstance(signatures, DataFrame):
+        info = signatures.select("sig", "kind", "name", "min_score")
+        literals = signatures.select("sig", F.explode(F.array_distinct("deps")).alias("literal"))
+        by_dep = literal_hits(known, literals, text="dep").select("repo_id", "sig", F.concat(F.lit("dep "), F.col("literal")).alias("evidence"))
+        table = signatures.select("sig", F.explode("paths").alias("path")).withColumn("evidence", F.concat(F.lit("file "), F.col("path")))
+    else:
+        hits = F.array_compact(
+            F.array(
+                *[
+                    F.when(F.contains("dep", F.lit(d)), F.struct(F.lit(i).alias("sig"), F.lit(f"dep {d}").alias("evidence")))
+                    for i, (_, _, _, names, _) in enumerate(signatures)
+                    for d in names
+                ]
+            )
+        )
+        by_dep = known.select("repo_id", F.explode(hits).alias("h")).select("repo_id", "h.*")
+        rows = [(f, i, f"file {f}") for i, (_, _, paths, _, _) in enumerate(signatures) for f in paths]
+        table = rule_frame(files.sparkSession, rows, "path STRING, sig INT, evidence STRING")
+        info = rule_frame(
+            files.sparkSession,
+            [(i, kind, name, least) for i, (kind, name, _, _, least) in enumerate(signatures)],
+            "sig INT, kind STRING, name STRING, min_score INT",
         )
-    )
-    by_dep = (
-        deps.select("repo_id", "dep").distinct().select("repo_id", F.explode(hits).alias("h")).select("repo_id", "h.*")
-    )
-    rows = [(f, i, f"file {f}") for i, (_, _, paths, _, _) in enumerate(signatures) for f in paths]
-    table = rule_frame(files.sparkSession, rows, "path STRING, sig INT, evidence STRING")
     by_file = files.select("repo_id", "path").join(table, "path").select("repo_id", "sig", "evidence")
     scored = (
         by_dep.unionByName(by_file)
@@ -123,11 +135,6 @@ def detect_signatures(deps: DataFrame, files: DataFrame, signatures: Sequence[tu
         .groupBy("repo_id", "sig")
         .agg(F.count(F.lit(1)).alias("score"))
     )
-    info = rule_frame(
-        files.sparkSession,
-        [(i, kind, name, least) for i, (kind, name, _, _, least) in enumerate(signatures)],
-        "sig INT, kind STRING, name STRING, min_score INT",
-    )
     return (
         scored.join(info, "sig").filter("score >= min_score").select("repo_id", "kind", "name", "score")
     )

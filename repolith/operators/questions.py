@@ -38,6 +38,40 @@ def new_questions(candidates: DataFrame, asked: DataFrame, knowledge: DataFrame
     return keyed.join(seen, ["repo_id", "_key"], "left_anti").drop("_key")
 
 
+#: Hash functions of a signature, and how many of them make a band.
+SIGNATURE, BAND = 96, 3
+
+
+def similar_questions(questions: DataFrame, percent: int = 70) -> DataFrame:
+    """Questions (repo_id, id, question) with ``same_as``: the smallest id of an earlier one that says nearly the same (JOIN-17).
+
+    Two questions are alike when their sets of words share ``percent`` hundredths of their union. A signature keeps the smallest
+    hash of the words under each of many hash functions; bands of it are join keys. In each key group the first question
+    meets the others, so a group costs its size and not its square; every meeting is verified on the words. Questions
+    of equal words meet once as one. ``same_as`` is null for a question unlike all earlier ones and for one
+    without words.
+    """
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    rows = questions.select("repo_id", "id", "question", words.alias("words"))
+    sets = rows.filter(F.size("words") > 0).groupBy("repo_id", "words").agg(F.min("id").alias("first"))
+    least = lambda seed: F.array_min(F.transform("words", lambda w: F.xxhash64(w, seed)))
+    signed = sets.withColumn("signature", F.transform(F.sequence(F.lit(1), F.lit(SIGNATURE)), least))
+    band = lambda b: F.xxhash64(b, F.slice("signature", b * BAND + 1, F.lit(BAND)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(SIGNATURE // BAND - 1)), band)
+    keyed = signed.select("repo_id", "first", "words", F.explode(bands).alias("key"))
+    heads = keyed.groupBy("repo_id", "key").agg(F.min(F.struct("first", "words")).alias("head"), F.count(F.lit(1)).alias("n"))
+    met = keyed.join(heads.filter("n > 1"), ["repo_id", "key"]).filter("head.first < first")
+    met = met.select("repo_id", "first", "words", F.col("head.first").alias("earlier"), F.col("head.words").alias("other")).distinct()
+    shared = F.size(F.array_intersect("words", "other"))
+    alike = 100 * shared >= percent * (F.size("words") + F.size("other") - shared)
+    found = met.filter(alike).groupBy("repo_id", "words").agg(F.min("earlier").alias("earlier"))
+    named = sets.join(found, ["repo_id", "words"], "left")
+    joined = rows.join(named, ["repo_id", "words"], "left")
+    # the first of equal ones stands for itself
+    same = F.when(F.col("id") > F.col("first"), F.least("first", "earlier")).otherwise(F.col("earlier"))
+    return joined.select("repo_id", "id", "question", same.alias("same_as"))
+
+
 def smart_questions(
     repos: DataFrame,
     hot: DataFrame,
