@@ -10,30 +10,71 @@ from pyspark.sql import functions as F
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
 from repolith.functions.ranking import collect_ranked, top_k
+from repolith.operators.imports import import_specs
 from repolith.operators.types import hottest, lines_of, numbered_lines
 
 
+def _todo_hits(pattern: str) -> Column:
+    """Lines of ``text`` with a marker, numbered."""
+    lines = F.transform(lines_of("text"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    return F.filter(lines, lambda x: x["line"].rlike(pattern))
+
+
+def _searched_for_todos() -> Column:
+    return ~F.contains("path", F.lit("node_modules")) & ~F.contains("path", F.lit(".min."))
+
+
+#: Base names of files that are read for what they say about the whole repository.
+MANIFEST_NAMES = (
+    "README.md", "readme.md", "README.rst", "pom.xml", "package.json", "go.mod", "Cargo.toml", "requirements.txt",
+    "requirements-dev.txt", "Pipfile", "Gemfile", "Makefile",
+)
+
+
+def digest(contents: DataFrame) -> DataFrame:
+    """One narrow row per file with all that the score family asks of its text, by one reading of it.
+
+    n_todos; ``patterns`` and ``libraries``, flags in the order of the fixed tables, libraries for test files only; ``specs``, the
+    imports of a source file; and the whole text of manifests, compose files and leading documents, null for all others.
+    """
+    text, path = F.col("text"), F.col("path")
+    flags = lambda table: F.array(*[C.any_of([F.contains(text, F.lit(x)) for x in literals]) for _, literals, _ in table])
+    whole = C.base_name("path").isin(*MANIFEST_NAMES) | F.contains(path, F.lit("docker-compose"))
+    todos = F.when(_searched_for_todos(), F.size(_todo_hits(fv.TODO_PATTERN))).otherwise(0)
+    return contents.select(
+        "repo_id",
+        "path",
+        todos.cast("bigint").alias("n_todos"),
+        flags(fv.CODE_PATTERNS).alias("patterns"),
+        F.when(C.is_test_file("path", "library"), flags(fv.TEST_LIBRARY_PATTERNS)).alias("libraries"),
+        F.when(C.is_source_file("path"), import_specs(text, F.lower(C.extension("path")))).alias("specs"),
+        F.when(whole, text).alias("text"),
+    )
+
+
 def scan_todos(
-    contents: DataFrame, freq: DataFrame | None = None, top_files: int = 50, pattern: str = fv.TODO_PATTERN
+    contents: DataFrame,
+    freq: DataFrame | None = None,
+    top_files: int | None = None,
+    pattern: str = fv.TODO_PATTERN,
+    chars: int | None = None,
 ) -> DataFrame:
-    """Marker comments with kind, trimmed text and line number (PRJ-19). Only the hottest files when ``freq`` is given."""
-    p = F.col("path")
-    read = contents.filter(~F.contains(p, F.lit("node_modules")) & ~F.contains(p, F.lit(".min.")))
-    if freq is not None:
+    """Marker comments with kind, trimmed text and line number (PRJ-19).
+
+    Of all files, or of the ``top_files`` hottest by ``freq``; ``chars`` cuts the text.
+    """
+    read = contents.filter(_searched_for_todos())
+    if freq is not None and top_files is not None:
         top = hottest(freq, top_files).select("repo_id", "path")
         read = read.join(top, ["repo_id", "path"], "left_semi")
-    hits = F.filter(
-        F.transform(lines_of("text"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))),
-        lambda x: x["line"].rlike(pattern),
-    )
-    rows = read.select("repo_id", "path", F.explode_outer(hits).alias("h")).filter("h IS NOT NULL")
+    rows = read.select("repo_id", "path", F.explode_outer(_todo_hits(pattern)).alias("h")).filter("h IS NOT NULL")
     text = C.strip(F.regexp_extract(F.col("h.line"), pattern, 2))
     return rows.select(
         "repo_id",
         "path",
         F.col("h.line_no").cast("bigint").alias("line_no"),
         F.regexp_extract(F.col("h.line"), pattern, 1).alias("kind"),
-        F.left(text, F.lit(fv.TODO_TEXT_CHARS)).alias("text"),
+        (text if chars is None else F.left(text, F.lit(chars))).alias("text"),
     )
 
 
@@ -88,8 +129,8 @@ def _first(lines: Column, test) -> Column:
     return F.coalesce(F.array_position(F.transform(lines, test), F.lit(True)), F.lit(0))
 
 
-def _with_paragraph(df: DataFrame) -> DataFrame:
-    """Adds ``lead``: the first paragraph after a title line, joined to one line, at most 500 characters."""
+def _with_paragraph(df: DataFrame, chars: int | None = None) -> DataFrame:
+    """Adds ``lead``: the first paragraph after a title line, joined to one line, cut to ``chars`` where given."""
     rest = lambda lines, at: F.slice(lines, at, F.greatest(F.size(lines), F.lit(1)))
     blank = lambda x: C.strip(x) == ""
     df = df.withColumn("_lines", lines_of("text"))
@@ -102,15 +143,15 @@ def _with_paragraph(df: DataFrame) -> DataFrame:
     )
     kept = F.when(F.col("_stop") > 0, F.slice("_body", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_body"))
     joined = F.array_join(F.transform(kept, lambda x: C.strip(x)), " ")
-    lead = F.nullif(F.left(joined, F.lit(500)), F.lit(""))
+    lead = F.nullif(joined if chars is None else F.left(joined, F.lit(chars)), F.lit(""))
     # the generator keeps later filters from being pushed into, and so repeating, the steps above
     kept_columns = [c for c in df.columns if not c.startswith("_")]
     return df.select(*kept_columns, F.explode_outer(F.array(lead)).alias("lead"))
 
 
-def lead_paragraph(contents: DataFrame) -> DataFrame:
+def lead_paragraph(contents: DataFrame, chars: int | None = None) -> DataFrame:
     """First paragraph after the title, per file; files without one are dropped (PRJ-23)."""
-    return _with_paragraph(contents).filter("lead IS NOT NULL").select("repo_id", "path", "lead")
+    return _with_paragraph(contents, chars).filter("lead IS NOT NULL").select("repo_id", "path", "lead")
 
 
 def project_description(contents: DataFrame) -> DataFrame:
@@ -143,88 +184,108 @@ def extract_rules(
     contents: DataFrame,
     rules_file: str = "code-review.rules",
     rules_dir: str = ".cursor/rules/",
-    max_rules: int = 15,
-    max_files: int = 3,
-    max_chars: int = 1500,
+    max_rules: int | None = None,
+    max_files: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Team rules: quoted descriptions of the rules file, and rule documents without front matter (PRJ-26)."""
+    """Team rules: quoted descriptions of the rules file, and rule documents without front matter (PRJ-26).
+
+    All of them, whole, unless limits are given.
+    """
     path, text = F.col("path"), F.col("text")
+    quoted = F.regexp_extract_all("text", F.lit(r'Description:\s*"(.+?)"'), F.lit(1))
     described = (
         contents.filter(path == rules_file)
         .select(
             "repo_id",
             "path",
-            F.slice(F.regexp_extract_all("text", F.lit(r'Description:\s*"(.+?)"'), F.lit(1)), 1, max_rules).alias("d"),
+            (quoted if max_rules is None else F.slice(quoted, 1, max_rules)).alias("d"),
         )
         .filter(F.size("d") > 0)
         .select("repo_id", "path", F.array_join(F.transform("d", lambda x: F.concat(F.lit("- "), x)), "\n").alias("rule"))
     )
     documents = contents.filter(path.startswith(rules_dir))
-    keep = top_k(documents.select("repo_id", "path"), max_files, ["repo_id"], [F.asc("path")])
+    if max_files is not None:
+        keep = top_k(documents.select("repo_id", "path"), max_files, ["repo_id"], [F.asc("path")])
+        documents = documents.join(keep.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     stripped = C.strip(F.regexp_replace(C.strip(text), r"(?s)^---.*?---\s*", ""))
-    bodies = (
-        documents.join(keep.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-        .filter(C.strip(text) != "")
-        .select("repo_id", "path", F.left(stripped, F.lit(max_chars)).alias("rule"))
-    )
+    rule = stripped if max_chars is None else F.left(stripped, F.lit(max_chars))
+    bodies = documents.filter(C.strip(text) != "").select("repo_id", "path", rule.alias("rule"))
     return described.unionByName(bodies)
 
 
 # --- services -------------------------------------------------------------------------------
 
 
-def compose_files(files: DataFrame, k: int = 2) -> DataFrame:
-    """Compose files to read, those that are not for staging first (TOP-08)."""
+def compose_files(files: DataFrame, k: int | None = None) -> DataFrame:
+    """Compose files (repo_id, path, staging): all, or the first ``k``, those that are not for staging first (TOP-08)."""
     path = F.col("path")
     found = files.filter(
         F.contains(path, F.lit("docker-compose")) & (path.endswith(".yml") | path.endswith(".yaml"))
     )
-    staging = F.contains(path, F.lit("staging")).cast("int")
-    return top_k(found.select("repo_id", "path"), k, ["repo_id"], [staging.asc(), F.asc("path")])
+    found = found.select("repo_id", "path", F.contains(path, F.lit("staging")).cast("int").alias("staging"))
+    return found if k is None else top_k(found, k, ["repo_id"], [F.asc("staging"), F.asc("path")]).drop("rank")
+
+
+def _service_lines(text: Column) -> Column:
+    """Lines that say something, taken apart: number, start of the services, end of them, key with its indent, list item."""
+    def part(line: Column, i: Column) -> Column:
+        starts = line.rlike(r"^services:\s*$")
+        key = F.nullif(F.regexp_extract(line, r"^(\s+)(\w[\w-]*):", 2), F.lit(""))
+        item = F.nullif(F.regexp_extract(line, r"^\s+-\s+(.+)", 1), F.lit(""))
+        return F.struct(
+            (i + 1).cast("bigint").alias("no"),
+            starts.alias("starts"),
+            (~starts & line.rlike(r"^\S") & ~line.startswith("#")).alias("leaves"),
+            key.alias("key"),
+            F.when(key.isNotNull(), F.length(F.regexp_extract(line, r"^(\s+)", 1))).alias("indent"),
+            F.when(key.isNull(), item).alias("item"),
+        )
+
+    return F.filter(F.transform(lines_of(text), part), lambda x: x["starts"] | x["leaves"] | x["key"].isNotNull() | x["item"].isNotNull())
+
+
+def _service_step(state: Column, x: Column) -> Column:
+    """State after a line: whether services are listed, at which indent, the service and property at work, and what was found."""
+    within = state["open"] & ~x["starts"] & ~x["leaves"]
+    has_key = within & x["key"].isNotNull()
+    indent = F.coalesce(state["indent"], F.when(has_key, x["indent"]))
+    named = has_key & (x["indent"] == indent)
+    service = F.when(named, x["key"]).otherwise(state["service"])
+    # a service line ends the property of the service above it; shallower keys change nothing
+    inner = F.when(has_key & (x["indent"] > indent), x["key"]).otherwise(state["property"])
+    prop = F.when(named, F.lit("")).otherwise(inner)
+    item = F.when(within & service.isNotNull(), x["item"])
+    port = F.when(prop == "ports", F.nullif(F.regexp_extract(item, r"""["']?(\d{4,5}):\d{4,5}["']?""", 1), F.lit("")))
+    plain = C.strip(F.regexp_replace(item, r"""["']""", ""))
+    dependency = F.when((prop == "depends_on") & plain.rlike(r"^[\w-]+$"), plain)
+    row = F.struct(service.alias("service"), x["no"].alias("line_no"), port.alias("port"), dependency.alias("dependency"))
+    tells = named | port.isNotNull() | dependency.isNotNull()
+    left = state["left"] | (state["open"] & x["leaves"])
+    return F.struct(
+        ((state["open"] | x["starts"]) & ~left).alias("open"),
+        left.alias("left"),
+        indent.alias("indent"),
+        service.alias("service"),
+        prop.alias("property"),
+        F.when(F.coalesce(tells, F.lit(False)), F.concat(state["found"], F.array(row))).otherwise(state["found"]).alias("found"),
+    )
 
 
 def service_map(contents: DataFrame) -> DataFrame:
     """Services of a compose file with first port and dependencies (AGG-34, WIN-04).
 
-    The enclosing service and property of every line are carried forward by a window over the
-    lines of one file, a group no larger than one text.
+    The lines of a text are folded in its own row, carrying the enclosing service and property along; only
+    what was found leaves the row.
     """
-    lines = numbered_lines(contents)
-    w = Window.partitionBy("repo_id", "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("line")
-    marked = lines.withColumn("start", line.rlike(r"^services:\s*$")).withColumn(
-        "inside", F.max("start").over(w)
-    )
-    leaves = F.col("inside") & ~F.col("start") & line.rlike(r"^\S") & ~line.startswith("#")
-    body = (
-        marked.withColumn("left", F.max(leaves).over(w))
-        .filter(F.col("inside") & ~F.col("start") & ~F.col("left"))
-        .withColumn("key", F.nullif(F.regexp_extract("line", r"^(\s+)(\w[\w-]*):", 2), F.lit("")))
-        .withColumn("indent", F.when(F.col("key").isNotNull(), F.length(F.regexp_extract("line", r"^(\s+)", 1))))
-    )
-    first_indent = F.first("indent", ignorenulls=True).over(w)
-    is_service = F.col("key").isNotNull() & (F.col("indent") == F.col("service_indent"))
-    carried = (
-        body.withColumn("service_indent", first_indent)
-        .withColumn("service", F.last(F.when(is_service, F.col("key")), ignorenulls=True).over(w))
-        .withColumn(
-            "property",
-            # a service line ends the property of the service above it; shallower keys change nothing
-            F.last(
-                F.when(is_service, "").when(F.col("indent") > F.col("service_indent"), F.col("key")),
-                ignorenulls=True,
-            ).over(w),
-        )
-        .withColumn("item", F.when(F.col("key").isNull(), F.nullif(F.regexp_extract("line", r"^\s+-\s+(.+)", 1), F.lit(""))))
-        .filter("service IS NOT NULL")
-    )
-    port = F.when(
-        F.col("property") == "ports",
-        F.nullif(F.regexp_extract("item", r"""["']?(\d{4,5}):\d{4,5}["']?""", 1), F.lit("")),
-    )
-    plain = C.strip(F.regexp_replace("item", r"""["']""", ""))
-    dependency = F.when((F.col("property") == "depends_on") & plain.rlike(r"^[\w-]+$"), plain)
-    rows = carried.withColumn("port", port).withColumn("dependency", dependency)
+    none = F.lit(None).cast("string")
+    found_type = "array<struct<service:string,line_no:bigint,port:string,dependency:string>>"
+    start = F.struct(
+        F.lit(False).alias("open"), F.lit(False).alias("left"), F.lit(None).cast("int").alias("indent"),
+        none.alias("service"), none.alias("property"), F.array().cast(found_type).alias("found"),
+    )
+    parsed = contents.select("repo_id", "path", _service_lines(F.col("text")).alias("lines"))
+    rows = parsed.select("repo_id", "path", F.inline(F.aggregate("lines", start, _service_step, lambda s: s["found"])))
     return rows.groupBy("repo_id", "path", "service").agg(
         F.min("line_no").alias("line_no"),
         F.min_by("port", F.when(F.col("port").isNotNull(), F.col("line_no"))).alias("port"),
@@ -239,12 +300,12 @@ def service_map(contents: DataFrame) -> DataFrame:
 
 def first_services(services: DataFrame, chosen: DataFrame) -> DataFrame:
     """Services of the first chosen compose file that has any, and their count and names per repository."""
-    ranked = services.join(chosen.select("repo_id", "path", "rank"), ["repo_id", "path"])
-    best = ranked.groupBy("repo_id").agg(F.min("rank").alias("rank"))
-    kept = ranked.join(best, ["repo_id", "rank"])
+    ranked = services.join(chosen.select("repo_id", "path", "staging"), ["repo_id", "path"])
+    best = ranked.groupBy("repo_id").agg(F.min(F.struct("staging", "path")).alias("b")).select("repo_id", "b.path")
+    kept = ranked.join(best, ["repo_id", "path"])
     counts = kept.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_services"))
     named = (
-        top_k(kept.drop("rank"), 5, ["repo_id"], [F.asc("line_no"), F.asc("service")])
+        top_k(kept, 5, ["repo_id"], [F.asc("line_no"), F.asc("service")])
         .groupBy("repo_id")
         .agg(F.array_join(collect_ranked("rank", "service"), ", ").alias("names"))
     )
@@ -383,16 +444,14 @@ def build_commands(contents: DataFrame, files: DataFrame, distinct_names: bool =
             ).alias("c"),
         )
     )
-    targets = F.slice(F.regexp_extract_all("text", F.lit(r"(?m)^([a-zA-Z_-]+):"), F.lit(1)), 1, fv.MAKE_TARGETS)
+    targets = F.regexp_extract_all("text", F.lit(r"(?m)^([a-zA-Z_-]+):"), F.lit(1))
     make = contents.filter(path == "Makefile").select(
         "repo_id",
         F.explode(
             F.transform(targets, lambda t: _command(30, t, F.concat(F.lit("make "), t), F.lit("Makefile")))
         ).alias("c"),
     )
-    dockerfiles = top_k(
-        files.filter(F.contains(path, F.lit("Dockerfile"))).select("repo_id", "path"), 3, ["repo_id"], [F.asc("path")]
-    )
+    dockerfiles = files.filter(F.contains(path, F.lit("Dockerfile"))).select("repo_id", "path")
     docker = dockerfiles.select(
         "repo_id",
         _command(

@@ -90,7 +90,7 @@ def _java_context(df: DataFrame) -> DataFrame:
     df = df.withColumn("above", F.when(F.col("ext") == ".java", above))
     opened = F.array_compact(F.transform("above", lambda x, i: F.when(x.startswith("/**"), i + 1)))
     df = df.withColumn("opened", F.try_element_at(opened, F.lit(-1)))
-    df = df.withColumn("block", F.transform(F.slice("ls", F.col("opened"), 10), lambda x: C.strip(x)))
+    df = df.withColumn("block", F.slice("above", F.col("opened"), F.size("above")))
     closed = F.array_position(F.transform("block", lambda x: F.contains(x, F.lit("*/"))), F.lit(True))
     df = df.withColumn("closed", closed)
     inside = F.when(F.col("closed") > 0, F.slice("block", F.lit(1), F.col("closed") - 1)).otherwise(F.col("block"))
@@ -192,15 +192,13 @@ def hottest(freq: DataFrame, k: int) -> DataFrame:
     return top_k(freq, k, ["repo_id"], [F.desc("change_count"), F.asc("path")], rank="hot_rank")
 
 
-def key_types(types: DataFrame, freq: DataFrame, hot: int = 100, k: int = 60) -> DataFrame:
-    """Types of the hottest files that are no tests, largest first (AGG-32)."""
-    p = F.col("path")
-    top = (
-        hottest(freq, hot)
-        .filter(~F.contains(p, F.lit("test")) & ~F.contains(p, F.lit("Test")))
-        .select("repo_id", p.alias("file"))
-    )
-    hits = types.join(top, ["repo_id", "file"], "left_semi")
+def key_types(types: DataFrame, freq: DataFrame | None = None, hot: int | None = None, k: int = 60) -> DataFrame:
+    """The ``k`` largest types of files that are no tests, or of the ``hot`` hottest of them by ``freq`` (AGG-32)."""
+    f = F.col("file")
+    hits = types.filter(~F.contains(f, F.lit("test")) & ~F.contains(f, F.lit("Test")))
+    if hot is not None:
+        top = hottest(freq, hot).select("repo_id", F.col("path").alias("file"))
+        hits = hits.join(top, ["repo_id", "file"], "left_semi")
     return top_k(hits, k, ["repo_id"], [F.desc("loc"), F.asc("file"), F.asc("line_no")])
 
 
@@ -218,12 +216,13 @@ def annotation_usage(types: DataFrame, examples: int = 3) -> DataFrame:
 
 def _literal_counts(df: DataFrame, text: Column, patterns: Sequence[tuple]) -> DataFrame:
     """Files per pattern that contain one of its literals; patterns without a hit count 0."""
-    counted = df.groupBy("repo_id").agg(
-        *[
-            F.count_if(C.any_of([F.contains(text, F.lit(x)) for x in literals])).alias(f"_c{i}")
-            for i, (_, literals, _) in enumerate(patterns)
-        ]
-    )
+    hits = [C.any_of([F.contains(text, F.lit(x)) for x in literals]) for _, literals, _ in patterns]
+    return flag_counts(df, hits, patterns)
+
+
+def flag_counts(df: DataFrame, hits: Sequence[Column], patterns: Sequence[tuple]) -> DataFrame:
+    """Files per pattern whose flag among ``hits`` is set."""
+    counted = df.groupBy("repo_id").agg(*[F.count_if(hit).alias(f"_c{i}") for i, hit in enumerate(hits)])
     rows = F.array(
         *[
             F.struct(F.lit(name).alias("pattern"), F.col(f"_c{i}").alias("n_files"), F.lit(limit).alias("limit"))
@@ -240,14 +239,16 @@ def _literal_counts(df: DataFrame, text: Column, patterns: Sequence[tuple]) -> D
 
 def pattern_prevalence(
     contents: DataFrame,
-    freq: DataFrame,
+    freq: DataFrame | None = None,
     patterns: Sequence[tuple] = fv.CODE_PATTERNS,
-    hot: int = 30,
+    hot: int | None = None,
     chars: int | None = None,
 ) -> DataFrame:
-    """Hottest files that contain a literal, per pattern (AGG-16). Whole texts unless ``chars`` is given."""
-    top = hottest(freq, hot).select("repo_id", "path")
-    read = contents.join(top, ["repo_id", "path"], "left_semi")
+    """Files that contain a literal, per pattern (AGG-16): all files, or the ``hot`` hottest by ``freq``; whole texts unless ``chars`` is given."""
+    read = contents
+    if hot is not None:
+        top = hottest(freq, hot).select("repo_id", "path")
+        read = contents.join(top, ["repo_id", "path"], "left_semi")
     text = F.col("text") if chars is None else F.left(F.col("text"), F.lit(chars))
     return _literal_counts(read, text, patterns)
 

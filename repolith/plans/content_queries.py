@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
-from repolith.operators import content, deps, history, knowledge, prs, questions
+from repolith.operators import content, deps, history, knowledge, prs, questions, rules
 from repolith.plans.history_queries import FREQ_SQL
 from repolith.plans.registry import Inputs, query, stamp, text
 from repolith.plans.structure_queries import LINES
@@ -20,7 +20,7 @@ DOCUMENT_RULES = (
     ("de", "word", r"(^|\s)der\s"),
 )
 TODO_SQL = f"""{LINES}, todos AS (SELECT repo_id, path, line_no, regexp_extract(line, '{fv.TODO_PATTERN}', 1) AS kind,
-    left(trim(regexp_extract(line, '{fv.TODO_PATTERN}', 2)), 120) AS text FROM lines WHERE regexp_matches(line, '{fv.TODO_PATTERN}'))"""
+    trim(regexp_extract(line, '{fv.TODO_PATTERN}', 2)) AS text FROM lines WHERE regexp_matches(line, '{fv.TODO_PATTERN}'))"""
 TODO50_SQL = f"""{TODO_SQL}, {FREQ_SQL}, h50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY change_count DESC, path) AS r FROM freq) x WHERE r <= 50),
   hot_todos AS (SELECT t.* FROM todos t JOIN h50 h ON h.repo_id = t.repo_id AND h.path = t.path)"""
 
@@ -32,15 +32,14 @@ def todo_scan(i: Inputs):
 
 @query("todo_hot_files", ("v_contents", "v_changes"), f"{TODO50_SQL} SELECT * FROM hot_todos")
 def todo_hot_files(i: Inputs):
-    return content.scan_todos(i.v_contents, history.file_frequency(i.v_changes))
+    return content.scan_todos(i.v_contents, history.file_frequency(i.v_changes), top_files=50)
 
 
-@query("todo_topk", ("v_contents", "v_changes"), f"""{TODO50_SQL} SELECT * EXCLUDE (change_count) FROM (SELECT t.*, h.change_count,
-  row_number() OVER (PARTITION BY t.repo_id ORDER BY h.change_count DESC, t.path, t.line_no) AS rank FROM hot_todos t
-  JOIN h50 h ON h.repo_id = t.repo_id AND h.path = t.path) x WHERE rank <= 30""")
+@query("todo_topk", ("v_contents", "v_changes"), f"""{TODO_SQL}, {FREQ_SQL} SELECT * EXCLUDE (change_count) FROM (SELECT t.*, h.change_count,
+  row_number() OVER (PARTITION BY t.repo_id ORDER BY h.change_count DESC NULLS LAST, t.path, t.line_no) AS rank FROM todos t
+  LEFT JOIN freq h ON h.repo_id = t.repo_id AND h.path = t.path) x WHERE rank <= 30""")
 def todo_topk(i: Inputs):
-    freq = history.file_frequency(i.v_changes)
-    return content.top_todos(content.scan_todos(i.v_contents, freq), freq).drop("change_count")
+    return content.top_todos(content.scan_todos(i.v_contents), history.file_frequency(i.v_changes)).drop("change_count")
 
 
 def _rule_sql(source: str, language: str, rules) -> str:
@@ -68,6 +67,15 @@ def rule_counts(i: Inputs):
 _LANG_OF = "CASE WHEN regexp_matches(path, '\\.tsx?$') THEN 'TypeScript' WHEN regexp_matches(path, '\\.jsx?$') THEN 'JavaScript' WHEN ends_with(path, '.py') THEN 'Python' WHEN ends_with(path, '.java') THEN 'Java' END"
 
 
+# every part's name as a rule: a table that grows with the data
+@query("literal_scan", ("v_docs",), """names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS literal FROM part UNION SELECT DISTINCT left(c_name, 12) FROM customer UNION SELECT 'er' UNION SELECT 'é'),
+  texts AS (SELECT repo_id, path, text FROM v_docs) SELECT t.repo_id, t.path, n.literal FROM texts t JOIN names n ON contains(t.text, n.literal)""")
+def literal_scan(i: Inputs):
+    names = i.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("literal"))
+    names = names.union(i.customer.select(F.left("c_name", F.lit(12)))).union(i.spark.createDataFrame([("er",), ("é",)], "literal STRING")).distinct()
+    return rules.literal_hits(i.v_docs.select("repo_id", "path", "text"), names).drop("text")
+
+
 @query("risk_scan", ("v_contents",), f"{_rule_sql('v_contents', _LANG_OF, fv.RISK_RULES)} SELECT * FROM hits")
 def risk_scan(i: Inputs):
     return content.scan_rules(i.v_contents)
@@ -79,7 +87,7 @@ def _lead_sql(source: str) -> str:
   pf AS (SELECT l.repo_id, l.path, MIN(l.no) AS f FROM pl l JOIN pt ON pt.repo_id = l.repo_id AND pt.path = l.path AND l.no > t WHERE trim(line) <> '' GROUP BY ALL),
   ps AS (SELECT l.repo_id, l.path, MIN(l.no) AS s FROM pl l JOIN pf ON pf.repo_id = l.repo_id AND pf.path = l.path AND l.no >= f
     WHERE trim(line) = '' OR starts_with(line, '#') OR starts_with(line, '---') GROUP BY ALL),
-  leads AS (SELECT l.repo_id, l.path, left(string_agg(trim(line), ' ' ORDER BY l.no), 500) AS lead FROM pl l JOIN pf ON pf.repo_id = l.repo_id AND pf.path = l.path
+  leads AS (SELECT l.repo_id, l.path, string_agg(trim(line), ' ' ORDER BY l.no) AS lead FROM pl l JOIN pf ON pf.repo_id = l.repo_id AND pf.path = l.path
     LEFT JOIN ps ON ps.repo_id = l.repo_id AND ps.path = l.path WHERE l.no >= f AND (s IS NULL OR l.no < s) GROUP BY ALL)"""
 
 
@@ -106,8 +114,8 @@ def project_description(i: Inputs):
 
 
 RULE_TEXT_SQL = """rules1 AS (SELECT repo_id, path, '- ' || array_to_string(regexp_extract_all(text, 'Description:\\s*"(.+?)"', 1), chr(10) || '- ') AS rule FROM v_rule_files WHERE path = 'code-review.rules'),
-  rules2 AS (SELECT repo_id, path, trim(regexp_replace(text, '(?s)^---.*?---\\s*', ''), chr(10)) AS rule FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS r
-    FROM v_rule_files WHERE starts_with(path, '.cursor/rules/')) x WHERE r <= 3), trules AS (SELECT * FROM rules1 UNION ALL SELECT * FROM rules2)"""
+  rules2 AS (SELECT repo_id, path, trim(regexp_replace(text, '(?s)^---.*?---\\s*', ''), chr(10)) AS rule
+    FROM v_rule_files WHERE starts_with(path, '.cursor/rules/')), trules AS (SELECT * FROM rules1 UNION ALL SELECT * FROM rules2)"""
 
 
 @query("team_rules", ("v_rule_files",), f"{RULE_TEXT_SQL} SELECT * FROM trules")
@@ -193,6 +201,14 @@ def framework_detect(i: Inputs):
     return deps.detect_signatures(deps.read_manifests(i.v_contents), i.v_files)
 
 
+@query("framework_detect_table", ("v_contents", "v_files"), f"{DETECT_SQL} SELECT * FROM detected")
+def framework_detect_table(i: Inputs):
+    """The same signatures as a table, looked up by trigrams."""
+    rows = [(n, kind, name, list(paths), list(names), least) for n, (kind, name, paths, names, least) in enumerate(fv.SIGNATURES)]
+    table = i.spark.createDataFrame(rows, "sig INT, kind STRING, name STRING, paths ARRAY<STRING>, deps ARRAY<STRING>, min_score INT")
+    return deps.detect_signatures(deps.read_manifests(i.v_contents), i.v_files, table)
+
+
 def _lit(value) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -277,6 +293,23 @@ def question_dedup(i: Inputs):
     return questions.new_questions(i.v_qa, asked).select("repo_id", "turn", "question")
 
 
+_WORDS = "list_sort(list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+')))"
+
+
+@query("similar_questions", ("v_qa",), f"""asked AS (SELECT concat('r', repo_no % 5) AS repo_id, repo_no * 1000 + turn * 10 AS id, question FROM v_qa
+    UNION ALL SELECT concat('r', repo_no % 5), repo_no * 1000 + turn * 10 + 1, concat('Please tell: ', question, '?!') FROM v_qa WHERE repo_no % 3 = 0),
+  w AS (SELECT *, {_WORDS} AS words FROM asked),
+  near AS (SELECT a.repo_id, a.id, MIN(b.id) AS same_as FROM w a JOIN w b ON a.repo_id = b.repo_id AND b.id < a.id
+    AND 100 * len(list_intersect(a.words, b.words)) >= 70 * len(list_distinct(list_concat(a.words, b.words))) WHERE len(a.words) > 0 GROUP BY a.repo_id, a.id)
+  SELECT w.repo_id, w.id, w.question, n.same_as FROM w LEFT JOIN near n ON n.repo_id = w.repo_id AND n.id = w.id""")
+def similar_questions(i: Inputs):
+    """Questions of many conversations, a third of them asked again with words in front."""
+    repo, number = F.concat(F.lit("r"), (F.col("repo_no") % 5).cast("string")), F.col("repo_no") * 1000 + F.col("turn") * 10
+    asked = i.v_qa.select(repo.alias("repo_id"), number.alias("id"), "question")
+    again = i.v_qa.filter("repo_no % 3 = 0").select(repo.alias("repo_id"), (number + 1).alias("id"), F.concat(F.lit("Please tell: "), F.col("question"), F.lit("?!")).alias("question"))
+    return questions.similar_questions(asked.unionByName(again))
+
+
 @query("unanswered", ("v_qa",), """SELECT 'c' || CAST(u.conv_id AS VARCHAR) AS repo_id, u.turn, CASE WHEN u.turn % 4 = 0 THEN '[React] ' || u.text ELSE u.text END AS question FROM conversations u
   WHERE u.role = 'user' AND NOT EXISTS (SELECT 1 FROM v_qa q WHERE q.repo_id = 'c' || CAST(u.conv_id AS VARCHAR)
     AND q.question = CASE WHEN u.turn % 4 = 0 THEN '[React] ' || u.text ELSE u.text END)""")

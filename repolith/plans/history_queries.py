@@ -22,10 +22,8 @@ HOT_SQL = f"""{FREQ_SQL}, hot AS (SELECT * FROM (SELECT *, row_number() OVER (PA
   FROM freq) t WHERE rank <= 50)"""
 HEADS_SQL = """heads AS (SELECT repo_id, commit_id, row_number() OVER (PARTITION BY repo_id ORDER BY MAX(committed_at) DESC, commit_id DESC) AS seq
   FROM v_changes GROUP BY repo_id, commit_id)"""
-COUNTS_SQL = """wide AS (SELECT repo_id, commit_id FROM v_changes GROUP BY repo_id, commit_id HAVING COUNT(*) > 50),
-  counts AS (SELECT a.repo_id, a.path AS file_a, b.path AS file_b, COUNT(*) AS n FROM v_changes a
+COUNTS_SQL = """counts AS (SELECT a.repo_id, a.path AS file_a, b.path AS file_b, COUNT(*) AS n FROM v_changes a
   JOIN v_changes b ON a.repo_id = b.repo_id AND a.commit_id = b.commit_id AND a.path < b.path
-  WHERE NOT EXISTS (SELECT 1 FROM wide w WHERE w.repo_id = a.repo_id AND w.commit_id = a.commit_id)
   GROUP BY a.repo_id, a.path, b.path HAVING COUNT(*) >= 3)"""
 PAIRS_SQL = f"""{FREQ_SQL}, {COUNTS_SQL}, pairs AS (SELECT c.*, CAST(c.n AS DOUBLE) / least(coalesce(fa.change_count, 1), coalesce(fb.change_count, 1)) AS strength
   FROM counts c LEFT JOIN freq fa ON fa.repo_id = c.repo_id AND fa.path = c.file_a
@@ -248,6 +246,15 @@ def co_change_narrow(i: Inputs):
     return cochange.co_change_counts(i.v_changes, max_files=5, min_count=2)
 
 
+@query("co_change_wide", ("v_changes",), """months AS (SELECT DISTINCT repo_id, date_trunc('month', committed_at) AS commit_id, path FROM v_changes)
+  SELECT a.repo_id, a.path AS file_a, b.path AS file_b, COUNT(*) AS n FROM months a
+  JOIN months b ON a.repo_id = b.repo_id AND a.commit_id = b.commit_id AND a.path < b.path GROUP BY ALL HAVING COUNT(*) >= 10""")
+def co_change_wide(i: Inputs):
+    """All changes of a month as one commit, in parts so small that most commits are dealt as a grid."""
+    months = i.v_changes.withColumn("commit_id", F.date_trunc("month", "committed_at"))
+    return cochange.co_change_counts(months, min_count=10, part=16)
+
+
 @query("co_change_pairs", ("v_changes",), f"{PAIRS_SQL} SELECT repo_id, file_a, file_b, n, strength FROM pairs")
 def co_change_pairs(i: Inputs):
     changes = i.v_changes
@@ -271,6 +278,19 @@ def missing_partners(i: Inputs):
     return _missing(i)
 
 
+@query("missing_partners_topk", ("v_changeset",), f"""{PAIRS_SQL}, partners AS (SELECT repo_id, file_a AS path, file_b AS missing, n, strength FROM pairs
+    UNION ALL SELECT repo_id, file_b, file_a, n, strength FROM pairs),
+  best AS (SELECT * FROM partners QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY strength DESC, n DESC, missing) <= 3)
+  SELECT c.repo_id, c.change_id, c.path AS changed, p.missing, p.n, p.strength FROM v_changeset c
+    JOIN best p ON p.repo_id = c.repo_id AND p.path = c.path
+    LEFT JOIN v_changeset x ON x.repo_id = c.repo_id AND x.change_id = c.change_id AND x.path = p.missing WHERE x.path IS NULL""")
+def missing_partners_topk(i: Inputs):
+    """Of every file its three strongest partners only."""
+    changes = i.v_changes
+    pairs = cochange.co_change_pairs(cochange.co_change_counts(changes), history.file_frequency(changes), top_n=None)
+    return cochange.missing_partners(i.v_changeset, pairs, per_file=3)
+
+
 @query("critical_touches", ("v_changes", "v_changeset"), f"""{HOT_SQL} SELECT c.repo_id, c.change_id, c.path FROM v_changeset c
   JOIN hot h ON h.repo_id = c.repo_id AND h.path = c.path""")
 def critical_touches(i: Inputs):

@@ -9,7 +9,7 @@ from repolith.functions import fixed_values as fv
 from repolith.operators import cochange, deps, history, imports, incremental, questions, score, structure, summary
 from repolith.plans import facts as fleet
 from repolith.plans.content_queries import (
-    COMMANDS_SQL, DEPS_SQL, DESCRIPTION_SQL, DETECT_SQL, FWQ_SQL, RULE_TEXT_SQL, SERVICES_SQL, TODO50_SQL,
+    COMMANDS_SQL, DEPS_SQL, DESCRIPTION_SQL, DETECT_SQL, FWQ_SQL, RULE_TEXT_SQL, SERVICES_SQL, TODO_SQL,
 )
 from repolith.plans.history_queries import (
     COUNTS_SQL, FREQ_SQL, HOT_SQL, KEY_SQL, PATTERNS_SQL, RANKED_PAIRS_SQL, SINCE_SQL,
@@ -20,7 +20,7 @@ from repolith.plans.structure_queries import (
 )
 from repolith.session import ensure_checkpoint_dir, stage
 from repolith.sources import sinks
-from repolith.streaming import increments
+from repolith.streaming import increments, throttle
 
 EXPECTED_DOCS = ("README.md", "CONTRIBUTING.md", "Makefile", "package.json")
 
@@ -44,7 +44,7 @@ ALL_VIEWS = ("v_commits", "v_changes", "v_files", "v_contents", "v_rule_files",
 _NAMED = {k: ", ".join(f"'{n}'" for n in names) for k, names in score.COMMAND_KINDS}
 FACT_SQL = _join(
     DESCRIPTION_SQL, ROOT_SQL, LANGS_SQL, COMMANDS_SQL, ARCH_SQL, SERVICES_SQL, CODE_SQL, KEY_TYPES_SQL, RULE_TEXT_SQL,
-    PATTERNS_SQL, TODO50_SQL, DETECT_SQL, LAYOUT_SQL, FACTS_SQL,
+    PATTERNS_SQL, TODO_SQL, DETECT_SQL, LAYOUT_SQL, FACTS_SQL, FREQ_SQL,
 ) + f""", cmdf AS (SELECT repo_id, COUNT(*) AS n_commands, {', '.join(
     f"bool_or(name IN ({n})) AS has_{k}, coalesce(arg_min(source LIKE '%package.json%' OR source LIKE '%Makefile%', CASE WHEN name IN ({n}) THEN row(pos, name, command) END), false) AS {k}_explicit"
     for k, n in _NAMED.items())} FROM cmds GROUP BY repo_id),
@@ -60,7 +60,7 @@ FACT_SQL = _join(
     CASE WHEN a.api_patterns = '' THEN 0 ELSE len(string_split(a.api_patterns, '|')) END AS n_api_patterns, (SELECT COUNT(*) FROM svc s WHERE s.repo_id = r.repo_id) AS n_services,
     (SELECT COUNT(*) FROM codep s WHERE s.repo_id = r.repo_id) AS n_patterns, (SELECT COUNT(*) FROM keyt s WHERE s.repo_id = r.repo_id) AS n_types,
     (SELECT COUNT(*) FROM trules s WHERE s.repo_id = r.repo_id) AS n_rules, v.n AS n_conventions, coalesce(h.style, 'unknown') AS commit_style, coalesce(h.branch_pattern, '') AS branch_pattern,
-    (SELECT COUNT(*) FROM hot_todos s WHERE s.repo_id = r.repo_id) AS n_todos, (SELECT COUNT(*) FROM detected s WHERE s.repo_id = r.repo_id AND s.kind = 'test_framework') AS n_test_frameworks, y.layout
+    (SELECT COUNT(*) FROM todos s WHERE s.repo_id = r.repo_id) AS n_todos, (SELECT COUNT(*) FROM detected s WHERE s.repo_id = r.repo_id AND s.kind = 'test_framework') AS n_test_frameworks, y.layout
     FROM (SELECT DISTINCT repo_id FROM v_files) r LEFT JOIN descr d ON d.repo_id = r.repo_id LEFT JOIN rootp p ON p.repo_id = r.repo_id
     LEFT JOIN langs g ON g.repo_id = r.repo_id AND g.is_primary LEFT JOIN cmdf m ON m.repo_id = r.repo_id LEFT JOIN arch a ON a.repo_id = r.repo_id
     LEFT JOIN nconv v ON v.repo_id = r.repo_id LEFT JOIN cp h ON h.repo_id = r.repo_id LEFT JOIN layouts y ON y.repo_id = r.repo_id)"""
@@ -198,15 +198,14 @@ QUESTION_SQL = f"""{SCORE_SQL}, {GAP_SQL}, {HOT_SQL.replace(FREQ_SQL + ',', '')}
 
 def _questions(i: Inputs, t: fleet.Tables, wide: DataFrame) -> DataFrame:
     freq = t.freq
-    names = deps.read_manifests(t.contents)
-    edges = imports.import_edges(imports.resolve_imports(imports.extract_imports(t.contents), t.files))
+    names = deps.read_manifests(t.manifests)
     return questions.smart_questions(
         t.files,
         history.hot_files(t.changes),
         structure.architecture(t.files),
         fleet.services(t),
         cochange.co_change_pairs(cochange.co_change_counts(t.changes), freq),
-        imports.fan_in(edges),
+        imports.fan_in(t.import_edges),
         deps.framework_questions(fleet.detected(t), names),
         score.gaps(wide),
         _answers(i),
@@ -338,6 +337,25 @@ def throttle_type(i: Inputs):
     return incremental.throttle(events, "event_type", "ts", "event_id", sparse=100).drop("ts")
 
 
+@query("throttle_stream", (), _throttle_sql("user_id"))
+def throttle_stream(i: Inputs):
+    """All events, delivered up to half an hour late and out of order, through the stream."""
+    base = f"{ensure_checkpoint_dir(i.spark)}/throttle-{uuid.uuid4().hex}"
+    late = F.pmod(F.xxhash64("event_id"), F.lit(1800)).cast("int")
+    events = i.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    arrives = events.withColumn("at", F.unix_seconds("ts") + late)
+    first, last = arrives.agg(F.min("at"), F.max("at")).first()
+    size = (last - first) // 6 + 1
+    # a file per delivery; the last one holds an event of no user that moves the watermark past all others
+    for n in range(6):
+        arrives.filter((F.col("at") - first).between(n * size, (n + 1) * size - 1)).drop("at").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    end = i.spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.timestamp_seconds(F.lit(last + 86_400)).alias("ts"))
+    end.write.mode("append").parquet(f"{base}/in")
+    stream = i.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    _run(throttle.stream_throttle(stream, "user_id", "ts", "event_id", f"{base}/out", f"{base}/ckpt", delay="1 hour"))
+    return throttle.read_throttle(i.spark, f"{base}/out").filter("event_id >= 0").select("event_id", "user_id")
+
+
 @query("trigger_routing", (), "SELECT event_id, user_id FROM events WHERE CASE WHEN event_type = 'purchase' THEN 'merge' WHEN event_type = 'error' THEN 'manual' ELSE 'commit' END = 'commit'")
 def trigger_routing(i: Inputs):
     mode = F.when(F.col("event_type") == "purchase", "merge").when(F.col("event_type") == "error", "manual").otherwise("commit")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import columns as C
 from repolith.functions import fixed_values as fv
-from repolith.operators import history, imports, review, structure, types
+from repolith.operators import history, imports, reach, review, structure, types
 from repolith.plans.history_queries import FREQ_SQL, HOT_SQL, MISSING_SQL, _missing
 from repolith.plans.registry import Inputs, query, text
 
@@ -302,14 +302,41 @@ def fan_in(i: Inputs):
     return imports.fan_in(imports.import_edges(_resolved(i)))
 
 
-@query("blast_radius", ("v_contents", "v_files", "v_changeset"), f"""{RESOLVE_SQL}, start AS (SELECT DISTINCT repo_id, path AS changed FROM v_changeset),
+START_SQL = "start AS (SELECT DISTINCT repo_id, path AS changed FROM v_changeset)"
+
+
+# the longest shortest way in the views has three steps
+@query("blast_radius", ("v_contents", "v_files", "v_changeset"), f"""{RESOLVE_SQL}, {START_SQL},
+  walk AS (SELECT repo_id, changed, changed AS importer, 0 AS hop FROM start
+    UNION SELECT w.repo_id, w.changed, e.src, w.hop + 1 FROM walk w JOIN edges e ON e.repo_id = w.repo_id AND e.dst = w.importer WHERE w.hop < 20)
+  SELECT repo_id, changed, importer, CAST(MIN(hop) AS BIGINT) AS hop FROM walk WHERE importer <> changed GROUP BY repo_id, changed, importer""")
+def blast_radius(i: Inputs):
+    return imports.blast_radius(i.v_changeset, imports.import_edges(_resolved(i)))
+
+
+@query("blast_radius_near", ("v_contents", "v_files", "v_changeset"), f"""{RESOLVE_SQL}, {START_SQL},
   one AS (SELECT DISTINCT s.repo_id, s.changed, e.src AS importer FROM start s JOIN edges e ON e.repo_id = s.repo_id AND e.dst = s.changed WHERE e.src <> s.changed),
   two AS (SELECT DISTINCT o.repo_id, o.changed, e.src AS importer FROM one o JOIN edges e ON e.repo_id = o.repo_id AND e.dst = o.importer WHERE e.src <> o.changed)
   SELECT repo_id, changed, importer, CAST(MIN(hop) AS BIGINT) AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) x GROUP BY repo_id, changed, importer""")
-def blast_radius(i: Inputs):
+def blast_radius_near(i: Inputs):
     return imports.blast_radius(i.v_changeset, imports.import_edges(_resolved(i)), hops=2)
 
 
+@query("reach_chains", (), """WITH RECURSIVE n AS (SELECT CAST(floor(o_orderkey / 500.0) AS BIGINT) AS r, o_orderkey AS k FROM orders),
+  walk AS (SELECT r, k AS origin, k AS node, 0 AS hop FROM n WHERE k % 250 = 3
+    UNION ALL SELECT w.r, w.origin, n.k, w.hop + 1 FROM walk w JOIN n ON n.r = w.r AND n.k = w.node + 1)
+  SELECT concat('r', r) AS repo_id, CAST(origin AS VARCHAR) AS origin, CAST(node AS VARCHAR) AS node, CAST(hop AS BIGINT) AS hop FROM walk WHERE hop > 0""")
+def reach_chains(i: Inputs):
+    """Orders that follow each other by number, five hundred to a chain: far more steps than are walked one by one."""
+    of = F.concat(F.lit("r"), F.floor(F.col("o_orderkey") / 500).cast("string"))
+    nodes = i.orders.select(of.alias("repo_id"), F.col("o_orderkey").alias("k"))
+    text = lambda c: c.cast("string")
+    after = nodes.select("repo_id", (F.col("k") - 1).alias("k"), text(F.col("k")).alias("b"))
+    steps = nodes.join(after, ["repo_id", "k"]).select("repo_id", text(F.col("k")).alias("a"), "b")
+    start = nodes.filter("k % 250 = 3").select("repo_id", text(F.col("k")).alias("origin"))
+    return reach.reachable(start, steps)
+
+
 @query("change_risk", ("v_changes", "v_changeset", "v_contents", "v_files"), f"""{HOT_SQL}, {MISSING_SQL.replace(FREQ_SQL + ',', '')}, {RESOLVE_SQL},
   am AS (SELECT repo_id, change_id, changed, COUNT(*) AS n FROM absent GROUP BY ALL),
   j AS (SELECT c.repo_id, c.change_id, c.path, h.rank AS hot_rank, coalesce(f.fan_in, 0) AS fan_in, coalesce(a.n, 0) AS n_missing FROM v_changeset c
@@ -362,15 +389,13 @@ def type_declarations(i: Inputs):
     return types.extract_types(i.v_contents).withColumns({c: text(c) for c in ("super_types", "annotations")})
 
 
-KEY_TYPES_SQL = f"""{TYPES_SQL}, {FREQ_SQL}, h100 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY change_count DESC, path) AS r FROM freq) x
-    WHERE r <= 100 AND NOT contains(path, 'test') AND NOT contains(path, 'Test')),
-  keyt AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.repo_id ORDER BY loc DESC, file, line_no) AS rank FROM types t
-    JOIN h100 h ON h.repo_id = t.repo_id AND h.path = t.file) x WHERE rank <= 60)"""
+KEY_TYPES_SQL = f"""{TYPES_SQL}, keyt AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.repo_id ORDER BY loc DESC, file, line_no) AS rank FROM types t
+    WHERE NOT contains(file, 'test') AND NOT contains(file, 'Test')) x WHERE rank <= 60)"""
 
 
 @query("key_types", ("v_contents", "v_changes"), f"{KEY_TYPES_SQL} SELECT repo_id, file, name, kind, loc, description, rank FROM keyt")
 def key_types(i: Inputs):
-    found = types.key_types(types.extract_types(i.v_contents), history.file_frequency(i.v_changes))
+    found = types.key_types(types.extract_types(i.v_contents))
     return found.select("repo_id", "file", "name", "kind", "loc", "description", "rank")
 
 
@@ -402,14 +427,13 @@ def _literal_sql(source: str, patterns) -> str:
     return " UNION ALL ".join(parts)
 
 
-PREVALENCE_SQL = f"""h30 AS (SELECT repo_id, path FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY change_count DESC, path) AS r FROM freq) x WHERE r <= 30),
-  read30 AS (SELECT c.* FROM v_contents c JOIN h30 h ON h.repo_id = c.repo_id AND h.path = c.path), prevalence AS ({_literal_sql('read30', fv.CODE_PATTERNS)})"""
+PREVALENCE_SQL = f"prevalence AS ({_literal_sql('v_contents', fv.CODE_PATTERNS)})"
 TESTLIB_SQL = f"""testf AS (SELECT * FROM v_contents WHERE regexp_matches(path, '{fv.TEST_FILE_PATTERNS['library']}')), testlib AS ({_literal_sql('testf', fv.TEST_LIBRARY_PATTERNS)})"""
 
 
-@query("pattern_prevalence", ("v_contents", "v_changes"), f"{FREQ_SQL}, {PREVALENCE_SQL} SELECT * FROM prevalence")
+@query("pattern_prevalence", ("v_contents", "v_changes"), f"{PREVALENCE_SQL} SELECT * FROM prevalence")
 def pattern_prevalence(i: Inputs):
-    return types.pattern_prevalence(i.v_contents, history.file_frequency(i.v_changes))
+    return types.pattern_prevalence(i.v_contents)
 
 
 @query("test_conventions", ("v_contents",), f"{TESTLIB_SQL} SELECT * FROM testlib")
@@ -419,13 +443,12 @@ def test_conventions(i: Inputs):
 
 def code_pattern_rows(i: Inputs):
     found = types.extract_types(i.v_contents)
-    freq = history.file_frequency(i.v_changes)
     return types.code_patterns(
-        types.annotation_usage(found), types.pattern_prevalence(i.v_contents, freq), types.test_conventions(i.v_contents)
+        types.annotation_usage(found), types.pattern_prevalence(i.v_contents), types.test_conventions(i.v_contents)
     )
 
 
-CODE_SQL = f"""{USAGE_SQL}, {FREQ_SQL}, {PREVALENCE_SQL}, {TESTLIB_SQL},
+CODE_SQL = f"""{USAGE_SQL}, {PREVALENCE_SQL}, {TESTLIB_SQL},
   cfx AS (SELECT r.repo_id, coalesce(bool_or(u.annotation IN ({', '.join(f"'{a}'" for a in fv.LOMBOK_ANNOTATIONS)})), false) AS lombok,
     coalesce(MAX(CASE WHEN u.annotation = '@AllArgsConstructor' THEN u.n END), 0) AS allargs FROM (SELECT DISTINCT repo_id FROM v_contents) r LEFT JOIN usage u ON u.repo_id = r.repo_id GROUP BY ALL),
   pfx AS (SELECT repo_id, MAX(CASE WHEN pattern = 'either' THEN n_files END) AS e, MAX(CASE WHEN pattern = 'problem' THEN n_files END) AS p, MAX(CASE WHEN pattern = 'autowired' THEN n_files END) AS a FROM prevalence GROUP BY ALL),

@@ -132,7 +132,8 @@ def test_service_map(spark, rows):
         ("docker-compose.yml", "web", "9090", ["db", "cache"]),
     ]
     chosen = content.compose_files(files)
-    assert rows(chosen, "path", "rank") == [("docker-compose.staging.yml", 2), ("docker-compose.yml", 1)]
+    assert rows(chosen, "path", "staging") == [("docker-compose.staging.yml", 1), ("docker-compose.yml", 0)]
+    assert rows(content.compose_files(files, k=1), "path") == [("docker-compose.yml",)]
     assert rows(content.first_services(found, chosen)) == [("r", 2, "web, db")]
 
 
@@ -149,7 +150,8 @@ def test_lead_paragraph(spark, rows):
         },
     )
     got = dict(rows(content.lead_paragraph(files), "path", "lead"))
-    assert got["1"] == "one two" and set(got) == {"1", "4"} and len(got["4"]) == 500
+    assert got["1"] == "one two" and set(got) == {"1", "4"} and len(got["4"]) == 605
+    assert [len(x) for _, x in rows(content.lead_paragraph(files, chars=500), "path", "lead")] == [7, 500]
 
 
 def test_description_order(spark, rows):
@@ -178,8 +180,10 @@ def test_team_rules(spark, rows):
     )
     got = dict(rows(content.extract_rules(files), "path", "rule"))
     assert got["code-review.rules"] == "- one\n- two"
-    assert len(got[".cursor/rules/a.md"]) == 1500 and got[".cursor/rules/a.md"].startswith("Body ")
-    assert set(got) == {"code-review.rules", ".cursor/rules/a.md", ".cursor/rules/b.md"}
+    assert len(got[".cursor/rules/a.md"]) == 2005 and got[".cursor/rules/a.md"].startswith("Body ")
+    assert set(got) == {"code-review.rules", *(f".cursor/rules/{n}.md" for n in "abcd")}
+    few = dict(rows(content.extract_rules(files, max_rules=1, max_files=2, max_chars=9), "path", "rule"))
+    assert few == {"code-review.rules": "- one", ".cursor/rules/a.md": "Body zzzz"}
 
 
 def test_build_commands(spark, rows):

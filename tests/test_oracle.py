@@ -12,15 +12,13 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 #: the busy keys of the throttle take a Python step
 PYTHON = {"throttle_user", "throttle_type"}
-#: all commits are numbered, by the hour
-FULL_RANKS = {"commit_batches"}
-#: queries that read compose files carry values forward over the lines of one file
-LINE_WINDOWS = {
-    "service_map", "confidence_facts", "confidence_score", "confidence_total", "confidence_gaps", "score_uplift",
-    "open_gaps", "smart_questions", "report_json", "fleet_summary",
-}
+#: all commits are numbered, by the hour; the text reader looks from one record to the next
+FULL_RANKS = {"commit_batches", "log_changes_text"}
 #: further views of the same score, left to the driver's check at the next scale
-SAME_SCORE = {"confidence_facts", "confidence_total", "confidence_gaps", "score_uplift", "open_gaps", "report_json"}
+SAME_SCORE = {
+    "confidence_facts", "confidence_total", "confidence_gaps", "score_uplift", "open_gaps", "report_json", "report_gaps",
+    "report_questions", "run_metadata",
+}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +35,7 @@ def check_plan(df, name):
         assert node not in plan, node
     if name not in PYTHON:
         assert "InPandas" not in plan
-    if name not in LINE_WINDOWS | FULL_RANKS:
+    if name not in FULL_RANKS:
         # every window ranks for a top-k, cut before and after the exchange
         lines = plan.splitlines()
         windows = sum(1 for x in lines if "- Window [" in x)

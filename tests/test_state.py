@@ -7,7 +7,7 @@ from repolith import schemas
 from repolith.operators import incremental, knowledge, questions, score
 from repolith.sources import sinks
 from repolith.streaming import increments
-from repolith.streaming.throttle import stream_throttle
+from repolith.streaming.throttle import read_throttle, stream_throttle
 
 REPOS = "repo_id STRING"
 
@@ -177,20 +177,58 @@ def test_streams_equal_batch(spark, tmp_path, rows):
     assert rows(increments.read_alerts(spark, alerts, moved)) == rows(increments.stale_alerts(batch, moved)) == []
 
 
-def test_throttle_stream(spark, tmp_path, rows):
-    rng = random.Random(9)
-    start = 1_704_067_200
-    schema = "k STRING, ts TIMESTAMP, n BIGINT"
-    events = sorted((start + rng.randrange(40_000), k, n) for n, k in enumerate("ab" * 150))
+def test_pair_delta_of_wide_commits(spark, rows):
+    rng = random.Random(4)
+    log = [("r", str(n), None, rng.sample("abcdefghijkl", rng.randrange(1, 13)) + ["a"]) for n in range(20)]
+    batch = spark.createDataFrame(log, COMMITS)
+    assert rows(increments.pair_delta(batch, part=3)) == rows(increments.pair_delta(batch))
+
+
+EVENTS = "k STRING, ts TIMESTAMP, n BIGINT"
+
+
+def deliver(spark, tmp_path, parts, delay):
+    """Each part is a file and a micro-batch; one far event at the end moves the watermark past all others."""
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (events[:150], events[150:]):
+    for part in parts:
         data = [(k, dt.datetime.fromtimestamp(s, dt.UTC), n) for s, k, n in part]
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(schema).parquet(landing)
-        query = stream_throttle(stream, "k", "ts", "n").writeStream.outputMode("append").format("parquet").option("path", out)
-        query.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["k"], r["second"]) for r in spark.read.parquet(out).collect())
-    assert got == [(k, s) for k, s, _ in brute_throttle([(k, s, n) for s, k, n in events], 300)]
+        spark.createDataFrame(data, EVENTS).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(EVENTS).parquet(landing)
+        query = stream_throttle(stream, "k", "ts", "n", out, str(tmp_path / "ckpt"), delay=delay)
+        query.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_throttle_stream_is_the_batch_whatever_the_order_of_arrival(spark, tmp_path):
+    rng = random.Random(9)
+    start = 1_704_067_200
+    events = [(start + rng.randrange(20_000), k, n) for n, k in enumerate("aab" * 100)]
+    events += [(s, k, 1000 - n) for s, k, n in rng.sample(events, 40)]  # the same second again
+    rng.shuffle(events)
+    out = deliver(spark, tmp_path, [events[:120], events[120:250], events[250:]], "1 day")
+    out_of = lambda name: sorted((r["k"], r["second"], r["n"]) for r in read_throttle(spark, out, name).collect())
+    assert out_of("accepted") == []  # the watermark is a day behind
+    out = deliver(spark, tmp_path, [[(start + 300_000, "end", 0)]], "1 day")
+    want = brute_throttle([(k, s, n) for s, k, n in events], 300)
+    assert [e for e in out_of("accepted") if e[0] != "end"] == want
+    assert out_of("late") == []
+
+
+def test_throttle_stream_sets_late_events_aside(spark, tmp_path):
+    start = 1_704_067_200
+    at = lambda s: start + s
+    parts = [
+        [(at(10), "a", 1), (at(5), "b", 2), (at(700), "a", 3)],
+        [(at(3000), "a", 4), (at(650), "a", 6), (at(20), "a", 7)],  # the watermark stands at 100: 7 is late
+        [(at(2390), "a", 8), (at(2700), "b", 9)],  # at 2400: 8 is late
+        [(at(20_000), "a", 10)],
+        [(at(50_000), "end", 11)],
+        [(at(50_001), "end", 12)],
+    ]
+    out = deliver(spark, tmp_path, parts, "10 minutes")
+    got = sorted((r["k"], r["second"] - start, r["n"]) for r in read_throttle(spark, out).filter("k <> 'end'").collect())
+    assert got == [("a", 10, 1), ("a", 650, 6), ("a", 3000, 4), ("a", 20_000, 10), ("b", 5, 2), ("b", 2700, 9)]
+    assert sorted((r["second"] - start, r["n"]) for r in read_throttle(spark, out, "late").collect()) == [(20, 7), (2390, 8)]
 
 
 def test_report(spark):
@@ -199,3 +237,27 @@ def test_report(spark):
     asked = spark.createDataFrame([("r", 1, "tribal", "Why?")], "repo_id STRING, pos BIGINT, category STRING, question STRING")
     report = sinks.to_report_json(scores, score.score_total(scores), score.gaps(facts), asked).first()["report"]
     assert '"total":2' in report and '"questions":[{"pos":1,"category":"tribal","question":"Why?"}]' in report
+
+
+def test_texts_are_read_twice_for_all_facts(spark, tmp_path):
+    """Once for the digest and once for the types, whatever asks for facts after that."""
+    from repolith.plans import facts as fleet
+
+    contents = spark.createDataFrame(
+        [("r", "README.md", "# T\n\nA lead."), ("r", "a.py", "import os\nclass A:\n    pass  # TODO: x"), ("r", "package.json", '{"scripts":{"build":"tsc"}}')],
+        "repo_id STRING, path STRING, text STRING",
+    )
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    counted = contents.withColumn("text", F.udf(read, "string")("text"))
+    commits = spark.createDataFrame([("r", "1", "Ann", "a@x.io", dt.datetime(2024, 1, 1), "feat: x", "", False)], schemas.COMMITS)
+    changes = spark.createDataFrame([("r", "1", dt.datetime(2024, 1, 1), "a.py", 1, 0, False)], schemas.CHANGES)
+    t = fleet.Tables(commits, changes, contents.select("repo_id", "path"), counted, contents.filter("false"))
+    row = fleet.facts(t).first()
+    assert (row["description"], row["n_todos"], row["n_types"], row["has_build"]) == ("A lead.", 1, 1, True)
+    assert t.import_edges.count() == 0 and fleet.services(t).count() == 0
+    assert reads.value <= 2 * 3
