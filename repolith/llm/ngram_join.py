@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm import base
@@ -154,14 +154,16 @@ def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> Da
     All such documents are joined by them.
     """
     rule, spark = Similarity(percent), nodes.sparkSession
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    # most blocks are of one document: those go in the one exchange of all keys, as rows that are sorted and may spill
+    by_key = Window.partitionBy("key").orderBy("node")
+    alone = F.lag("node").over(by_key).isNull() & F.lead("node").over(by_key).isNull()
+    shared = nodes.select("node", F.explode("keys").alias("key")).withColumn("alone", alone)
+    shared = base.stage(shared.filter("not alone").select("key", "node"), "shared")
+    groups = shared.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
     # the documents of a family share many blocks, which are one group
-    groups = shared.filter("first <> last").groupBy("first", "n", "all").agg(F.min("key").alias("key"))
-    # a table of its own: the join may split the rows of a very common key, and shuffle files go earlier
-    groups = base.stage(groups.select("key", "n"), "keys")
+    groups = base.stage(groups.groupBy("first", "n", "all").agg(F.min("key").alias("key")).select("key", "n"), "keys")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    members = keys.join(groups, "key")
+    members = shared.join(groups, "key")
     parts = F.ceil(F.col("n") / block_part).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("low"), F.greatest(p, own).alias("high")))
