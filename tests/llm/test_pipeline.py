@@ -37,31 +37,6 @@ def test_stages_against_small_brute_force(llm):
     assert tables[5].count() == tables[4].count()
 
 
-def test_odd_rows_pass_all_stages(llm):
-    """Nulls, empty and long texts, repeated rows, columns of clashing names, an empty table."""
-    from repolith.llm import base
-
-    sample = [r.text for r in base.table(llm, SF, "documents").filter("doc_id < 12").orderBy("doc_id").collect()]
-    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(sample)]
-    rows += [(None, sample[0], None, None, 1), (50, None, "en", "a", None), (51, "", None, "b", 0), (52, " \n ", "fr", None, 3), (53, "word " * 5000, "en", "b", 1)]
-    rows += [rows[3], rows[3], (3, sample[4], "de", "a", 2)]
-    columns = ["_words", "t_lang", "key", "node", "h", "size", "range", "component", "place", "batch"]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in columns)
-    docs = llm.createDataFrame([(*r, *["x"] * len(columns)) for r in rows], schema)
-    for table in (docs, docs.filter("false")):
-        out, kept = table, []
-        for name, stage in corpus_pipeline.STAGES:
-            out = base.stage(stage(llm, out, SF), name)
-            if name != "tokens":
-                assert out.columns == docs.columns and out.filter("`key` <> 'x'").count() == 0
-            kept.append(out.count())
-        assert kept[0] >= kept[1] >= kept[2] and kept[4] == kept[3]
-        if table is docs:
-            assert kept[2] >= 4  # texts without words among them
-        else:
-            assert kept == [0] * 5
-
-
 def test_registered():
     import __spark_entry__
 
