@@ -1,6 +1,7 @@
 """Rule tables of any size: literals looked up by trigrams."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,15 @@ def test_many_equal_questions_meet_once(spark):
     asked = spark.range(3000).select(F.lit("r").alias("repo_id"), "id", F.lit("Why is it so?").alias("question"))
     found = questions.similar_questions(asked).groupBy("same_as").count().collect()
     assert sorted((r["same_as"] is None, r["count"]) for r in found) == [(False, 2999), (True, 1)]
+
+
+def test_texts_do_not_go_with_trigrams(spark, rows, monkeypatch):
+    """A trigram is exchanged with the number of its text; rules of more trigrams than are broadcast hit the same."""
+    texts = spark.createDataFrame([("a", "one two three two"), ("b", "three"), ("c", None), ("d", "one two three two")], "path STRING, text STRING")
+    table = spark.createDataFrame([("two",), ("three",), ("e",), ("nine",)], "literal STRING")
+    found = rules.literal_hits(texts, table)
+    exploded = re.findall(r"Generate explode\(.*\), \[([^\]]*)\], false", found._jdf.queryExecution().executedPlan().toString())
+    assert exploded and all(re.fullmatch(r"_text#\d+L?", columns) for columns in exploded)
+    expected = rows(found)
+    monkeypatch.setattr(rules, "MAX_GRAMS", 0)
+    assert rows(rules.literal_hits(texts, table)) == expected and len(expected) == 8
