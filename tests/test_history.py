@@ -154,3 +154,12 @@ def test_added_deleted(spark, rows):
     assert rows(history.added_deleted(df, files, newest=None), "path", "event") == [
         ("a", "added"), ("b", "added"), ("gone", "added"), ("gone", "deleted"),
     ]
+
+
+def test_a_path_named_often_does_not_widen_its_commit(spark, rows, monkeypatch):
+    """The grid of a wide commit has its different files, however often each is named."""
+    seen = []
+    grid = cochange.grid_pairs
+    monkeypatch.setattr(cochange, "grid_pairs", lambda wide, part: seen.append(wide.count()) or grid(wide, part))
+    df = changes_of(spark, [("r", c, [f"f{k}" for k in range(6)] * 50) for c in range(3)])
+    assert len(rows(cochange.co_change_counts(df, part=4))) == 15 and seen == [18]
