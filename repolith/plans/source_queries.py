@@ -28,8 +28,13 @@ def _folder(i: Inputs, name: str) -> str:
 
 
 def _write_by_repository(rows: DataFrame, path: str) -> str:
-    """One folder of text per repository; ``value`` is a line or more."""
-    rows.select("repo_id", "value").write.partitionBy("repo_id").text(path)
+    """One folder of text per repository; ``value`` is a line or more.
+
+    A repository's rows meet before they are written, so there are as many files as repositories and not one for each
+    of them and each task; those of a large repository are split by size. Tasks commit their own files.
+    """
+    together = rows.select("repo_id", "value").hint("rebalance", F.col("repo_id"))
+    together.write.partitionBy("repo_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 

@@ -112,7 +112,7 @@ def commit_log(
     if via == "text":
         found = _text_log(spark, path)
         return found if columns is None else found.select(*T.StructType.fromDDL(columns).fieldNames())
-    reader = register(spark).read.format("commit_log")
+    reader = register(spark).read.format("commit_log").option("tasks", 2 * spark.sparkContext.defaultParallelism)
     if columns is not None:
         reader = reader.schema(columns)
     if split_bytes is not None:

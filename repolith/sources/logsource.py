@@ -23,6 +23,8 @@ SCHEMA = (
     "subject STRING, body STRING, is_merge BOOLEAN, stats ARRAY<STRING>, _corrupt STRING"
 )
 SPLIT_BYTES = 64 << 20
+#: Small splits are read several to a task, up to so many bytes; to open a file counts as some bytes.
+TASK_BYTES, OPEN_BYTES = 16 << 20, 16 << 10
 _READ, _BATCH = 1 << 20, 2_000
 _DATE = re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d [+-]\d{4}")
 _MARK, _FIELD = COMMIT_MARK.encode(), FIELD_MARK.encode()
@@ -38,6 +40,13 @@ class LogSplit(InputPartition):
     end: int
 
 
+@dataclass
+class LogSplits(InputPartition):
+    """Splits that one task reads, one after the other."""
+
+    splits: list[LogSplit]
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path in it, for a plain path or any URI that Arrow knows."""
     path = re.sub(r"^file:/+", "/", path)
@@ -64,8 +73,8 @@ def repository_of(path: str) -> str:
 class _Window:
     """Bytes of a file from some place on, read as far as asked."""
 
-    def __init__(self, stream, at: int):
-        self.stream, self.at, self.data, self.done = stream, at, bytearray(), False
+    def __init__(self, stream, at: int, ask: int = _READ):
+        self.stream, self.at, self.ask, self.data, self.done = stream, at, ask, bytearray(), False
 
     def find(self, token: bytes, begin: int) -> int:
         """Index in ``data`` of the next ``token``, -1 at the end of the file."""
@@ -74,7 +83,7 @@ class _Window:
             if found >= 0 or self.done:
                 return found
             begin = max(begin, len(self.data) - len(token) + 1)
-            more = self.stream.read(_READ)
+            more = self.stream.read(self.ask)
             self.done = not more
             self.data += more
 
@@ -93,7 +102,7 @@ def records(stream, start: int, end: int) -> Iterator[tuple[int, bytes | None, b
     begin = max(0, start - len(_MARK))
     if begin:
         stream.seek(begin)
-    window, here = _Window(stream, begin), 0
+    window, here = _Window(stream, begin, min(_READ, max(1 << 12, end - begin))), 0
     if start:
         mark = window.find(_MARK, 0)
         if mark < 0:
@@ -172,6 +181,7 @@ class CommitLogReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: T.StructType):
         self.root, self.schema = options["path"], schema
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self.repos: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
@@ -183,12 +193,13 @@ class CommitLogReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[LogSplit]:
+    def partitions(self) -> Sequence[LogSplits]:
         files = [f for f in list_files(self.root) if self.repos is None or repository_of(f.path) in self.repos]
-        return splits(self.root, files, self.split_bytes)
+        return packed(splits(self.root, files, self.split_bytes), self.tasks)
 
-    def read(self, partition: LogSplit) -> Iterator[pa.RecordBatch]:
-        return _read(partition, self.schema)
+    def read(self, partition: LogSplits) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits:
+            yield from _read(split, self.schema)
 
 
 def splits(root: str, files: list[fs.FileInfo], size: int) -> list[LogSplit]:
@@ -202,6 +213,20 @@ def splits(root: str, files: list[fs.FileInfo], size: int) -> list[LogSplit]:
     return out or [LogSplit(root, "", 0, 0)]
 
 
+def packed(found: list[LogSplit], tasks: int) -> list[LogSplits]:
+    """Splits in their order, as many to a task as fit ``TASK_BYTES``, but enough of these for ``tasks``."""
+    weight = [OPEN_BYTES + min(s.end - s.start, TASK_BYTES) for s in found]
+    most = min(TASK_BYTES, -(-sum(weight) // max(1, tasks)))
+    out, room = [], 0
+    for split, w in zip(found, weight):
+        if not out or w > room:
+            out.append(LogSplits([]))
+            room = most
+        out[-1].splits.append(split)
+        room -= w
+    return out
+
+
 class CommitLogStreamReader(DataSourceStreamReader):
     """New files by the time they were written; the offset is the last such time and the files of that time."""
 
@@ -232,7 +257,8 @@ def _after(f: fs.FileInfo, offset: dict) -> bool:
 class CommitLogSource(DataSource):
     """Commit logs below ``path``, one repository to a file or a folder ``repo_id=...``.
 
-    ``splitBytes`` bounds what one task reads. A schema of fewer columns parses and sends those only; a condition
+    ``splitBytes`` bounds a split; a task reads one that is large, or several small ones, and ``tasks`` says for how many
+    tasks there should be splits. A schema of fewer columns parses and sends those only; a condition
     on ``repo_id`` leaves other files unopened. ``position`` is the place of the record in its file, in bytes. A
     record that cannot be read whole has its text in ``_corrupt``: with too few fields nothing else is set, with a
     date that is none only the time is missing.

@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from repolith import session
+from repolith.plans import source_queries
+from repolith.sources import logsource
+from repolith.sources.logsource import LogSplit
 
 
 def test_a_packed_file_is_not_broadcast_by_its_size(spark, tmp_path):
@@ -35,3 +38,19 @@ def test_exchanges_have_more_partitions_for_larger_input(spark):
     finally:
         session.unsize(spark)
     assert spark.conf.get(key, None) is None
+
+
+def test_an_export_has_a_file_per_repository(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("r"), F.col("id") % 50).alias("repo_id"), F.col("id").cast("string").alias("value"))
+    out = source_queries._write_by_repository(rows, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("repo_id=*/*.txt"))
+    assert len(files) == 50 and spark.read.text(out).count() == 4000
+
+
+def test_small_splits_share_a_task():
+    found = [LogSplit("/", f"f{k}", 0, 1000) for k in range(5000)] + [LogSplit("/", "large", at, at + (64 << 20)) for at in range(0, 1 << 28, 64 << 20)]
+    tasks = logsource.packed(found, 10)
+    assert [s for t in tasks for s in t.splits] == found
+    assert 10 <= len(tasks) < 20 and all(len(t.splits) == 1 for t in tasks if t.splits[0].path == "large")
+    assert len(logsource.packed(found[:100], 16)) == 17
+    assert len(logsource.packed([LogSplit("/", "", 0, 0)], 16)) == 1
