@@ -6,8 +6,8 @@ equi-joins on longs, sharded by n-gram. Counts cover all trusted text; the highe
 lower ones the number of different characters seen before. The probability of an n-gram joins its count, the
 sums of its context and the probability of its suffix.
 
-The resulting table is broadcast. Its bound is ``MODEL_GRAMS`` n-grams of each order: where more were
-seen, the rarest are left to the lower orders. A document's score is its cross-entropy in nats per character;
+The ``MODEL_GRAMS`` commonest n-grams of each order are broadcast. Where more were seen, all others lie sorted in files of the
+shared folder, which tasks map and search for what the broadcast ones do not hold: none is left out. A document's score is its cross-entropy in nats per character;
 its perplexity is exp of that. Per language a threshold is set from quantiles of the trusted documents; it
 is wider for short texts, by the standard error of their mean.
 
@@ -18,22 +18,27 @@ log likelihood ratio of rejected to trusted text, and for the share of words tha
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolith.llm import base
+from repolith.sources.logsource import file_system
 
 ORDER = 5
 BITS = 12
-#: N-grams of each order that the model holds at most.
+#: N-grams of each order that are broadcast at most; more are looked up in files.
 MODEL_GRAMS = 1 << 22
+#: N-grams to a file, about.
+REST_ROWS = 1 << 20
 #: Trusted ids are sent to all tasks up to this number (32 MB); more are joined by shuffling.
 BROADCAST_IDS = 4_000_000
 #: A language's own quantiles are used from this many trusted documents on.
@@ -83,35 +88,103 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(i + 0.95, max(0.1, ratio(i))) for i in range(3))
 
 
+class Rest:
+    """Sorted keys and values in files, a range of keys to a file, which a task maps when it first asks for one of its keys."""
+
+    def __init__(self, parts: list[tuple[int, str]]):
+        self.first, self.paths = np.array([first for first, _ in parts], np.int64), [path for _, path in parts]
+        self.mapped: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"mapped": {}}
+
+    def _part(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in self.mapped:
+            system, path = file_system(self.paths[n])
+            if not isinstance(system, fs.LocalFileSystem):
+                local = f"{tempfile.mkdtemp(prefix='rest-')}/part"
+                fs.copy_files(path, local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+                path = local
+            rows = np.memmap(path, _REST, "r")
+            self.mapped[n] = rows["key"], rows["value"]
+        return self.mapped[n]
+
+    def fill(self, out: np.ndarray, keys: np.ndarray, at: np.ndarray) -> None:
+        """Set ``out[at]`` to the values of ``keys[at]`` where there are any."""
+        part = np.searchsorted(self.first, keys[at], "right") - 1
+        for n in np.unique(part[part >= 0]):
+            own, values = self._part(n)
+            here = at[part == n]
+            place = np.minimum(np.searchsorted(own, keys[here]), len(own) - 1)
+            hit = own[place] == keys[here]
+            out[here[hit]] = values[place[hit]]
+
+
+_REST = np.dtype([("key", np.int64), ("value", np.float32)], align=True)
+
+
 @dataclass
 class Model:
-    """Per order, lowest first: n-grams and their log probabilities; contexts and their log back-off weights."""
+    """Per order, lowest first: n-grams and their log probabilities; contexts and their log back-off weights; what is left in files of both."""
 
     name: str
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[tuple[np.ndarray, np.ndarray, Rest | None]]
+    contexts: list[tuple[np.ndarray, np.ndarray, Rest | None]]
 
 
-def _arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    table = df.select(key, F.col(value).cast("float").alias(value)).toArrow()
-    order = np.argsort(keys := table[key].to_numpy(), kind="stable")
-    return keys[order], table[value].to_numpy()[order]
+def _capped(count: str) -> Column:
+    return F.least(F.col(count), F.lit(10_000))
 
 
-def _commonest(df: DataFrame, count: str, limit: int) -> DataFrame:
-    """Rows whose count is high enough that at most ``limit`` remain."""
-    sizes = df.groupBy(F.least(F.col(count), F.lit(10_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+def _cut(df: DataFrame, count: str, limit: int) -> tuple[int, int]:
+    """The count above which at most ``limit`` rows remain, and how many rows do not exceed it."""
+    sizes = df.groupBy(_capped(count).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     total, cut = 0, 0
     for r in sorted(sizes, key=lambda r: -r["c"]):
-        total += r["n"]
-        if total > limit:
+        if total + r["n"] > limit:
             cut = r["c"]
             break
-    return df.filter(F.col(count) > cut)
+        total += r["n"]
+    return cut, sum(r["n"] for r in sizes) - total
+
+
+def _commonest(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows whose count is high enough that at most ``limit`` remain."""
+    return df.filter(_capped(count) > _cut(df, count, limit)[0])
+
+
+def _arrays(df: DataFrame, key: str, value: str, count: str, limit: int) -> tuple[np.ndarray, np.ndarray, Rest | None]:
+    """The commonest rows, sorted by key, and all others in files."""
+    cut, rest = _cut(df, count, limit)
+    picked = df.select(key, F.col(value).cast("float").alias(value), (_capped(count) > cut).alias("common"))
+    table = picked.filter("common").drop("common").toArrow()
+    order = np.argsort(keys := table[key].to_numpy(), kind="stable")
+    return keys[order], table[value].to_numpy()[order], _rest(picked.filter("not common"), key, value, rest) if rest else None
+
+
+def _rest(df: DataFrame, key: str, value: str, rows: int) -> Rest:
+    folder = base.new_folder(df.sparkSession, "rest")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [(b[key].to_numpy(), b[value].to_numpy()) for b in batches if b.num_rows]
+        if table:
+            part = np.empty(sum(len(k) for k, _ in table), _REST)
+            part["key"], part["value"] = (np.concatenate(column) for column in zip(*table))
+            part.sort(order="key")
+            # every attempt of a task has a file of its own; the one that ends names it
+            name = f"{folder}/{uuid.uuid4().hex}"
+            system, path = file_system(name)
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(part["key"][0])]), pa.array([name])], names=["first", "path"])
+
+    dealt = df.select(key, value).repartitionByRange(-(-rows // REST_ROWS), key)
+    return Rest(sorted((r["first"], r["path"]) for r in dealt.mapInArrow(write, "first long, path string").collect()))
 
 
 def train(texts: DataFrame, limit: int = MODEL_GRAMS) -> Model | None:
-    """Model of ``texts (text)``; None where they hold no character."""
+    """Model of ``texts (text)``; None where they hold no character. Up to ``limit`` n-grams of each order are broadcast, all others kept in files."""
     counts = {ORDER: base.stage(gram_counts(texts), "grams")}
     if not counts[ORDER].head(1):
         return None
@@ -134,17 +207,18 @@ def train(texts: DataFrame, limit: int = MODEL_GRAMS) -> Model | None:
             rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
             rows = rows.select("gram", "c", (own + weight * F.col("q")).alias("p"))
         lower = base.stage(rows, "probabilities")
-        model.grams.append(_arrays(_commonest(lower, "c", limit).withColumn("l", F.log("p")), "gram", "l"))
-        weights = _commonest(sums.withColumn("total", F.col("total").cast("long")), "total", limit)
-        model.contexts.append(_arrays(weights.withColumn("l", F.log(F.col("left") / F.col("total"))), "context", "l"))
+        model.grams.append(_arrays(lower.withColumn("l", F.log("p")), "gram", "l", "c", limit))
+        weights = sums.withColumn("total", F.col("total").cast("long")).withColumn("l", F.log(F.col("left") / F.col("total")))
+        model.contexts.append(_arrays(weights, "context", "l", "total", limit))
     base.drop_staged(*counts.values())
     return model
 
 
 class Lookup:
-    """Values of sorted keys by a table of slots; keys that meet in a slot are searched for."""
+    """Values of sorted keys by a table of slots; keys that meet in a slot are searched for, those not held in ``rest``."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: Rest | None, missing: float):
+        self.rest = rest
         self.bits = max(4, int(base.two_to_the(4 * max(1, len(keys)))).bit_length() - 1)
         self.keys, self.values, self.missing = keys, values, missing
         self.slot_key, self.slot_value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
@@ -162,18 +236,22 @@ class Lookup:
         other = np.flatnonzero(own != keys)
         if len(other):
             out[other] = self.missing
-            search = other[self.crowded[at[other]]]
+            crowded = self.crowded[at[other]]
+            search = other[crowded]
             if len(search):
                 place = np.minimum(np.searchsorted(self.keys, keys[search]), len(self.keys) - 1)
                 hit = self.keys[place] == keys[search]
                 out[search[hit]] = self.values[place[hit]]
+            if self.rest:
+                absent = other[~crowded] if not len(search) else np.concatenate([other[~crowded], search[~hit]])
+                self.rest.fill(out, keys, absent)
         return out
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.grams = [Lookup(k, v, np.nan) for k, v in model.grams]
-        self.contexts = [Lookup(k, v, 0.0) for k, v in model.contexts]
+        self.grams = [Lookup(*table, np.nan) for table in model.grams]
+        self.contexts = [Lookup(*table, 0.0) for table in model.contexts]
 
     def log_probabilities(self, symbols: np.ndarray) -> np.ndarray:
         """Of every character after its context; n-grams that were not seen back off."""

@@ -49,6 +49,22 @@ def test_entropy_equals_brute_force(llm, frame):
     assert rows[len(tests)] is None and rows[len(tests) + 1] is None
 
 
+def test_no_gram_is_left_out_beyond_the_broadcast_ones(llm, frame, monkeypatch):
+    """N-grams and contexts in files give the scores of those that are broadcast."""
+    monkeypatch.setattr(quality, "REST_ROWS", 50)
+    tests = frame([*GOOD[:10], "unseen WORDS !!", "x", "日本", "the and\nrain", None, ""])
+    found = lambda model: {r.doc_id: (r._entropy, r._spread) for r in quality.scored(tests, model, model).collect()}
+    whole = found(quality.train(frame(GOOD).select("text")))
+    for limit in (0, 40):
+        model = quality.train(frame(GOOD).select("text"), limit)
+        assert all(len(keys) <= limit for keys, *_ in (*model.grams, *model.contexts))
+        assert len(model.grams[-1][2].paths) > 2
+        got = found(model)
+        assert got.keys() == whole.keys()
+        for doc, (entropy, spread) in whole.items():
+            assert got[doc] == (None, None) if entropy is None else got[doc] == pytest.approx((entropy, spread), rel=1e-6)
+
+
 def test_held_out_accuracy(llm, frame):
     clean = [" ".join(RNG.choice(WORDS) for _ in range(30)) for _ in range(60)]
     junk = [" ".join(RNG.choice(WORDS).upper() + "!!" for _ in range(30)) for _ in range(30)]
