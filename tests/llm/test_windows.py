@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from repolith.llm import phrase_dedup, suffix_dedup, windows
+from repolith.llm import base, phrase_dedup, suffix_dedup, windows
 
 
 def marks(tokens, length, counts):
@@ -68,3 +69,26 @@ def test_anchors_stay_inside_texts(monkeypatch):
     ends = np.cumsum(lengths)
     assert sorted(filed) == [s for b, e in zip(ends - lengths, ends, strict=True) for s in range(b, e - 19)]
     assert all(s <= p <= s + 12 for s, p in filed.items())
+
+
+def test_arrays_of_a_task_are_bounded_by_bytes():
+    """A batch of 1000 rows of long texts made arrays of a value for each of its bytes, all at once."""
+    texts = ["x" * n for n in (0, 700, 10, 5000, 1, 1, 300)] * 150 + [None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    found = list(base.short_pieces([batch, batch.slice(0, 0)], size=2000))
+    assert [t for b in found for t in b["text"].to_pylist()] == texts
+    assert max(sum(map(len, b["text"].drop_null().to_pylist())) for b in found) <= 2000 + 5000
+    assert [b.num_rows for b in base.large_pieces(found, 1 << 30)] == [len(texts)]
+    assert not list(base.large_pieces([], 10))
+
+
+def test_powers_are_made_for_pieces_only():
+    """Powers were made for all bytes of a batch of rows."""
+    scanned = []
+    fake = type("Docs", (), {"select": lambda s, *c: s, "mapInArrow": lambda s, f, schema: scanned.append(f)})()
+    windows.spans(fake, suffix_dedup._values, 400, 240)
+    rows = 1000
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(rows), pa.int64()), "h": pa.array(range(rows), pa.int64()), "text": ["abcdefghij" * 400] * rows})
+    windows._POWERS.up = windows._POWERS.down = np.ones(1, np.uint64)
+    assert sum(b.num_rows for b in scanned[0](iter([batch]))) > rows
+    assert len(windows._POWERS.up) <= 1 << 20
