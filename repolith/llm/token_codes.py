@@ -18,9 +18,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,18 +104,51 @@ def token_at(payload: bytes, i: int) -> int:
 
 # ---- encoding ---------------------------------------------------------------------------------
 
-_MARKS = (",", ".")
+#: Text whose pieces are numbered together, about.
+ENCODED_BYTES = 1 << 23
 _WORD_SPACE = re.compile(r" (?=\S)")
+#: White space as Python knows it; texts where it runs together or stands at an end; pieces without any and with a line break first.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\pZ"
+_LOOSE = rf"[{_SPACE}][{_SPACE}]|\A[{_SPACE}]|[{_SPACE}]\z"
+_PLAIN, _BROKEN, _ENDED = rf"\A[^{_SPACE}]+\z", rf"\A\n[^{_SPACE}]+\z", r"\A\pL+[,.]\z"
+_MARKS = (",", ".")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class Ids:
+    """Ids of pieces, one after the other."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.ids, self.length = np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+        self.added: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return len(self.length) + sum(len(length) for _, length in self.added)
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.added.append((ids, length))
+
+    def joined(self, other: Ids) -> Ids:
+        """These and then the others'."""
+        self.ids, self.length = (np.concatenate(parts) for parts in zip((self.ids, self.length), *self.added))
+        self.added, out = [], Ids([])
+        out.ids, out.length = np.concatenate([self.ids, other.ids]), np.concatenate([self.length, other.length])
+        return out
+
+    def copies(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, one after the other, and where each ends."""
+        taken, begin = self.length[place], np.cumsum(self.length) - self.length
+        ends = np.cumsum(taken)
+        return self.ids[np.arange(taken.sum()) + np.repeat(begin[place] - (ends - taken), taken)], ends
+
+
 class Encoder:
     """Ids of whole texts, equal to encoding each text in one call.
 
     The vocabulary's rule never joins a space that a word follows to what stands before it, and a line
     break between two words is a token of its own. Texts are cut there, and every distinct piece is
     encoded once by the library. Where white space runs together, a text is cut only before a single
-    space that a word follows.
+    space that a word follows. The words of a text are numbered by Arrow, so no object is made for each.
     """
 
     def __init__(self, path: str, limit: int = 1_200_000):
@@ -121,54 +156,94 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.known: dict[str, bytes] = {}
         alone = self.ids(["\n"])[0]
-        self.marks = {m: np.array(self.ids([m])[0], np.uint32).tobytes() for m in _MARKS}
         self.line_break = alone[0] if len(alone) == 1 else None
+        self.marks = Ids(self.ids(list(_MARKS)))
+        self.known: dict[str, int] = {}
+        self.held = Ids([])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces; each but the first had a space before it, unless it starts with a line break."""
-        if len(" ".join(text.split())) == len(text):  # white space never runs together, nor stands at an end
-            return text.replace("\n", " \n").split(" ")
-        return _WORD_SPACE.split(text)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode new pieces. Letters and a last comma or full stop are tokens apart, so the letters are encoded
-        once for all; many words are encoded in one text, with line breaks between them.
-        """
-        ended = [p for p in new if p[-1:] in _MARKS and p[:-1].isalpha()]
-        rest = [p for p in new if not (p[-1:] in _MARKS and p[:-1].isalpha())]
-        stems = {p[:-1] for p in ended} - self.known.keys() - set(rest)
-        plain = [*(p for p in rest if p.isalnum()), *stems] if self.line_break is not None else []
-        other = [p for p in rest if not p.isalnum()] if self.line_break is not None else [*rest, *stems]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids = np.array(self.ids(["\n".join(" " + p for p in some)])[0], np.uint32)
-            ends = np.flatnonzero(ids == self.line_break)
-            if len(ends) != len(some) - 1:
-                other.extend(some)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(some, [*(4 * ends).tolist(), len(raw)], strict=True):
-                self.known[piece] = raw[begin:end]
-                begin = end + 4
-        for piece, ids in zip(other, self.ids([p if p[:1] == "\n" else " " + p for p in other]), strict=True):
-            self.known[piece] = np.array(ids, np.uint32).tobytes()
-        for piece in ended:
-            self.known[piece] = self.known[piece[:-1]] + self.marks[piece[-1]]
+    def cut(self, texts: pa.LargeStringArray) -> pa.LargeListArray:
+        """Pieces of each text; each but the first had a space before it, unless it starts with a line break."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        loose = pc.match_substring_regex(texts, _LOOSE)
+        if not pc.any(loose).as_py():
+            return pieces
+        other = pa.array([_WORD_SPACE.split(t) for t in pc.filter(texts, loose).to_pylist()], pieces.type)
+        where = np.arange(len(texts))
+        where[loose.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(other))
+        return pa.concat_arrays([pieces, other]).take(pa.array(where))
+
+    def learn(self, new: pa.LargeStringArray) -> None:
+        """Encode new pieces. Those without white space are encoded many in one text, with line breaks between them."""
+        kinds = [pc.match_substring_regex(new, rule).to_numpy(zero_copy_only=False) & (self.line_break is not None) for rule in (_PLAIN, _BROKEN)]
+        for kind, before in ((kinds[0], "\n "), (kinds[1], "\n")):
+            some = new.filter(pa.array(kind)).to_pylist()
+            for at in range(0, len(some), 500):
+                self._learn_together(some[at : at + 500], before)
+        self._learn_each(new.filter(pa.array(~(kinds[0] | kinds[1]))).to_pylist())
+
+    def _learn_together(self, pieces: list[str], before: str) -> None:
+        lead = before if before == "\n " else ""
+        ids = np.array(self.ids([lead + lead.join(pieces)])[0], np.uint32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        if len(breaks) != len(pieces):
+            return self._learn_each(pieces)
+        length = np.diff(np.append(breaks, len(ids)))
+        # the break that pieces have themselves is theirs
+        self._add(pieces, *((np.delete(ids, breaks), length - 1) if lead else (ids, length)))
+
+    def _learn_each(self, pieces: list[str]) -> None:
+        if pieces:
+            found = Ids(self.ids([p if p[:1] == "\n" else " " + p for p in pieces]))
+            self._add(pieces, found.ids, found.length)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.held.add(ids, length)
+
+    def numbers(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Place of each of the distinct pieces among the known ones."""
+        if len(self.known) > self.limit:
+            self.known, self.held = {}, Ids([])
+        names = pieces.to_pylist()
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        unknown = number < 0
+        new = pieces.filter(pa.array(unknown))
+        ended = pc.match_substring_regex(new, _ENDED)
+        self.learn(new.filter(pc.invert(ended)))
+        # letters and a last comma or full stop are tokens apart, so the letters are encoded once for all
+        ended = new.filter(ended).to_pylist()
+        stems = [p[:-1] for p in ended]
+        self.learn(pa.array([p for p in dict.fromkeys(stems) if p not in self.known], pa.large_string()))
+        if ended:
+            both = np.empty(2 * len(ended), np.int64)
+            both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+            both[1::2] = len(self.held) + np.fromiter((_MARKS.index(p[-1]) for p in ended), np.int64, len(ended))
+            ids, ends = self.held.joined(self.marks).copies(both)
+            self._add(ended, ids, np.diff(ends[1::2], prepend=0))
+        number[unknown] = np.fromiter(map(self.known.__getitem__, new.to_pylist()), np.int64, len(new))
+        return number
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian uint32."""
-        cuts = [self.cut(t) for t in texts]
-        heads = self.ids([c[0] for c in cuts])
-        if len(self.known) > self.limit:
-            self.known.clear()
-        self.learn(list(set().union(*(c[1:] for c in cuts)) - self.known.keys()))
-        get = self.known.__getitem__
-        return [np.array(head, np.uint32).tobytes() + b"".join(map(get, cut[1:])) for head, cut in zip(heads, cuts, strict=True)]
+        if not texts:
+            return []
+        cuts = self.cut(pa.array(texts, pa.large_string()))
+        # what stands first in a text had no space before it
+        offsets = cuts.offsets.to_numpy() - cuts.offsets[0].as_py()
+        words, first = cuts.flatten(), np.zeros(offsets[-1], bool)
+        first[offsets[:-1]] = True
+        heads = self.ids(words.take(pa.array(offsets[:-1])).to_pylist())
+        coded = words.filter(pa.array(~first)).dictionary_encode()
+        number = self.numbers(coded.dictionary)
+        place = np.empty(len(words), np.int64)
+        place[first], place[~first] = len(self.held) + np.arange(len(heads)), number[coded.indices.to_numpy()]
+        ids, ends = self.held.joined(Ids(heads)).copies(place)
+        raw, edges = ids.tobytes(), (4 * np.append(0, ends)[offsets]).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -209,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             row = {"shard": [shard], "seq": [seq], "first": [first], "n_ids": [len(ids)], "payload": [pack(ids, bits)], "doc_ids": [doc_ids], "doc_first": [begins], "doc_n": [sizes]}
             return pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
 
-        for batch in base.pieces(batches):
+        for batch in base.large_pieces(batches, ENCODED_BYTES):
             ids = batch["doc_id"].to_pylist()
             for doc_id, code_bytes in zip(ids, code.encode(batch["text"].to_pylist()), strict=True):
                 raw.append(code_bytes + end)

@@ -37,6 +37,18 @@ def test_encoder_equals_whole_texts():
         assert [np.frombuffer(raw, np.uint32).tolist() + [0] for raw in coder.encode(texts)] == whole(texts)
 
 
+def test_lines_are_encoded_many_at_once(monkeypatch):
+    """Words after line breaks and words with marks went to the library one by one."""
+    coder, sent = token_codes.Encoder(queries.vocabulary()), []
+    ids = coder.ids
+    monkeypatch.setattr(coder, "ids", lambda texts: sent.extend(texts) or ids(texts))
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "it's", "'s", "x!", "'", "é,.", "12.", "²3", "\u0301a", "a\u200bb", "\x00", "日本,", "a_b"]
+    texts = ["\n".join(f"{w}{o}" for w in "abcdefghijkl" for o in odd), " ".join(f"{o}{n}," for o in odd for n in "abcdefghijkl"), "x " + " ".join(odd), "x\n" + "\n".join(odd)]
+    assert [np.frombuffer(raw, np.uint32).tolist() + [0] for raw in coder.encode(texts)] == whole(texts)
+    coder.encode(["x\n" + "\n".join(f"line{i}" for i in range(400)) + " " + " ".join(f"mark{i}!" for i in range(400))])
+    assert sum(t.count("line") + t.count("mark") for t in sent) >= 800 and sum("line" in t or "mark" in t for t in sent) < 10
+
+
 def test_files(llm, frame, tmp_path):
     docs = frame(ODD + ["word " * 4000])
     docs = docs.union(docs.filter("doc_id = 3")).union(docs.filter("doc_id = 4").selectExpr("null", "text", "h", "n", "size"))
