@@ -47,6 +47,8 @@ OWN_QUANTILES = 50
 ERRORS = 2.0
 #: Characters over which the likelihood ratio is summed.
 PASSAGE = 24
+#: Bytes of text whose n-grams are looked up together, unless one text is longer.
+SCORED_BYTES = 1 << 20
 #: What ``scored`` measures of a text beside its entropy.
 MEASURES = ("_spread", "_worst", "_repeats", "_words")
 _MASK = (1 << BITS) - 1
@@ -254,8 +256,11 @@ class Scorer:
         self.contexts = [Lookup(*table, 0.0) for table in model.contexts]
 
     def log_probabilities(self, symbols: np.ndarray) -> np.ndarray:
-        """Of every character after its context; n-grams that were not seen back off."""
-        codes = grams(symbols)
+        """Of every character after its context."""
+        return self.of(grams(symbols))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Of the last character of each n-gram of the highest order; those that were not seen back off."""
         out = self.grams[ORDER - 1].get(codes).astype(np.float64)
         open_, backed = np.flatnonzero(np.isnan(out)), None
         for n in range(ORDER - 1, 0, -1):
@@ -272,19 +277,31 @@ class Scorer:
         return out
 
 
-def measures(text: str | None, trusted: Scorer, rejected: Scorer | None) -> tuple[float | None, ...]:
-    """Mean and standard deviation of the nats of all characters, largest likelihood ratio of a passage, share of words that repeat the one before, words."""
-    if not text:
-        return (None,) * 5
-    symbols = characters(text)
-    nats = -trusted.log_probabilities(symbols)
-    worst = None
-    if rejected:
-        sums = np.concatenate([[0.0], np.cumsum(nats + rejected.log_probabilities(symbols))])
-        worst = float((sums[PASSAGE:] - sums[:-PASSAGE]).max() if len(sums) > PASSAGE else sums[-1])
-    words = text.split()
-    repeats = sum(map(str.__eq__, words, words[1:])) / max(1, len(words) - 1)
-    return float(nats.mean()), float(nats.std()), worst, repeats, float(len(words))
+def measures(texts: list[str | None], trusted: Scorer, rejected: Scorer | None) -> list[tuple[float | None, ...]]:
+    """Of each text: mean and standard deviation of the nats of all characters, largest likelihood ratio of a passage, share of words that repeat the one before, words.
+
+    A character's nats depend on its n-gram alone, so each distinct n-gram of the texts is looked up once.
+    """
+    symbols = characters(("\n" * (ORDER - 1)).join(text or "" for text in texts))
+    coded = pa.array(grams(symbols)).dictionary_encode()
+    place, codes = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    of_code = -trusted.of(codes)
+    ratio_of_code = of_code + rejected.of(codes) if rejected else None
+    out, begin = [], 0
+    for text in texts:
+        if not text:
+            out.append((None,) * 5)
+        else:
+            own = place[begin : begin + len(text)]
+            nats, worst = of_code[own], None
+            if rejected:
+                sums = np.concatenate([[0.0], np.cumsum(ratio_of_code[own])])
+                worst = float((sums[PASSAGE:] - sums[:-PASSAGE]).max() if len(sums) > PASSAGE else sums[-1])
+            words = text.split()
+            repeats = sum(map(str.__eq__, words, words[1:])) / max(1, len(words) - 1)
+            out.append((float(nats.mean()), float(nats.std()), worst, repeats, float(len(words))))
+        begin += len(text or "") + ORDER - 1
+    return out
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -308,9 +325,9 @@ def scored(docs: DataFrame, model: Model | None, rejected: Model | None = None,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = None
-        for batch in base.pieces(batches):
+        for batch in base.short_pieces(batches, size=SCORED_BYTES):
             scorers = scorers or [m and _scorer(m) for m in shared.value]
-            found = [measures(t, *scorers) for t in batch["text"].to_pylist()]
+            found = measures(batch["text"].to_pylist(), *scorers)
             for i, name in enumerate(names):
                 batch = batch.append_column(name, pa.array([x[i] for x in found], pa.float64()))
             yield batch
@@ -355,7 +372,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = trusted_documents(docs, labels).select("lang", "text")
     model = train(trusted.filter("text is not null and text <> ''"))
     rejected = train(trusted_documents(docs, labels, rejected=True).select("text").filter("text is not null and text <> ''")) if model else None
-    limits = base.stage(thresholds(scored(trusted, model, rejected).drop("text")), "thresholds")
+    # written, as thresholds read it once by language and once for all
+    known = base.stage(scored(trusted, model, rejected).drop("text"), "trusted")
+    limits = base.stage(thresholds(known), "thresholds")
+    base.drop_staged(known)
     own, everyone = limits.filter("not everyone").drop("everyone"), limits.filter("everyone").first()
     out = scored(docs, model, rejected).join(F.broadcast(own) if own.count() <= 10_000 else own, F.col("lang") == F.col("t_lang"), "left")
     limit = lambda name: F.coalesce(name, F.lit(everyone[name]).cast("double"))

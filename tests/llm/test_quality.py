@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from repolith.llm import quality
@@ -115,3 +116,21 @@ def test_predictable_junk_and_single_bad_words_go(llm, frame):
     rows = {r.doc_id: r._keep for r in quality.judge(frame(texts, lang=["a"] * len(texts)), labels).collect()}
     assert sum(rows[i] for i in range(130, 160)) >= 28
     assert not any(rows[i] for i in range(160, len(texts)))
+
+
+def test_texts_are_measured_together(llm):
+    """Each text went by itself, with a look-up for each of its characters; now each n-gram of a batch is looked up once."""
+    texts = [*GOOD[:30], None, "", "é", "zzz \ud7ff\U0001f600", GOOD[3], "\n\n", GOOD[4] * 30]
+    scorers = [quality.Scorer(quality.train(llm.createDataFrame([(t,) for t in some], "text string"))) for some in (GOOD[:60], GOOD[60:70])]
+    asked = []
+    of = scorers[0].of
+    scorers[0].of = lambda codes: asked.append(codes) or of(codes)
+    together = quality.measures(texts, *scorers)
+    assert len(asked) == 1 and len(np.unique(asked[0])) == len(asked[0])
+    assert together == [quality.measures([t], *scorers)[0] for t in texts]
+    for text, found in zip(texts, together, strict=True):
+        if text:
+            nats = -scorers[0].log_probabilities(quality.characters(text))
+            assert found[:2] == (float(nats.mean()), float(nats.std()))
+        else:
+            assert found == (None,) * 5
