@@ -36,8 +36,8 @@ BLOCK_BITS = 4096
 SHORT_BITS = 2048
 #: Documents of a block that meet in one cell, on a side; rows that a task handles together.
 BLOCK_PART, BUCKET_ROWS = 8192, 1 << 16
-#: Shingles of a family that one tile may hold on a side, about.
-TILE_SHINGLES = 1 << 19
+#: Shingles of a family that one tile may hold on a side, about: some 7 MB of text, sent once for each such part of the family.
+TILE_SHINGLES = 1 << 20
 
 
 class Similarity:
@@ -192,7 +192,9 @@ def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> Da
                 v.append(node[some][j])
         return pa.table([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
-    return rows.repartition(base.partitions(spark), "bucket").groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
+    out = rows.repartition(base.partitions(spark), "bucket").groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
+    out.staged_inputs = [shared, groups]
+    return out
 
 
 class Tile:
@@ -201,10 +203,9 @@ class Tile:
     def __init__(self, rule: Similarity, nodes: list[int], sets: list[np.ndarray]):
         self.rule, self.nodes, self.sets = rule, np.array(nodes), sets
         self.size = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BLOCK_BITS), np.uint8)
-        for row, s in zip(bits, sets, strict=True):
-            row[:] = np.bincount((s % np.uint64(BLOCK_BITS)).astype(np.int64), minlength=BLOCK_BITS) & 1
-        self.sketch = np.packbits(bits, axis=1).view(np.uint64)
+        self.sketch = np.zeros((len(sets), BLOCK_BITS // 64), np.uint64)
+        for row, s in zip(self.sketch, sets, strict=True):
+            row[:] = parity(s, BLOCK_BITS).view(np.uint64)
         self.root = np.arange(len(sets))
 
     def compare(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -221,14 +222,19 @@ class Tile:
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) -> DataFrame:
-    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, sketch)`` that are linked."""
+    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, sketch)`` that are linked.
+
+    ``nodes`` is a staged table; its files are deleted once the families are known, as keys take more room than texts.
+    """
     rule = Similarity(percent)
-    families = base.stage(components(admitted(nodes, percent)), "families")
+    near = admitted(nodes, percent)
+    families = base.stage(components(near), "families")
+    sized = base.stage(families.join(nodes.select("node", "doc_id", "h", "n_shingles"), "node"), "members")
+    base.drop_staged(nodes, families, *near.staged_inputs)
 
     # members in parts of about the same number of shingles
-    members = families.join(nodes.select("node", "doc_id", "h", "n_shingles"), "node")
-    parts = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / tile)).cast("int").alias("parts"))
-    members = members.join(parts, "component").withColumn("part", F.pmod(F.xxhash64(F.col("node")), F.col("parts")).cast("int"))
+    parts = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / tile)).cast("int").alias("parts"))
+    members = sized.join(parts, "component").withColumn("part", F.pmod(F.xxhash64(F.col("node")), F.col("parts")).cast("int"))
     texts = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.h") == F.col("m.h")))
     texts = texts.dropDuplicates(["node"]).select("component", "node", "part", "parts", "text")
     # every two parts of a family meet once, and every part with itself

@@ -115,3 +115,15 @@ def test_stars(llm):
                 todo += near[x]
     got = components(llm.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_keys_are_deleted_before_texts_meet(llm, frame, copies):
+    """Keys of blocks, which take more room than the texts, stayed in the shared folder while texts were dealt."""
+    import os
+
+    folder = ngram_join.base.shared_folder(llm).removeprefix("file:")
+    before = set(os.listdir(folder))
+    texts = copies(9, ["a", "b", "c", "d", "e"], [12, 30])
+    assert ngram_join.similar_documents(frame(texts), 80, 3).count() == len(texts)
+    new = {name.split("-")[1] for name in set(os.listdir(folder)) - before}
+    assert "documents" in new and not new & {"nodes", "shared", "keys", "families"}
