@@ -48,7 +48,7 @@ ERRORS = 2.0
 #: Characters over which the likelihood ratio is summed.
 PASSAGE = 24
 #: Bytes of text whose n-grams are looked up together, unless one text is longer.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 17
 #: What ``scored`` measures of a text beside its entropy.
 MEASURES = ("_spread", "_worst", "_repeats", "_words")
 _MASK = (1 << BITS) - 1
