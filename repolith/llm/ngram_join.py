@@ -9,10 +9,11 @@ are equal, and one of them holds two bits or more unless a set leaves over e blo
 sets send all their blocks, the others only those with two bits or more. Documents that share a block are
 candidates; no pair that reaches the similarity is lost.
 
-Candidates are not spelled out as pairs. The documents that share a block meet with their sizes and short sketches of the
-whole sets, in tiles of two parts where they are many; blocks that the same documents share are taken once. Of the pairs
+Candidates are not spelled out as pairs. A block's documents go to the first of them: all that share some block with the
+same first document meet once, with their sizes and sketches of the whole sets, in tiles of two parts where they are many.
+A sketch has two bits for each element or more, so that large sets do not look alike. Of the pairs
 that sizes and sketches admit a task returns a forest, and the components of these are families, outside of which no
-pair exists. A family's members meet with their texts, again in tiles, and what is not joined yet and not ruled out by longer
+pair exists. A family's members meet with their texts, again in tiles, and what is not joined yet and not ruled out by
 sketches is verified on the sets themselves. A task returns links that join its members, at most one for each of them.
 """
 
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from repolith.llm import base
 from repolith.llm.components import components
 
-#: Sketch bits of a block; whole sketches of a tile have this many too.
+#: Sketch bits of a block.
 BLOCK_BITS = 4096
-#: Bits of the short sketch that meets the others of a block.
+#: Bits of the sketch of a whole set, at least.
 SHORT_BITS = 2048
-#: Documents of a block that meet in one cell, on a side; rows that a task handles together.
+#: Documents with such sketches that meet in one cell, on a side, and that a task handles together; fewer with longer ones.
 BLOCK_PART, BUCKET_ROWS = 8192, 1 << 16
 #: Shingles of a family that one tile may hold on a side, about: some 7 MB of text, sent once for each such part of the family.
 TILE_SHINGLES = 1 << 20
+#: Members of families that are broadcast to fetch their texts; of more, all texts go through an exchange.
+BROADCAST_MEMBERS = 1 << 20
 
 
 class Similarity:
@@ -54,10 +57,8 @@ class Similarity:
         """Size of the largest partner."""
         return 100 * size // self.percent
 
-    def admits(self, size: np.ndarray, other: np.ndarray, sketch: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-        """Which pairs their sizes and sketches leave open; the latter differ in at most as many bits as the sets in elements."""
-        alike = 100 * np.minimum(size, other) >= self.percent * np.maximum(size, other)
-        return alike & (np.bitwise_count(sketch ^ sketches).sum(-1, dtype=np.int64) <= self.difference(size + other))
+    def sizes_admit(self, size: int, others: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(size, others) >= self.percent * np.maximum(size, others)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -111,86 +112,108 @@ def block_keys(shingle_hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity(shingle_hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Sketch of a whole set, packed."""
+def parity(shingle_hashes: np.ndarray) -> bytes:
+    """Sketch of a whole set, packed; its length follows the set's size."""
+    bits = max(SHORT_BITS, base.two_to_the(2 * len(shingle_hashes)))
     odd = np.bincount((shingle_hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8))
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of some sets. Two differ in at most as many bits as the sets in elements, also when the longer is folded to the shorter."""
+
+    def __init__(self, packed: list[bytes]):
+        self.length = np.array([len(p) // 8 for p in packed], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(self.length).tolist():
+            rows = np.flatnonzero(self.length >= length)
+            place, table = np.zeros(len(packed), np.int64), np.empty((len(rows), length), np.uint64)
+            place[rows] = np.arange(len(rows))
+            for row, i in zip(table, rows.tolist(), strict=True):
+                row[:] = np.bitwise_xor.reduce(np.frombuffer(packed[i], np.uint64).reshape(-1, length))
+            self.folded[length] = place, table
+
+    def differ(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits in which the sketch of ``i`` differs from others."""
+        out, length = np.empty(len(others), np.int64), np.minimum(self.length[others], self.length[i])
+        for n in np.unique(length).tolist():
+            place, table = self.folded[n]
+            same = length == n
+            out[same] = np.bitwise_count(table[place[others[same]]] ^ table[place[i]]).sum(1, dtype=np.int64)
+        return out
 
 
 def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """doc_id, h, n_shingles, node, keys, sketch. Equal sets have the same ``node``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.kept("ngram_join")
         hashes = base.WordHashes()
         for batch in base.pieces(batches):
             sets = [shingles(text, hashes, n) for text in batch["text"].to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
             node = np.array([base.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0] for s in sets], np.uint64)
             keys = [block_keys(s, percent).view(np.int64) if len(s) else None for s in sets]
-            short = pa.array([parity(s, SHORT_BITS).tobytes() if len(s) else None for s in sets], pa.binary())
+            short = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
             columns = [batch["doc_id"], batch["h"], pa.array(size), base.signed(node), pa.array(keys, pa.list_(pa.int64())), short]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "keys", "sketch"])
 
     return docs.select("doc_id", "h", "text").mapInArrow(scan, "doc_id long, h long, n_shingles long, node long, keys array<long>, sketch binary")
 
 
-def forest(rule: Similarity, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
+def forest(rule: Similarity, size: np.ndarray, sketches: Sketches, side: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
     """Links that join all members whose sizes and sketches admit a pair; between the two sides only if ``across``."""
     root, everyone = np.arange(len(size)), np.arange(len(size))
     for i in everyone.tolist():
         others = everyone[:i]
         others = others[(root[others] != root[i]) & ((side[others] != side[i]) | (not across))]
         # most pairs go by their sizes alone
-        others = others[100 * np.minimum(size[i], size[others]) >= rule.percent * np.maximum(size[i], size[others])]
-        others = others[rule.admits(size[i], size[others], sketch[i], sketch[others])]
+        others = others[rule.sizes_admit(size[i], size[others])]
+        others = others[sketches.differ(i, others) <= rule.difference(size[i] + size[others])]
         for r in np.unique(root[others]).tolist():
             yield i, int(others[root[others] == r][0])
             root[root == r] = root[i]
 
 
 def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> DataFrame:
-    """u, v: links between documents of ``nodes`` that share a block and whose sizes and short sketches admit a pair.
+    """u, v: links between documents of ``nodes`` whose sizes and sketches admit a pair and that share a block, or each one with the first of its documents.
 
-    All such documents are joined by them.
+    All documents that share a block and admit a pair are joined by them.
     """
     rule, spark = Similarity(percent), nodes.sparkSession
     # most blocks are of one document: those go in the one exchange of all keys, as rows that are sorted and may spill
     by_key = Window.partitionBy("key").orderBy("node")
+    first = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     alone = F.lag("node").over(by_key).isNull() & F.lead("node").over(by_key).isNull()
-    shared = nodes.select("node", F.explode("keys").alias("key")).withColumn("alone", alone)
-    shared = base.stage(shared.filter("not alone").select("key", "node"), "shared")
-    groups = shared.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
-    # the documents of a family share many blocks, which are one group
-    groups = base.stage(groups.groupBy("first", "n", "all").agg(F.min("key").alias("key")).select("key", "n"), "keys")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    members = shared.join(groups, "key")
-    parts = F.ceil(F.col("n") / block_part).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    shared = nodes.select("node", F.explode("keys").alias("key")).select("node", first.alias("first"), alone.alias("alone"))
+    # near copies share many blocks, most of them with the same first document
+    shared = base.stage(shared.filter("not alone").select("first", "node").distinct(), "shared")
+    groups = shared.join(nodes.select("node", F.octet_length("sketch").alias("n_bytes")), "node").groupBy("first").agg(F.sum("n_bytes").alias("n_bytes"))
+    groups = groups.select("first", "n_bytes", F.ceil(F.col("n_bytes") * 8 / (SHORT_BITS * block_part)).cast("int").alias("parts"))
+    groups = base.stage(groups, "keys")
+    total = groups.agg(F.sum(F.col("n_bytes") * F.col("parts"))).first()[0] or 0
+    members = shared.join(groups, "first")
+    parts, own = F.col("parts"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("low"), F.greatest(p, own).alias("high")))
-    dealt = members.select("key", "node", own.alias("part"), F.inline(cells))
-    buckets = max(base.partitions(spark), total // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")
-    rows = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").select(bucket, "key", "low", "high", "part", "node", "n_shingles", "sketch")
+    dealt = members.select("first", "node", own.alias("part"), F.inline(cells))
+    buckets = max(base.partitions(spark), total // (BUCKET_ROWS * SHORT_BITS // 8))
+    bucket = F.pmod(F.xxhash64("first", "low", "high"), F.lit(buckets)).alias("bucket")
+    rows = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").select(bucket, "first", "low", "high", "part", "node", "n_shingles", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")]).combine_chunks()
-        key, low, high, part, node, size = (table[c].to_numpy() for c in ("key", "low", "high", "part", "node", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        first = np.flatnonzero(new)
-        head = np.repeat(first, np.diff(np.append(first, len(node))))
-        with_head = rule.admits(size, size[head], sketch, sketch[head])
-        whole = np.logical_and.reduceat(with_head, first) & (low == high)[first]
-        simple = whole[np.cumsum(new) - 1] & ~new
-        u, v = [node[simple]], [node[head[simple]]]
-        for begin, end in zip(first[~whole], np.append(first, len(node))[1:][~whole], strict=True):
+        table = table.sort_by([("first", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")]).combine_chunks()
+        first, low, high, part, node, size = (table[c].to_numpy() for c in ("first", "low", "high", "part", "node", "n_shingles"))
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        edges = np.append(np.flatnonzero(new), len(node)).tolist()
+        found: list[tuple[int, int]] = []
+        for begin, end in zip(edges, edges[1:]):
             some = slice(begin, end)
-            pairs = list(forest(rule, size[some], sketch[some], part[some] == high[begin], bool(low[begin] < high[begin])))
-            if pairs:
-                i, j = np.array(pairs).T
-                u.append(node[some][i])
-                v.append(node[some][j])
-        return pa.table([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+            sizes, sketches, across = size[some], Sketches(table["sketch"][some].to_pylist()), bool(low[begin] < high[begin])
+            others = np.arange(1, end - begin)
+            whole = not across and rule.sizes_admit(sizes[0], sizes[1:]).all() and (sketches.differ(0, others) <= rule.difference(sizes[0] + sizes[1:])).all()
+            pairs = ((i, 0) for i in others.tolist()) if whole else forest(rule, sizes, sketches, part[some] == high[begin], across)
+            found.extend((int(node[begin + i]), int(node[begin + j])) for i, j in pairs)
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     out = rows.repartition(base.partitions(spark), "bucket").groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
     out.staged_inputs = [shared, groups]
@@ -203,16 +226,13 @@ class Tile:
     def __init__(self, rule: Similarity, nodes: list[int], sets: list[np.ndarray]):
         self.rule, self.nodes, self.sets = rule, np.array(nodes), sets
         self.size = np.array([len(s) for s in sets])
-        self.sketch = np.zeros((len(sets), BLOCK_BITS // 64), np.uint64)
-        for row, s in zip(self.sketch, sets, strict=True):
-            row[:] = parity(s, BLOCK_BITS).view(np.uint64)
+        self.sketches = Sketches([parity(s) for s in sets])
         self.root = np.arange(len(sets))
 
     def compare(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links between member ``i`` and others of components that it is not yet in."""
-        small, large = np.minimum(self.size[i], self.size[others]), np.maximum(self.size[i], self.size[others])
-        others = others[(self.root[others] != self.root[i]) & (100 * small >= self.rule.percent * large)]
-        differ = np.bitwise_count(self.sketch[others] ^ self.sketch[i]).sum(1, dtype=np.int64)
+        others = others[(self.root[others] != self.root[i]) & self.rule.sizes_admit(self.size[i], self.size[others])]
+        differ = self.sketches.differ(i, others)
         bound = self.rule.difference(self.size[others] + self.size[i])
         others, differ = others[differ <= bound], differ[differ <= bound]
         for j in others[np.argsort(differ, kind="stable")].tolist():
@@ -221,6 +241,19 @@ class Tile:
                 self.root[self.root == self.root[j]] = self.root[i]
 
 
+def member_texts(docs: DataFrame, sized: DataFrame, tile: int, broadcast_members: int = BROADCAST_MEMBERS) -> DataFrame:
+    """component, node, part, parts, text of ``sized (node, component, doc_id, h, n_shingles)``; a family's parts hold about ``tile`` shingles each.
+
+    Most documents are in no family, so their texts are not dealt where the members can be broadcast.
+    """
+    parts = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / tile)).cast("int").alias("parts"))
+    members = sized.join(parts, "component").withColumn("part", F.pmod(F.xxhash64(F.col("node")), F.col("parts")).cast("int"))
+    few = sized.limit(broadcast_members + 1).count() <= broadcast_members
+    members = F.broadcast(members) if few else members
+    texts = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.h") == F.col("m.h")))
+    return texts.dropDuplicates(["node"]).select("component", "node", "part", "parts", "text")
+
+
 def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) -> DataFrame:
     """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, sketch)`` that are linked.
 
@@ -232,11 +265,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) ->
     sized = base.stage(families.join(nodes.select("node", "doc_id", "h", "n_shingles"), "node"), "members")
     base.drop_staged(nodes, families, *near.staged_inputs)
 
-    # members in parts of about the same number of shingles
-    parts = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / tile)).cast("int").alias("parts"))
-    members = sized.join(parts, "component").withColumn("part", F.pmod(F.xxhash64(F.col("node")), F.col("parts")).cast("int"))
-    texts = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.h") == F.col("m.h")))
-    texts = texts.dropDuplicates(["node"]).select("component", "node", "part", "parts", "text")
+    texts = member_texts(docs, sized, tile)
     # every two parts of a family meet once, and every part with itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, "part").alias("low"), F.greatest(p, "part").alias("high")))
     tiles = texts.withColumn("t", F.explode(pairs)).select("component", "t.low", "t.high", "node", "part", "text")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from repolith.llm import ngram_join
 from repolith.llm.components import components
@@ -69,6 +70,36 @@ def test_sketches_of_shared_blocks_lose_no_link(frame, part):
     assert not any(number[i] in joined for i in range(len(rows) - 12, len(rows)))
 
 
+def test_large_sets_that_share_a_block_by_chance_are_no_family(frame):
+    """Sketches of 2048 bits told no two sets of 5000 apart, so all of these were one family."""
+    rng = random.Random(5)
+    bases = [[f"{i}x{rng.randrange(10**9)}" for _ in range(size)] for i, size in enumerate((5000, 5100, 5200, 9000, 30000))]
+    rows = [" ".join(b) for b in bases] + [" ".join([*b[:-40], *map(str, range(40))]) for b in bases]
+    nodes = ngram_join.base.stage(ngram_join.sketched(frame(rows).selectExpr("doc_id", "doc_id as h", "text"), 80, 5), "t").withColumn("keys", F.array(F.lit(1)))
+    number = {r.node: r.doc_id for r in nodes.collect()}
+    for part in (1000, 3):
+        joined = defaultdict(set)
+        for r in components(ngram_join.admitted(nodes, 80, part)).collect():
+            joined[r.component].add(number[r.node])
+        assert sorted(map(sorted, joined.values())) == [[i, i + 5] for i in range(5)]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_texts_of_members(llm, frame, few):
+    docs = frame(["a", "b", "c", "c"]).selectExpr("doc_id", "text", "doc_id * 2 as h")
+    sized = llm.createDataFrame([(i, 9, d, 2 * d, 5) for i, d in enumerate((1, 3))], "node long, component long, doc_id long, h long, n_shingles long")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = llm.conf.get(threshold)
+    llm.conf.set(threshold, -1)
+    try:
+        found = ngram_join.member_texts(docs, sized, 5, few)
+        assert sorted((r.node, r.parts, r.text) for r in found.collect()) == [(0, 2, "b"), (1, 2, "c")]
+        # texts stay where they are unless the members are too many
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (few > 0)
+    finally:
+        llm.conf.set(threshold, before)
+
+
 def test_one_of_each(frame):
     rows = ["a b c d e f g", "A b c d e f g", "x y z", None, None, "", "q r s"]
     docs = frame(rows, source=["s"] * len(rows))
