@@ -304,15 +304,13 @@ def measures(texts: list[str | None], trusted: Scorer, rejected: Scorer | None)
     return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    if model.name not in _SCORERS:
-        if len(_SCORERS) > 1:
-            _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    scorers = base.kept("quality")
+    if model.name not in scorers:
+        if len(scorers) > 1:
+            scorers.clear()
+        scorers[model.name] = Scorer(model)
+    return scorers[model.name]
 
 
 def scored(docs: DataFrame, model: Model | None, rejected: Model | None = None, column: str = "_entropy") -> DataFrame:

@@ -112,7 +112,6 @@ _SPACE = r"\t-\r\x1c-\x20\x{85}\pZ"
 _LOOSE = rf"[{_SPACE}][{_SPACE}]|\A[{_SPACE}]|[{_SPACE}]\z"
 _PLAIN, _BROKEN, _ENDED = rf"\A[^{_SPACE}]+\z", rf"\A\n[^{_SPACE}]+\z", r"\A\pL+[,.]\z"
 _MARKS = (",", ".")
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Ids:
@@ -248,9 +247,10 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    encoders = base.kept("token_codes")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 # ---- files ------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -42,3 +43,17 @@ def test_registered():
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert all(any(name.startswith(f"op{n}_") for name in __spark_entry__.queries()) for n in range(1, 14))
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """The models of the quality stage stayed in the Python workers of all later stages."""
+    from repolith.llm import base, quality
+
+    none = np.empty(0, np.int64), np.empty(0, np.float32), None
+    model = quality.Model("m", [none] * quality.ORDER, [none] * quality.ORDER)
+    first = quality._scorer(model)
+    assert quality._scorer(model) is first
+    base.kept("token_codes")["x"] = 1
+    assert base.kept("token_codes") == {"x": 1}
+    assert quality._scorer(model) is not first
+    assert base.kept("token_codes") == {}
