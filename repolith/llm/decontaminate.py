@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) ->
     for some in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(some)
 
+        @base.lean("decontaminate")
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, hashes = Items.build(shared.value, edits), base.WordHashes()
             for batch in base.pieces(batches):
@@ -247,6 +248,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -
     for some in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(some)
 
+        @base.lean("decontaminate")
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, hashes = Items.build(shared.value, edits), base.WordHashes()
             for batch in base.pieces(batches):

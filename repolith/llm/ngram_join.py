@@ -146,8 +146,8 @@ class Sketches:
 def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """doc_id, h, n_shingles, node, keys, sketch. Equal sets have the same ``node``."""
 
+    @base.lean("ngram_join")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base.kept("ngram_join")
         hashes = base.WordHashes()
         for batch in base.pieces(batches):
             sets = [shingles(text, hashes, n) for text in batch["text"].to_pylist()]

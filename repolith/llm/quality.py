@@ -6,8 +6,9 @@ equi-joins on longs, sharded by n-gram. Counts cover all trusted text; the highe
 lower ones the number of different characters seen before. The probability of an n-gram joins its count, the
 sums of its context and the probability of its suffix.
 
-The ``MODEL_GRAMS`` commonest n-grams of each order are broadcast. Where more were seen, all others lie sorted in files of the
-shared folder, which tasks map and search for what the broadcast ones do not hold: none is left out. A document's score is its cross-entropy in nats per character;
+The ``MODEL_GRAMS`` commonest n-grams of each order are a table by hash in a file of the shared folder. Where more were seen, all
+others lie sorted in files, searched for what the table does not hold: none is left out. Tasks map all these files, so the workers of
+a machine share one copy of them, whatever their size. A document's score is its cross-entropy in nats per character;
 its perplexity is exp of that. Per language a threshold is set from quantiles of the trusted documents; it
 is wider for short texts, by the standard error of their mean.
 
@@ -35,7 +36,7 @@ from repolith.sources.logsource import file_system
 
 ORDER = 5
 BITS = 12
-#: N-grams of each order that are broadcast at most; more are looked up in files.
+#: N-grams of each order in a table by hash at most; more are searched for in sorted files.
 MODEL_GRAMS = 1 << 22
 #: N-grams to a file, about.
 REST_ROWS = 1 << 20
@@ -49,6 +50,8 @@ ERRORS = 2.0
 PASSAGE = 24
 #: Bytes of text whose n-grams are looked up together, unless one text is longer.
 SCORED_BYTES = 1 << 17
+#: Bytes of text whose n-grams are counted together, unless one text is longer.
+COUNTED_BYTES = 1 << 21
 #: What ``scored`` measures of a text beside its entropy.
 MEASURES = ("_spread", "_worst", "_repeats", "_words")
 _MASK = (1 << BITS) - 1
@@ -72,11 +75,13 @@ def grams(symbols: np.ndarray, n: int = ORDER) -> np.ndarray:
 def gram_counts(texts: DataFrame) -> DataFrame:
     """gram, c: counts of all n-grams of the highest order in ``texts (text)``."""
 
+    @base.lean("quality")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in base.pieces(batches):
-            codes = [grams(characters(t)) for t in batch["text"].to_pylist()]
-            gram, c = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(c.astype(np.int64))], names=["gram", "c"])
+        for batch in base.short_pieces(batches, size=COUNTED_BYTES):
+            codes = np.concatenate([grams(characters(t)) for t in batch["text"].to_pylist()])
+            codes.sort()
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(codes[first]), pa.array(np.diff(first, append=len(codes)))], names=["gram", "c"])
 
     return texts.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -90,6 +95,47 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(i + 0.95, max(0.1, ratio(i))) for i in range(3))
 
 
+class Table:
+    """Keys and float values in a file that tasks map, so that all workers of a machine share it.
+
+    The file has the first row of every bucket, the keys by bucket, and their values.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, path: str):
+        self.rows, self.path, self.mapped = len(keys), path, None
+        self.bits = int(base.two_to_the(2 * max(8, len(keys)))).bit_length() - 1
+        order = np.argsort(bucket := self.bucket(keys), kind="stable")
+        first = np.zeros((1 << self.bits) + 1, np.uint32)
+        first[1:] = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << self.bits))
+        system, path = file_system(path)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            for part in (keys[order].astype(np.int64), first, values[order].astype(np.float32)):
+                out.write(part.tobytes())
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"mapped": None}
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First row of every bucket, keys, values."""
+        if self.mapped is None:
+            system, path = file_system(self.path)
+            if isinstance(system, fs.LocalFileSystem):
+                raw = np.memmap(path, np.uint8, "r")
+            else:
+                with system.open_input_stream(path) as stream:
+                    raw = np.frombuffer(stream.read(), np.uint8)
+            keys, first = 8 * self.rows, 4 * ((1 << self.bits) + 1)
+            self.mapped = raw[keys : keys + first].view(np.uint32), raw[:keys].view(np.int64), raw[keys + first :].view(np.float32)
+        return self.mapped
+
+
 class Rest:
     """Sorted keys and values in files, a range of keys to a file, which a task maps when it first asks for one of its keys."""
 
@@ -127,11 +173,11 @@ _REST = np.dtype([("key", np.int64), ("value", np.float32)], align=True)
 
 @dataclass
 class Model:
-    """Per order, lowest first: n-grams and their log probabilities; contexts and their log back-off weights; what is left in files of both."""
+    """Per order, lowest first: n-grams and their log probabilities; contexts and their log back-off weights. Of both the commonest, what those not seen have, and the rest."""
 
     name: str
-    grams: list[tuple[np.ndarray, np.ndarray, Rest | None]]
-    contexts: list[tuple[np.ndarray, np.ndarray, Rest | None]]
+    grams: list[tuple[Table, float, Rest | None]]
+    contexts: list[tuple[Table, float, Rest | None]]
 
 
 def _capped(count: str) -> Column:
@@ -155,13 +201,13 @@ def _commonest(df: DataFrame, count: str, limit: int) -> DataFrame:
     return df.filter(_capped(count) > _cut(df, count, limit)[0])
 
 
-def _arrays(df: DataFrame, key: str, value: str, count: str, limit: int) -> tuple[np.ndarray, np.ndarray, Rest | None]:
-    """The commonest rows, sorted by key, and all others in files."""
+def _tables(df: DataFrame, key: str, value: str, count: str, limit: int, missing: float) -> tuple[Table, float, Rest | None]:
+    """The commonest rows in a table, all others sorted in files."""
     cut, rest = _cut(df, count, limit)
     picked = df.select(key, F.col(value).cast("float").alias(value), (_capped(count) > cut).alias("common"))
-    table = picked.filter("common").drop("common").toArrow()
-    order = np.argsort(keys := table[key].to_numpy(), kind="stable")
-    return keys[order], table[value].to_numpy()[order], _rest(picked.filter("not common"), key, value, rest) if rest else None
+    common = picked.filter("common").drop("common").toArrow()
+    held = Table(common[key].to_numpy(), common[value].to_numpy(), f"{base.new_folder(df.sparkSession, 'model')}/table")
+    return held, missing, _rest(picked.filter("not common"), key, value, rest) if rest else None
 
 
 def _rest(df: DataFrame, key: str, value: str, rows: int) -> Rest:
@@ -186,7 +232,7 @@ def _rest(df: DataFrame, key: str, value: str, rows: int) -> Rest:
 
 
 def train(texts: DataFrame, limit: int = MODEL_GRAMS) -> Model | None:
-    """Model of ``texts (text)``; None where they hold no character. Up to ``limit`` n-grams of each order are broadcast, all others kept in files."""
+    """Model of ``texts (text)``; None where they hold no character. Up to ``limit`` n-grams of each order are in one table, all others sorted in files."""
     counts = {ORDER: base.stage(gram_counts(texts), "grams")}
     if not counts[ORDER].head(1):
         return None
@@ -209,51 +255,43 @@ def train(texts: DataFrame, limit: int = MODEL_GRAMS) -> Model | None:
             rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
             rows = rows.select("gram", "c", (own + weight * F.col("q")).alias("p"))
         lower = base.stage(rows, "probabilities")
-        model.grams.append(_arrays(lower.withColumn("l", F.log("p")), "gram", "l", "c", limit))
+        model.grams.append(_tables(lower.withColumn("l", F.log("p")), "gram", "l", "c", limit, np.nan))
         weights = sums.withColumn("total", F.col("total").cast("long")).withColumn("l", F.log(F.col("left") / F.col("total")))
-        model.contexts.append(_arrays(weights, "context", "l", "total", limit))
+        model.contexts.append(_tables(weights, "context", "l", "total", limit, 0.0))
     base.drop_staged(*counts.values())
     return model
 
 
 class Lookup:
-    """Values of sorted keys by a table of slots; keys that meet in a slot are searched for, those not held in ``rest``."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: Rest | None, missing: float):
-        self.rest = rest
-        self.bits = max(4, int(base.two_to_the(4 * max(1, len(keys)))).bit_length() - 1)
-        self.keys, self.values, self.missing = keys, values, missing
-        self.slot_key, self.slot_value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        at = self.slots(keys)
-        self.slot_key[at], self.slot_value[at] = keys, values
-        self.crowded = np.zeros(1 << self.bits, bool)
-        self.crowded[at[self.slot_key[at] != keys]] = True
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+    """Values of keys by a table; those it does not hold are searched for in ``rest``."""
+
+    def __init__(self, table: Table, missing: float, rest: Rest | None):
+        self.table, self.missing, self.rest = table, missing, rest
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slots(keys)
-        out, own = self.slot_value[at], self.slot_key[at]
-        other = np.flatnonzero(own != keys)
-        if len(other):
-            out[other] = self.missing
-            crowded = self.crowded[at[other]]
-            search = other[crowded]
-            if len(search):
-                place = np.minimum(np.searchsorted(self.keys, keys[search]), len(self.keys) - 1)
-                hit = self.keys[place] == keys[search]
-                out[search[hit]] = self.values[place[hit]]
-            if self.rest:
-                absent = other[~crowded] if not len(search) else np.concatenate([other[~crowded], search[~hit]])
-                self.rest.fill(out, keys, absent)
+        first, held, values = self.table.columns()
+        out = np.full(len(keys), self.missing, np.float32)
+        bucket = self.table.bucket(keys)
+        at, end = first[bucket].astype(np.int64), first[bucket + np.uint64(1)]
+        open_, absent = np.arange(len(keys)), []
+        while len(open_):
+            here = at[open_] < end[open_]
+            absent.append(open_[~here])
+            open_ = open_[here]
+            row = at[open_]
+            hit = held[row] == keys[open_]
+            out[open_[hit]] = values[row[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+        if self.rest and absent:
+            self.rest.fill(out, keys, np.concatenate(absent))
         return out
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.grams = [Lookup(*table, np.nan) for table in model.grams]
-        self.contexts = [Lookup(*table, 0.0) for table in model.contexts]
+        self.grams = [Lookup(*table) for table in model.grams]
+        self.contexts = [Lookup(*table) for table in model.contexts]
 
     def log_probabilities(self, symbols: np.ndarray) -> np.ndarray:
         """Of every character after its context."""
@@ -321,6 +359,7 @@ def scored(docs: DataFrame, model: Model | None, rejected: Model | None = None,
     shared = docs.sparkSession.sparkContext.broadcast((model, rejected))
     schema = T.StructType([*docs.schema, *(T.StructField(name, T.DoubleType()) for name in names)])
 
+    @base.lean("quality")
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = None
         for batch in base.short_pieces(batches, size=SCORED_BYTES):

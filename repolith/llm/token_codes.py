@@ -105,7 +105,7 @@ def token_at(payload: bytes, i: int) -> int:
 # ---- encoding ---------------------------------------------------------------------------------
 
 #: Text whose pieces are numbered together, about.
-ENCODED_BYTES = 1 << 23
+ENCODED_BYTES = 1 << 22
 _WORD_SPACE = re.compile(r" (?=\S)")
 #: White space as Python knows it; texts where it runs together or stands at an end; pieces without any and with a line break first.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\pZ"
@@ -237,9 +237,12 @@ class Encoder:
         first[offsets[:-1]] = True
         heads = self.ids(words.take(pa.array(offsets[:-1])).to_pylist())
         coded = words.filter(pa.array(~first)).dictionary_encode()
+        # the words are as large as the texts and not needed while their pieces are numbered
+        del cuts, words
         number = self.numbers(coded.dictionary)
-        place = np.empty(len(words), np.int64)
+        place = np.empty(len(first), np.int64)
         place[first], place[~first] = len(self.held) + np.arange(len(heads)), number[coded.indices.to_numpy()]
+        del coded, number
         ids, ends = self.held.joined(Ids(heads)).copies(place)
         raw, edges = ids.tobytes(), (4 * np.append(0, ends)[offsets]).tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
@@ -269,6 +272,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     parts = max(base.partitions(spark), 2 * spark.sparkContext.defaultParallelism)
     ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
+    @base.lean("token_codes")
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

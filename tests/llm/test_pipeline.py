@@ -57,3 +57,12 @@ def test_a_worker_keeps_the_tables_of_one_operator():
     assert base.kept("token_codes") == {"x": 1}
     assert quality._scorer(model) is not first
     assert base.kept("token_codes") == {}
+
+
+def test_a_task_begins_without_what_others_left():
+    """Counting n-grams kept the tokenizer of the run before in memory until texts were scored."""
+    from repolith.llm import base
+
+    base.kept("token_codes")["x"] = 1
+    run = base.lean("quality")(lambda batches: iter([dict(base._KEPT), *batches]))
+    assert list(run(iter([1, 2]))) == [{"quality": {}}, 1, 2]

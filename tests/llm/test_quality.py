@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -134,3 +135,23 @@ def test_texts_are_measured_together(llm):
             assert found[:2] == (float(nats.mean()), float(nats.std()))
         else:
             assert found == (None,) * 5
+
+
+def test_models_are_mapped_by_workers(llm):
+    """Each worker held tables of some hundred bytes for every n-gram; now a model names files, whatever its size."""
+    model = quality.train(llm.createDataFrame([(t,) for t in GOOD], "text string"))
+    assert len(pickle.dumps(model)) < 5_000
+    for table, *_ in (*model.grams, *model.contexts):
+        assert all(isinstance(column, np.memmap) for column in table.columns())
+
+
+def test_table_equals_dictionary(tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 20_000):
+        keys = np.unique(rng.integers(0, 1 << 60, n))
+        values = rng.normal(size=len(keys)).astype(np.float32)
+        table = quality.Table(keys, values, f"{tmp_path}/{n}/table")
+        asked = rng.permutation(np.concatenate([keys, rng.integers(0, 1 << 60, 1000)]))
+        want = dict(zip(keys.tolist(), values.tolist()))
+        got = quality.Lookup(pickle.loads(pickle.dumps(table)), -9.0, None).get(asked)
+        assert got.tolist() == [want.get(k, -9.0) for k in asked.tolist()]
