@@ -73,6 +73,30 @@ def test_commits_of_any_width(spark, rows, log, min_count, part):
     assert got == brute_pairs(commits, 99, min_count)
 
 
+@quick
+@given(logs, st.integers(1, 4), st.integers(2, 9), st.integers(0, 30), st.integers(0, 60))
+def test_repositories_of_any_size(spark, rows, log, min_count, part, whole_rows, whole_pairs):
+    """Counted whole in a task or dealt, the pairs are the same."""
+    commits = [(r, n, sorted(p)) for n, (r, p) in enumerate(log)]
+    df = changes_of(spark, commits + [(None, 1, ["a", "b"])])
+    before = cochange.WHOLE_ROWS, cochange.WHOLE_PAIRS
+    cochange.WHOLE_ROWS, cochange.WHOLE_PAIRS = whole_rows, whole_pairs
+    try:
+        assert rows(cochange.co_change_counts(df, min_count=min_count, part=part)) == brute_pairs(commits, 99, min_count)
+    finally:
+        cochange.WHOLE_ROWS, cochange.WHOLE_PAIRS = before
+
+
+def test_pairs_of_small_repositories_are_not_dealt(spark, monkeypatch):
+    df = changes_of(spark, [(f"r{c % 3}", c, ["a", "b", "c"]) for c in range(12)])
+    plan = lambda: cochange.co_change_counts(df)._jdf.queryExecution().executedPlan().toString()
+    dealt = lambda: any("file_a" in keys.split(")")[0] for keys in plan().split("hashpartitioning(")[1:])
+    assert not dealt()
+    monkeypatch.setattr(cochange, "WHOLE_PAIRS", 1)
+    counts = cochange.co_change_counts(df)
+    assert dealt() and counts.count() == 9
+
+
 def test_a_commit_of_5000_files(spark):
     """Pairs of three such commits are counted, of one such commit only those that others make likely."""
     files = [f"f{k:04d}" for k in range(5000)]

@@ -54,3 +54,20 @@ def test_small_splits_share_a_task():
     assert 10 <= len(tasks) < 20 and all(len(t.splits) == 1 for t in tasks if t.splits[0].path == "large")
     assert len(logsource.packed(found[:100], 16)) == 17
     assert len(logsource.packed([LogSplit("/", "", 0, 0)], 16)) == 1
+
+
+def test_changes_are_grouped_where_the_commits_are_joined(spark):
+    """The changes view deals its lines twice, for the parts and for the commits, and its query writes it once."""
+    from repolith.plans import registry, testviews
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = testviews.view(spark, "/root/testdata/sf0.001", "v_changes")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4 and "hashpartitioning(repo_id" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inputs = registry.Inputs(spark, "/root/testdata/sf0.001")
+    written = inputs.write("v_changes", "repo_id", "commit_id", "path")
+    assert written.columns == ["repo_id", "commit_id", "path"] and inputs.v_changes is written
+    read = {name.rsplit("/", 2)[1] for name in inputs.v_changeset.inputFiles()}
+    assert "v_changes" in read and not any("lineitem" in name for name in inputs.v_changeset.inputFiles())
