@@ -140,6 +140,28 @@ def test_strength_and_missing_partner(spark, rows):
     assert rows(cochange.missing_partners(changeset, pairs, per_file=0)) == []
 
 
+@quick
+@given(logs, logs, st.integers(1, 9))
+def test_missing_partners_equal_brute_force(spark, rows, log, sets, part):
+    """Narrow and wide change sets, repeated rows and changes without a name."""
+    pairs = brute_pairs([(r, n, sorted(p)) for n, (r, p) in enumerate(log)], 99, 1)
+    given_rows = [(r, n or None, p) for n, (r, ps) in enumerate(sets) for p in sorted(ps)]
+    given_rows += given_rows[:2]
+    present = {(r, n, p) for r, n, p in given_rows if n is not None}
+    both = [(r, x, y, k) for r, a, b, k in pairs for x, y in ((a, b), (b, a))]
+    expected = [(r, n, p, y, k, 1.0) for r, n, p in given_rows for q, x, y, k in both if (q, x) == (r, p) and (r, n, y) not in present]
+    frame = spark.createDataFrame([(*x, 1.0) for x in pairs], "repo_id STRING, file_a STRING, file_b STRING, n BIGINT, strength DOUBLE")
+    changeset = spark.createDataFrame(given_rows, "repo_id STRING, change_id BIGINT, path STRING")
+    assert rows(cochange.missing_partners(changeset, frame, part=part)) == sorted(expected, key=repr)
+
+
+def test_partners_of_narrow_changes_are_not_dealt_again(spark):
+    pairs = spark.createDataFrame([("r", "a", "b", 3, 1.0), ("r", "a", "c", 3, 1.0)], "repo_id STRING, file_a STRING, file_b STRING, n BIGINT, strength DOUBLE")
+    changeset = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b"), ("r", 2, "c")], "repo_id STRING, change_id BIGINT, path STRING")
+    plan = lambda part: cochange.missing_partners(changeset, pairs, part=part)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan(256) and "LeftAnti" in plan(1)
+
+
 def commits_of(spark, subjects, merges=()):
     return spark.createDataFrame(
         [("r", n, f"A{n % 2}", "" if n % 2 else "a@x", day(n), s, "", n in merges) for n, s in enumerate(subjects)], COMMITS
