@@ -5,9 +5,10 @@ many bits as the sets differ in elements. For two sets of sizes s and t that rea
 difference is bounded by d(s + t). Sizes fall into bands; a pair that reaches the similarity lies in
 one band or in two that follow each other, so each document takes part in the scheme of its own band and of
 the one below. A scheme cuts its sketch into d + 1 + e blocks: with d bits to differ in, 1 + e blocks
-are equal, and one of them holds two bits or more unless a set leaves over e blocks (almost) empty. Such
-sets send all their blocks, the others only those with two bits or more. Documents that share a block are
-candidates; no pair that reaches the similarity is lost.
+are equal. All blocks have one order: empty ones, those of one bit, then all others, each by the number of sets that
+send them, the commonest first. Every set leaves out the first e of its blocks in that order, so of the 1 + e that two sets share
+the last is left out by neither. What a phrase in many texts or an empty block has in common joins nothing that way.
+Documents that share a block are candidates; no pair that reaches the similarity is lost.
 
 Candidates are not spelled out as pairs. A block's documents go to the first of them: all that share some block with the
 same first document meet once, with their sizes and sketches of the whole sets, in tiles of two parts where they are many.
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 from repolith.llm import base
 from repolith.llm.components import components
 
-#: Sketch bits of a block.
-BLOCK_BITS = 4096
+#: Sketch bits of a block: so many that different runs hardly meet by chance, as only bits that are set are kept.
+BLOCK_BITS = 1 << 32
+#: Hundredths of the bits to differ in that a scheme has more blocks for, which sets may leave out.
+SPARE = 40
+#: Last bits of a key: whether its scheme is odd, and how many bits its block holds, two for all above.
+ODD, KIND = 4, 3
 #: Bits of the sketch of a whole set, at least.
 SHORT_BITS = 2048
 #: Documents with such sketches that meet in one cell, on a side, and that a task handles together; fewer with longer ones.
@@ -75,12 +80,12 @@ def band_starts(percent: int, limit: int = 1 << 40) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def scheme(percent: int, band: int) -> tuple[int, int]:
-    """Blocks of a band's scheme, and how many of a set's may be light without it sending them."""
+    """Blocks of a band's scheme, and how many of them a set leaves out."""
     rule, starts = Similarity(percent), band_starts(percent)
     low, high = int(starts[band]), int(starts[band + 1]) - 1
     top = high + rule.largest(high)
     differ = max(int(rule.difference(total)) for total in range(max(2 * low, top - 100), top + 1))
-    spare = math.ceil(0.05 * differ) + 2 if differ else 0
+    spare = -(-SPARE * differ // 100) + 2 if differ else 0
     return differ + 1 + spare, spare
 
 
@@ -93,10 +98,13 @@ def shingles(text: str, hashes: base.WordHashes, n: int) -> np.ndarray:
     return np.unique(base.gram_hashes(values, n) if len(values) >= n else base.gram_hashes(values, len(values), seed=100 + len(values)))
 
 
-def block_keys(shingle_hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the sketch blocks that a set sends, for both of its schemes."""
+def blocks_sent(shingle_hashes: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the sketch blocks that a set sends, for both of its schemes, and ``4 * more + kind`` for even and for odd ones.
+
+    Kinds of which all blocks are left out are not sent; of the next ``kind``, the commonest ``more`` are still to be left out.
+    """
     band = int(np.searchsorted(band_starts(percent), len(shingle_hashes), side="right")) - 1
-    out = []
+    out, left = [], [0, 0]
     for s in (band, band - 1) if band else (band,):
         blocks, spare = scheme(percent, s)
         block = ((shingle_hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
@@ -107,9 +115,21 @@ def block_keys(shingle_hashes: np.ndarray, percent: int) -> np.ndarray:
         if len(bit):
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             values[block[first]] = np.bitwise_xor.reduceat(base.mix(bit), first)
-        sent = np.arange(blocks) if (weight < 2).sum() > spare else np.flatnonzero(weight >= 2)
-        out.append(base.mix(values[sent] ^ base.mix(sent.astype(np.uint64) | np.uint64(s + 1 << 40))))
-    return np.concatenate(out)
+        kind, more, of_kind = 0, spare, np.bincount(np.minimum(weight, 2), minlength=3).tolist()
+        while kind < 2 and of_kind[kind] <= more:
+            more -= of_kind[kind]
+            kind += 1
+        sent = np.flatnonzero(weight >= kind)
+        left[s % 2] = 4 * more + kind
+        marks = (np.minimum(weight[sent], 2) + ODD * (s % 2)).astype(np.uint64)
+        keys = base.mix(values[sent] ^ base.mix(sent.astype(np.uint64) | np.uint64(s + 1 << 40)))
+        out.append(keys & ~np.uint64(ODD | KIND) | marks)
+    return np.concatenate(out), left
+
+
+def block_keys(shingle_hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the sketch blocks that a set sends, for both of its schemes."""
+    return blocks_sent(shingle_hashes, percent)[0]
 
 
 def parity(shingle_hashes: np.ndarray) -> bytes:
@@ -144,7 +164,7 @@ class Sketches:
 
 
 def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """doc_id, h, n_shingles, node, keys, sketch. Equal sets have the same ``node``."""
+    """doc_id, h, n_shingles, node, keys, left, sketch. Equal sets have the same ``node``."""
 
     @base.lean("ngram_join")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +173,13 @@ def sketched(docs: DataFrame, percent: int, n: int) -> DataFrame:
             sets = [shingles(text, hashes, n) for text in batch["text"].to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
             node = np.array([base.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0] for s in sets], np.uint64)
-            keys = [block_keys(s, percent).view(np.int64) if len(s) else None for s in sets]
+            keys, left = zip(*(blocks_sent(s, percent) if len(s) else (None, None) for s in sets))
+            keys = pa.array([k if k is None else k.view(np.int64) for k in keys], pa.list_(pa.int64()))
             short = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
-            columns = [batch["doc_id"], batch["h"], pa.array(size), base.signed(node), pa.array(keys, pa.list_(pa.int64())), short]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "keys", "sketch"])
+            columns = [batch["doc_id"], batch["h"], pa.array(size), base.signed(node), keys, pa.array(left, pa.list_(pa.int32())), short]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n_shingles", "node", "keys", "left", "sketch"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(scan, "doc_id long, h long, n_shingles long, node long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(scan, "doc_id long, h long, n_shingles long, node long, keys array<long>, left array<int>, sketch binary")
 
 
 def forest(rule: Similarity, size: np.ndarray, sketches: Sketches, side: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
@@ -175,17 +196,30 @@ def forest(rule: Similarity, size: np.ndarray, sketches: Sketches, side: np.ndar
             root[root == r] = root[i]
 
 
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, node of the keys that several of ``nodes`` send, without those that a set leaves out as its commonest."""
+    # most keys are of one document: those go in the one exchange of all keys, as rows that are sorted and may spill
+    sent = nodes.select("node", F.explode("keys").alias("key"))
+    common = sent.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    odd, kind = F.col("key").bitwiseAND(ODD), F.col("key").bitwiseAND(KIND)
+    own = Window.partitionBy("node", "odd").orderBy("kind", F.desc("n"), "key")
+    ranked = common.select("node", "key", "n", odd.alias("odd"), kind.alias("kind")).withColumn("rank", F.row_number().over(own))
+    left = F.when(F.col("odd") == 0, F.col("left")[0]).otherwise(F.col("left")[1])
+    ranked = ranked.join(nodes.select("node", "left"), "node").withColumn("left", left)
+    goes = (F.col("kind") == F.col("left").bitwiseAND(3)) & (F.col("rank") <= F.shiftright("left", 2))
+    return ranked.filter(~goes).select("key", "node")
+
+
 def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> DataFrame:
     """u, v: links between documents of ``nodes`` whose sizes and sketches admit a pair and that share a block, or each one with the first of its documents.
 
     All documents that share a block and admit a pair are joined by them.
     """
     rule, spark = Similarity(percent), nodes.sparkSession
-    # most blocks are of one document: those go in the one exchange of all keys, as rows that are sorted and may spill
     by_key = Window.partitionBy("key").orderBy("node")
     first = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     alone = F.lag("node").over(by_key).isNull() & F.lead("node").over(by_key).isNull()
-    shared = nodes.select("node", F.explode("keys").alias("key")).select("node", first.alias("first"), alone.alias("alone"))
+    shared = shared_keys(nodes).select("node", first.alias("first"), alone.alias("alone"))
     # near copies share many blocks, most of them with the same first document
     shared = base.stage(shared.filter("not alone").select("first", "node").distinct(), "shared")
     groups = shared.join(nodes.select("node", F.octet_length("sketch").alias("n_bytes")), "node").groupBy("first").agg(F.sum("n_bytes").alias("n_bytes"))
@@ -255,7 +289,7 @@ def member_texts(docs: DataFrame, sized: DataFrame, tile: int, broadcast_members
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, n: int, tile: int) -> DataFrame:
-    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, sketch)`` that are linked.
+    """u, v: links that hold together all documents of ``nodes (node, doc_id, h, n_shingles, keys, left, sketch)`` that are linked.
 
     ``nodes`` is a staged table; its files are deleted once the families are known, as keys take more room than texts.
     """
@@ -301,8 +335,8 @@ def similar_documents(docs: DataFrame, percent: int, n: int, tile: int = TILE_SH
     found = base.stage(sketched(rows, percent, n), "sketches")
     each = base.stage(found.select("doc_id", "h", "n_shingles", "node"), "documents")
     first = F.min(F.struct("doc_id", "h")).alias("at")
-    nodes = found.filter("n_shingles > 0").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch")))
-    nodes = base.stage(nodes.select("node", "at.doc_id", "at.h", "n_shingles", "keys", "sketch"), "nodes")
+    nodes = found.filter("n_shingles > 0").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n_shingles", "keys", "left", "sketch")))
+    nodes = base.stage(nodes.select("node", "at.doc_id", "at.h", "n_shingles", "keys", "left", "sketch"), "nodes")
     base.drop_staged(found)
     joined = components(links(rows, nodes, percent, n, tile))
 

@@ -128,6 +128,42 @@ def test_blocks_never_lose_a_pair(percent):
         assert len(np.intersect1d(ngram_join.block_keys(np.unique(a), percent), ngram_join.block_keys(np.unique(b), percent)))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_common_blocks_that_are_left_out_lose_no_pair(llm, percent):
+    """Sets with phrases of many others and partners as different as the rule allows still share a key that neither leaves out."""
+    rule, rng = ngram_join.Similarity(percent), np.random.default_rng(percent)
+    draw = lambda n: rng.integers(0, 2**63, int(n), dtype=np.uint64)
+    phrases, sets = [draw(12) for _ in range(6)], []
+    for _ in range(200):
+        own = np.concatenate([draw(rng.integers(1, 300)), *(p for p in phrases if rng.random() < 0.5)])
+        a, b = rng.permutation(own), own
+        while True:
+            c, d = (a[1:], b) if rng.random() < 0.5 else (np.append(a, draw(1)), b)
+            if not len(c) or not rule.linked(np.unique(c), np.unique(d)):
+                break
+            a, b = d, c
+        sets += [np.unique(a), np.unique(b)]
+    sent = [ngram_join.blocks_sent(s, percent) for s in sets]
+    rows = [(i, k.view(np.int64).tolist(), left) for i, (k, left) in enumerate(sent)]
+    found = defaultdict(set)
+    for r in ngram_join.shared_keys(llm.createDataFrame(rows, "node long, keys array<long>, left array<int>")).collect():
+        found[r.node].add(r.key)
+    assert all(found[i] & found[i + 1] for i in range(0, len(sets), 2))
+    # more than half of what sets share with others than their partner is left out
+    strangers = lambda keys: sum(len(keys[i] & keys[j]) for i in range(len(sets)) for j in range(i) if i // 2 != j // 2)
+    assert 2 * strangers(found) < strangers({i: set(k) for i, k, _ in rows})
+
+
+def test_a_phrase_in_all_texts_makes_no_group(frame, monkeypatch):
+    """Groups of all texts with a phrase cost the square of their number."""
+    phrase, met, stage = " ".join(f"p{i}" for i in range(16)), [], ngram_join.base.stage
+    monkeypatch.setattr(ngram_join.base, "stage", lambda df, name: met.append((name, df.count())) or stage(df, name))
+    rows = [" ".join([f"{i}x{j}" for j in range(150 + i % 50)] + [phrase]) for i in range(300)]
+    found = ngram_join.similar_documents(frame(rows), 80, 5).collect()
+    assert {r.component_id for r in found} == set(range(300))
+    assert sum(n for name, n in met if name == "shared") < 30
+
+
 def test_stars(llm):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7)]
