@@ -200,14 +200,16 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     """key, node of the keys that several of ``nodes`` send, without those that a set leaves out as its commonest."""
     # most keys are of one document: those go in the one exchange of all keys, as rows that are sorted and may spill
     sent = nodes.select("node", F.explode("keys").alias("key"))
-    common = sent.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+    common = base.stage(sent.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"), "common")
     odd, kind = F.col("key").bitwiseAND(ODD), F.col("key").bitwiseAND(KIND)
     own = Window.partitionBy("node", "odd").orderBy("kind", F.desc("n"), "key")
     ranked = common.select("node", "key", "n", odd.alias("odd"), kind.alias("kind")).withColumn("rank", F.row_number().over(own))
     left = F.when(F.col("odd") == 0, F.col("left")[0]).otherwise(F.col("left")[1])
     ranked = ranked.join(nodes.select("node", "left"), "node").withColumn("left", left)
     goes = (F.col("kind") == F.col("left").bitwiseAND(3)) & (F.col("rank") <= F.shiftright("left", 2))
-    return ranked.filter(~goes).select("key", "node")
+    out = ranked.filter(~goes).select("key", "node")
+    out.staged_inputs = [common]
+    return out
 
 
 def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> DataFrame:
@@ -219,9 +221,11 @@ def admitted(nodes: DataFrame, percent: int, block_part: int = BLOCK_PART) -> Da
     by_key = Window.partitionBy("key").orderBy("node")
     first = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     alone = F.lag("node").over(by_key).isNull() & F.lead("node").over(by_key).isNull()
-    shared = shared_keys(nodes).select("node", first.alias("first"), alone.alias("alone"))
+    kept = shared_keys(nodes)
+    shared = kept.select("node", first.alias("first"), alone.alias("alone"))
     # near copies share many blocks, most of them with the same first document
     shared = base.stage(shared.filter("not alone").select("first", "node").distinct(), "shared")
+    base.drop_staged(*kept.staged_inputs)
     groups = shared.join(nodes.select("node", F.octet_length("sketch").alias("n_bytes")), "node").groupBy("first").agg(F.sum("n_bytes").alias("n_bytes"))
     groups = groups.select("first", "n_bytes", F.ceil(F.col("n_bytes") * 8 / (SHORT_BITS * block_part)).cast("int").alias("parts"))
     groups = base.stage(groups, "keys")
